@@ -21,7 +21,8 @@ def execute(paths: DataFrame, up: bool, entry: Column, exit_: Column) -> DataFra
     sign = 1 if up else -1
     paths = paths.withColumns({"entry": entry, "exit": exit_})
     adverse, favourable = ("min_low", "max_high") if up else ("max_high", "min_low")
-    return paths.withColumns({"pnl": sign * (F.col("exit") - F.col("entry")), "mae": sign * (F.col(adverse) - F.col("entry")), "mfe": sign * (F.col(favourable) - F.col("entry"))})
+    move = lambda c: sign * (F.col(c) - F.col("entry")) + F.lit(0.0)  # noqa: E731  no negative zero
+    return paths.withColumns({"pnl": move("exit"), "mae": move(adverse), "mfe": move(favourable)})
 
 
 CUSTOM: dict[str, Callable[[DataFrame], DataFrame]] = {}

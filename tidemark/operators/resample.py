@@ -36,7 +36,7 @@ def resample_all(df: DataFrame, sizes, series: Series = BARS) -> dict[int, DataF
 def offset_bars(df: DataFrame, period: int, unit_seconds: int, series: Series = BARS) -> DataFrame:
     """Bars of period units in each of their period alignments: times are shifted forward by the offset first."""
     rows = df.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(period - 1))))
-    shifted = F.timestamp_micros(F.unix_micros(F.col(series.ts).cast("timestamp")) + F.col("offset") * unit_seconds * 1_000_000)
+    shifted = F.timestamp_micros(F.unix_micros(F.col(series.ts).cast("timestamp")) + F.col("offset").cast("long") * unit_seconds * 1_000_000)
     own = Series((*series.keys, "offset"), series.ts, series.tie)
     return _bars(with_bucket(rows.withColumn(series.ts, shifted), period * unit_seconds, "bucket", own), ["bucket"], own)
 

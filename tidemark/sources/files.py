@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-READERS = {"csv": lambda r, p, **k: r.csv(p, header=True, **k), "test_csv": lambda r, p, **k: r.csv(p, header=True, **k), "parquet": lambda r, p, **k: r.parquet(p, **k), "json": lambda r, p, **k: r.json(p, **k), "jsonl": lambda r, p, **k: r.json(p, **k), "orc": lambda r, p, **k: r.orc(p, **k)}
+READERS = {"csv": lambda r, p, **k: r.csv(p, header=True, **k), "test_csv": lambda r, p, **k: r.csv(p, header=True, **k), "parquet": lambda r, p, **k: r.parquet(*([p] if isinstance(p, str) else p), **k), "json": lambda r, p, **k: r.json(p, **k), "jsonl": lambda r, p, **k: r.json(p, **k), "orc": lambda r, p, **k: r.orc(p, **k)}
 
 
 def kind_of(path: str) -> str:
