@@ -12,8 +12,8 @@ checked against the total length, and the chunked framing is decoded.  Only
 segmented records carry payload through the shuffle.
 
 Defined cases: a null html is an empty payload; payloads under SMALLEST bytes are all
-responses; rows that repeat page_id and payload are one response and its revisits;
-a null page_id sorts before none and is read back as null; missing or superfluous segments, a wrong
+responses; rows that repeat the smallest page_id and payload are each a response;
+a null page_id comes after all others and is read back as null; missing or superfluous segments, a wrong
 total length or a wrong digest give complete = false; no pages give no rows.
 """
 
@@ -23,6 +23,7 @@ import hashlib
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, table
@@ -74,11 +75,11 @@ def _id(uid: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{uid}')}>"
 
 
-def records(page_id, uid: int, url, payload: bytes, digest: str, first_page, first_uid) -> list[str]:
-    """The WARC records of one page; first_uid: of the response that it revisits, or null."""
+def records(page_id, uid: int, url, payload: bytes, digest: str, first_page, revisit: bool) -> list[str]:
+    """The WARC records of one page; uid tells it from all others, first_page is what it revisits."""
     common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", _uri(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-Id", page_id)]
-    if first_uid is not None and first_uid != uid:
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", _id(uid)), *common, ("WARC-Refers-To", _id(first_uid)), ("X-Refers-To-Page", first_page), ("X-Payload-Length", len(payload)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], b"")]
+    if revisit:
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", _id(uid)), *common, ("X-Refers-To-Page", first_page), ("X-Payload-Length", len(payload)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], b"")]
     block, parts, at = HTTP + chunked(payload), [], 0
     while at < len(block):
         to = _cut(block, at + SEGMENT)
@@ -94,19 +95,23 @@ def records(page_id, uid: int, url, payload: bytes, digest: str, first_page, fir
 def write(pages: DataFrame, path: str, scratch: Scratch) -> None:
     """Archives of pages (page_id, url, html) in the folder path."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("payload"), F.sha2(html, 256).alias("digest"), F.monotonically_increasing_id().alias("uid"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("payload"), F.sha2(html, 256).alias("digest"))
     large = rows.where(F.octet_length("payload") >= SMALLEST)
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
     first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1")
-    first = scratch.save(first.select(F.col("digest").alias("of"), F.col("first.page_id").alias("first_page"), F.col("first.uid").alias("first_uid")))
-    named = rows.join(first, F.col("digest") == F.col("of"), "left").select("page_id", "uid", "url", "payload", "digest", "first_page", "first_uid")
+    first = scratch.save(first.select(F.col("digest").alias("of"), F.col("first.page_id").alias("first_page")))
+    revisit = F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
+    named = rows.join(first, F.col("digest") == F.col("of"), "left").select("page_id", "url", "payload", "digest", "first_page", revisit.alias("revisit"))
 
     def run(batches):
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            cols = [batch.column(c) for c in ("page_id", "uid", "url", "payload", "digest", "first_page", "first_uid")]
+            cols = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "first_page", "revisit")]
             out, size = [], 0
             for row in zip(*cols, strict=True):
-                own = records(*[x.as_py() for x in row])
+                page, *rest = (x.as_py() for x in row)
+                own = records(page, uid, *rest)
+                uid += 1
                 out += own
                 size += sum(map(len, own))
                 if size > 4 << 20:
@@ -133,10 +138,24 @@ def _cols(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
 
 
+def payload_of(block: bytes) -> tuple[str, int, bool]:
+    """(digest, bytes, whether the framing is right) of the payload of an HTTP message."""
+    try:
+        payload, whole = dechunked(block.partition(b"\r\n\r\n")[2]), True
+    except ValueError:
+        payload, whole = b"", False
+    return hashlib.sha256(payload).hexdigest(), len(payload), whole
+
+
 def _row(f: dict) -> tuple:
     number = lambda k: int(f[k]) if k in f else None
     digest = f.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None
-    return (f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), number("WARC-Segment-Number"), number("WARC-Segment-Total-Length"), f["WARC-Type"], number("X-Page-Id"), digest, number("X-Refers-To-Page"), number("X-Payload-Length"), f["block"])
+    size, block, segment = number("X-Payload-Length"), f["block"], number("WARC-Segment-Number")
+    if f["WARC-Type"] == "response" and segment is None:
+        # Whole already: what is asked of it is found here, and its block stays here.
+        found, size, whole = payload_of(block)
+        segment, block, digest = 0 if whole and found == digest else -1, None, found
+    return (f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), segment, number("WARC-Segment-Total-Length"), f["WARC-Type"], number("X-Page-Id"), digest, number("X-Refers-To-Page"), size, block)
 
 
 def _records(batches):
@@ -167,7 +186,7 @@ def _records(batches):
     out, size = [], 0
     for r in rows():
         out.append(r)
-        size += len(r[-1])
+        size += len(r[-1] or b"")
         if size > 4 << 20 or len(out) > 10_000:
             yield _cols(out)
             out, size = [], 0
@@ -187,16 +206,13 @@ def _join(batches):
             if h["type"] == "revisit":
                 out.append((h["page_id"], h["payload_bytes"], h["digest"], "revisit", h["refers_to"], True))
                 continue
-            block = b"".join(s["block"] for s in own)
-            whole = own[0]["segment"] is None and len(own) == 1 or [s["segment"] for s in own] == list(range(1, len(own) + 1)) and own[-1]["total"] == len(block)
-            payload = b""
-            try:
-                _, _, body = block.partition(b"\r\n\r\n")
-                payload = dechunked(body)
-            except ValueError:
-                whole = False
-            digest = hashlib.sha256(payload).hexdigest()
-            out.append((h["page_id"], len(payload), digest, h["type"], None, whole and digest == h["digest"]))
+            if own[0]["block"] is None:
+                out.append((h["page_id"], h["payload_bytes"], h["digest"], h["type"], None, len(own) == 1 and own[0]["segment"] == 0))
+                continue
+            block = b"".join(s["block"] or b"" for s in own)
+            digest, size, whole = payload_of(block)
+            whole = whole and [s["segment"] for s in own] == list(range(1, len(own) + 1)) and own[-1]["total"] == len(block)
+            out.append((h["page_id"], size, digest, h["type"], None, whole and digest == h["digest"]))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
