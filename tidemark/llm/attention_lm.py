@@ -24,7 +24,7 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,7 @@ STRIDE = 4096
 HEAD = 1 << 18
 RANGES = 256
 F32 = np.float32
+ONES, ONES_C = np.ones((HALF, 1), F32), np.ones((CLASSES, 1), F32)
 
 
 # ---- the model
@@ -122,60 +123,99 @@ class Model:
         p = self.params
         self.q, self.k, self.v = ((p["e"] @ p[x]).astype(F32) for x in "qkv")
         self.q /= F32(math.sqrt(WIDTH))
-        gap = HALF + np.arange(HALF)[:, None] - np.arange(2 * HALF)[None, :]
-        self.far = np.where(gap >= 0, p["d"][np.abs(gap) % (2 * HALF)], F32(-1e9)).astype(F32)
-
-    def score(self, texts: list[np.ndarray], block: int = 2048) -> np.ndarray:
-        """log10 probability of each text, the end token included."""
-        end, n = len(self.slot) - 1, len(texts)
-        if not n:
-            return np.zeros(0)
-        sizes = np.array([len(t) + 1 for t in texts])
+        gap = np.arange(HALF)[:, None] - np.arange(HALF)[None, :]
+        self.near = np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9)).astype(F32)
+        self.far = p["d"][HALF + gap].astype(F32)
+
+    def score(self, flat: np.ndarray, lengths: np.ndarray, block: int = 512) -> np.ndarray:
+        """log10 probability of each text, the end token included; flat: the ids of all texts, lengths: how many each has.
+
+        Texts lie in whole blocks of HALF places: start, ids, filled up with the end.  A block
+        attends to itself, masked, and to the block before if that is of the same text.
+        """
+        end, n = len(self.slot) - 1, len(lengths)
+        sizes = lengths + 1
         blocks = -(-sizes // HALF)
-        # Each text has HALF places of padding, then start and its ids, filled up to whole blocks.
-        lead = np.concatenate([[0], np.cumsum(blocks * HALF + HALF)])
-        seen = np.full(lead[-1], end, dtype=np.int64)
+        lead = np.concatenate([[0], np.cumsum(blocks * HALF)])
         want = np.full(lead[-1], end, dtype=np.int64)
-        flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in texts]) if n else np.zeros(0, np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes - 1)])
-        place = np.arange(len(flat)) - np.repeat(first[:-1], sizes - 1) + np.repeat(lead[:-1] + HALF, sizes - 1)
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(len(flat)) + np.repeat(lead[:-1] - first, lengths)
         want[place] = flat
-        seen[place + 1 if len(place) else place] = flat
-        text = np.repeat(np.arange(n), blocks)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        at = lead[text] + HALF + nth * HALF
-        slots, p, out = self.slot[seen], self.params, np.zeros(n)
-        inside = np.arange(2 * HALF) - HALF
-        for a in range(0, len(at), block):
-            keys = slots[at[a : a + block, None] + inside[None, :]]
-            q, e = self.q[keys[:, HALF:]], p["e"][keys[:, HALF:]]
-            s = q @ self.k[keys].transpose(0, 2, 1) + self.far
-            s[nth[a : a + block] == 0, :, :HALF] = F32(-1e9)
-            np.exp(s - s.max(axis=2, keepdims=True), out=s)
-            z = (e + (s @ self.v[keys]) / s.sum(axis=2, keepdims=True)).reshape(-1, WIDTH) @ p["o"] + p["b"]
-            top = z.max(axis=1)
-            target = want[at[a : a + block, None] + np.arange(HALF)[None, :]].ravel()
-            got = z[np.arange(len(z)), self.cls[target]] - top
-            z -= top[:, None]
+        seen = np.append(end, want[:-1])
+        seen[lead[:-1]] = end
+        real = (np.arange(lead[-1]) - np.repeat(lead[:-1], blocks * HALF)) < np.repeat(sizes, blocks * HALF)
+        opens = np.zeros(lead[-1] // HALF, dtype=bool)
+        opens[lead[:-1] // HALF] = True
+        slots, p, score = self.slot[seen].reshape(-1, HALF), self.params, np.empty(lead[-1])
+        targets = self.cls[want]
+        k0 = v0 = np.zeros((1, HALF, WIDTH), F32)
+        for a in range(0, len(slots), block):
+            own = slots[a : a + block]
+            q, k, v = self.q[own], self.k[own], self.v[own]
+            kb, vb = np.concatenate([k0, k[:-1]]), np.concatenate([v0, v[:-1]])
+            k0, v0 = k[-1:], v[-1:]
+            near, far = q @ k.transpose(0, 2, 1), q @ kb.transpose(0, 2, 1)
+            near += self.near
+            far += self.far
+            far[opens[a : a + block]] = F32(-1e9)
+            # Scores are bounded, so that no maximum needs to be taken off.
+            np.exp(np.minimum(near, F32(60), out=near), out=near)
+            np.exp(np.minimum(far, F32(60), out=far), out=far)
+            mixed = near @ v
+            mixed += far @ vb
+            mixed /= (near @ ONES + far @ ONES)
+            mixed += p["e"][own]
+            z = mixed.reshape(-1, WIDTH) @ p["o"]
+            z += p["b"]
+            np.clip(z, F32(-60), F32(60), out=z)
+            target = targets[a * HALF : (a + block) * HALF]
+            got = z[np.arange(len(z)), target]
             np.exp(z, out=z)
-            score = (got - np.log(z.sum(axis=1))).astype(float) / math.log(10) + self.within[target]
-            own = np.repeat(text[a : a + block], HALF)
-            real = (nth[a : a + block, None] * HALF + np.arange(HALF)[None, :]).ravel() < sizes[own]
-            out += np.bincount(own[real], weights=score[real], minlength=n)
-        return out
+            score[a * HALF : (a + block) * HALF] = got - np.log(z @ ONES_C).ravel()
+        score = score / math.log(10) + self.within[want]
+        return np.add.reduceat(np.where(real, score, 0.0), lead[:-1]) if n else np.zeros(0)
 
 
 # ---- reading texts
 
 
-def _ids(vocabulary, cache: dict, cut: list[list[str]]) -> None:
-    """Fills the cache with the subword ids of the words of a piece."""
-    fresh = list({w for c in cut for w in c if w not in cache})
-    if len(cache) + len(fresh) > 400_000:
-        cache.clear()
-        fresh = list({w for c in cut for w in c})
-    for w, ids in zip(fresh, vocabulary.merge([w.replace(" ", SPACE) for w in fresh]), strict=True):
-        cache[w] = ids
+class Encoder:
+    """Subword ids of words, remembered; the words of many texts become one flat array of ids."""
+
+    MOST = 400_000
+
+    def __init__(self, path: str):
+        self.vocabulary = load(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.length = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+
+    def _add(self, fresh: list[str]) -> None:
+        flat, sizes = self.vocabulary.merge_flat([w.replace(" ", SPACE) for w in fresh])
+        self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
+        self.length, self.flat = np.append(self.length, sizes), np.append(self.flat, flat.astype(np.int32))
+
+    def words(self, cut: list[list[str]]) -> np.ndarray:
+        """The number of each word of all texts."""
+        fresh = list(set().union(*cut).difference(self.index))
+        if len(self.index) + len(fresh) > self.MOST:
+            self.clear()
+            fresh = list(set().union(*cut))
+        if fresh:
+            self._add(fresh)
+        return np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+
+    def ids(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each text has)."""
+        at = self.words(cut)
+        n = self.length[at]
+        start = np.cumsum(self.length) - self.length
+        flat = self.flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        cuts = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+        return flat.astype(np.int64), np.diff(ends[cuts])
 
 
 def _slices(text: str) -> list[str]:
@@ -192,8 +232,8 @@ def _learn(n_buckets: int, path: str):
     """Training documents -> rows (key, blob): word counts by hash range; subword counts by id range (-1 - range); windows (-1000); number of texts (-1001)."""
 
     def run(batches):
-        vocabulary, cache = load(path), {}
-        n_ids, window = len(vocabulary.pieces), 2 * HALF + 1
+        encoder = Encoder(path)
+        n_ids, window = len(encoder.vocabulary.pieces), 2 * HALF + 1
         subwords, texts, words, counts = np.zeros(n_ids + 1, dtype=np.int64), 0, [], []
 
         def flush():
@@ -216,20 +256,13 @@ def _learn(n_buckets: int, path: str):
                 counts.append(c)
                 plain = [t.as_py() or "" for t in piece.column("text")]
                 texts += len(plain)
-                seen: Counter = Counter()
-                for t in plain:
-                    seen.update(split(t))
-                made = [split(s) for t in plain for s in _slices(t)]
-                _ids(vocabulary, cache, [list(seen), *made])
-                flat = [(i, n) for w, n in seen.items() for i in cache[w]]
-                if flat:
-                    ids, n = np.array(flat).T
-                    subwords += np.bincount(ids, weights=n, minlength=n_ids + 1).astype(np.int64)
-                rows = []
-                for cut in made:
-                    ids = [n_ids, *[i for w in cut for i in cache[w]]][:window]
-                    rows.append(ids + [n_ids] * (window - len(ids)))
-                keys, blobs = [-1000], [np.array(rows, dtype="<u2").tobytes()]
+                subwords += np.bincount(encoder.ids([split(t) for t in plain])[0], minlength=n_ids + 1)
+                ids, many = encoder.ids([split(s) for t in plain for s in _slices(t)])
+                rows = np.full((len(many), window), n_ids, dtype="<u2")
+                start, many = np.cumsum(many) - many, np.minimum(many, window - 1)
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                rows[np.repeat(np.arange(len(many)), many), at + 1] = ids[np.repeat(start, many) + at]
+                keys, blobs = [-1000], [rows.tobytes()]
                 if sum(map(len, words)) > 4_000_000:
                     h, c = flush()
                     if len(h) > 2_000_000:
@@ -315,7 +348,7 @@ def _score(sent, n_buckets: int, path: str):
 
     def run(batches):
         counts, params, head, head_count = sent.value
-        model, vocabulary, cache = Model(counts, params), load(path), {}
+        model, encoder = Model(counts, params), Encoder(path)
         model.tables()
         logs = np.log10(head_count + 1.0)
         part, seq = TaskContext.get().partitionId(), 0
@@ -331,9 +364,7 @@ def _score(sent, n_buckets: int, path: str):
                 tail, doc = words.hash[~hit], words.row[~hit]
                 order = np.argsort(tail, kind="stable")
                 tail, doc = tail[order], doc[order].astype("<u2")
-                cut = [split(t.as_py() or "") for t in piece.column("text")]
-                _ids(vocabulary, cache, cut)
-                scores = model.score([np.fromiter((i for w in c for i in cache[w]), dtype=np.int64) for c in cut])
+                scores = model.score(*encoder.ids([split(t.as_py() or "") for t in piece.column("text")]))
                 chunk = (part << 32) + seq
                 seq += 1
                 ids = pa.array(piece.column("doc_id")).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")

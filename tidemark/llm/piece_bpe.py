@@ -62,6 +62,11 @@ def fields(data: bytes):
         yield key >> 3, value
 
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive stretches."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 class Vocabulary:
     """Pieces, scores and kinds of a model file, and the ranks of all pairs that merge."""
 
@@ -101,10 +106,47 @@ class Vocabulary:
                     merged.append(i)
         at = np.argsort(np.array(keys, dtype=np.int64))
         self.keys, self.ranks, self.merged = (np.array(x, dtype=np.int64)[at] for x in (keys, ranks, merged))
+        self._table()
         self.pair = {k: (r, m) for k, r, m in zip(keys, ranks, merged, strict=True)}
         self.char = {c: i for c, i in self.symbol.items() if len(c) == 1}
         self.bytes = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
+    def _table(self) -> None:
+        """An open-addressed hash table of the pairs, and the symbol of each code point (-1 for none)."""
+        self.bits = max(4, int(len(self.keys) * 3).bit_length())
+        self.slot_key, self.slot_at = np.full(1 << self.bits, -2, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int64)
+        left, place = np.arange(len(self.keys)), self._place(self.keys)
+        while len(left):
+            free = self.slot_key[place] == -2
+            _, first = np.unique(place, return_index=True)
+            fits = np.zeros(len(left), dtype=bool)
+            fits[first] = True
+            fits &= free
+            self.slot_key[place[fits]], self.slot_at[place[fits]] = self.keys[left[fits]], left[fits]
+            left, place = left[~fits], (place[~fits] + 1) & ((1 << self.bits) - 1)
+        self.of_point = np.full(0x110000, -1, dtype=np.int32)
+        for c, i in self.symbol.items():
+            if len(c) == 1:
+                self.of_point[ord(c)] = i
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each pair stands in the tables of ranks and merges, -1 where it does not merge."""
+        place = self._place(keys)
+        seen = self.slot_key[place]
+        out = np.where(seen == keys, self.slot_at[place], -1)
+        open_ = np.flatnonzero((seen != keys) & (seen != -2))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+            seen = self.slot_key[place[open_]]
+            same = seen == keys[open_]
+            out[open_[same]] = self.slot_at[place[open_[same]]]
+            open_ = open_[~same & (seen != -2)]
+        return out
+
     def _ids(self, symbols, chars: str) -> list[int]:
         """Ids of merged symbols; those outside the vocabulary (-1 - position) become bytes."""
         out: list[int] = []
@@ -142,17 +184,15 @@ class Vocabulary:
             push(i)
         return self._ids([x for x, ok in zip(s, live, strict=True) if ok], word)
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word (spaces already replaced)."""
+    def merge_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words (spaces already replaced), how many each has)."""
         if not words:
-            return []
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         flat = "".join(words)
         lengths = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words)), lengths)
         points = np.frombuffer(flat.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        known, back = np.unique(points, return_inverse=True)
-        table_ = np.array([self.char.get(chr(c), -1) for c in known.tolist()], dtype=np.int64)
-        symbol = table_[back]
+        symbol = self.of_point[points].astype(np.int64)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         symbol = np.where(symbol < 0, -1 - place, symbol)
         last = np.full(len(words), -1, dtype=np.int64)
@@ -160,10 +200,9 @@ class Vocabulary:
         done_word, done_symbol = [], []
         while len(symbol):
             ok = (word[1:] == word[:-1]) & (symbol[1:] >= 0) & (symbol[:-1] >= 0)
-            key = np.where(ok, symbol[:-1] * self.base + symbol[1:], -1)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            rank = np.append(np.where(hit, self.ranks[at], NONE), NONE)
+            at = np.full(len(symbol) - 1, -1, dtype=np.int64)
+            at[ok] = self.find(symbol[:-1][ok] * self.base + symbol[1:][ok])
+            rank = np.append(np.where(at >= 0, self.ranks[at], NONE), NONE)
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, starts)
             ids = word[starts]
@@ -190,9 +229,27 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         cuts = np.searchsorted(word[order], np.arange(len(words) + 1))
         symbol = symbol[order]
-        plain = np.add.reduceat(np.append((symbol < 0) | (symbol >= len(self.pieces)), False).astype(int), cuts[:-1]) == 0
-        values = symbol.tolist()
-        return [self.slow(w) if wrong[i] else values[cuts[i] : cuts[i + 1]] if plain[i] else self._ids(values[cuts[i] : cuts[i + 1]], w) for i, w in enumerate(words)]
+        odd = (symbol < 0) | (symbol >= len(self.pieces))
+        special = np.unique(np.concatenate([np.searchsorted(cuts, np.flatnonzero(odd), side="right") - 1, np.flatnonzero(wrong)]))
+        sizes = np.diff(cuts)
+        if not len(special):
+            return symbol, sizes
+        own = {int(i): self.slow(words[i]) if wrong[i] else self._ids(symbol[cuts[i] : cuts[i + 1]].tolist(), words[i]) for i in special}
+        keep = np.ones(len(words), dtype=bool)
+        keep[special] = False
+        new = sizes.copy()
+        new[special] = [len(own[int(i)]) for i in special]
+        start = np.cumsum(new) - new
+        out = np.empty(int(new.sum()), dtype=np.int64)
+        out[np.repeat(start[keep], sizes[keep]) + _within(sizes[keep])] = symbol[np.repeat(keep, sizes)]
+        for i, ids in own.items():
+            out[start[i] : start[i] + len(ids)] = ids
+        return out, new
+
+    def merge(self, words: list[str]) -> list[list[int]]:
+        flat, sizes = self.merge_flat(words)
+        values, ends = flat.tolist(), np.cumsum(sizes).tolist()
+        return [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if words else []
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         known: dict[str, list[int]] = {}
