@@ -175,6 +175,8 @@ def test_quality(docs, spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     kept = quality_rules.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {5, 6, None}
+    clash = docs.withColumn("stratum", F.lit(1)).withColumn("_tm_q", F.lit(2)).withColumn("cut_mean_word", F.lit(3.0)).withColumn("a.b", F.lit(4))
+    assert quality_rules.keep_good(clash, labels).columns == clash.columns and quality_rules.keep_good(clash, labels).count() == kept.count()
     assert quality_rules.keep_good(empty(docs), labels).count() == 0
 
 

@@ -135,9 +135,14 @@ def op5(spark, sf_dir):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
+    """The documents that are kept, with their own columns.
+
+    Documents are written beside their signals and filtered when read again: a filter on
+    signals still to be computed would be pushed into their computation and repeat it.
+    """
     scratch = Scratch(docs.sparkSession)
-    measured = scratch.save(signals(docs.select(F.col("doc_id").cast("long"), "text", "lang")).select("doc_id", _stratum().alias("stratum"), "_tm_q.*"))
-    cuts = scratch.save(thresholds(measured, labels, scratch))
-    judged = signals(docs).join(cuts, _stratum() == F.col("of_stratum"), "left")
-    return judged.where(verdict("_tm_q")).select(*[docs[c] for c in docs.columns])
+    own = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_tm_doc")
+    measured = scratch.save(signals(docs.select(F.col("doc_id").cast("long"), "text", _stratum().alias("stratum"), own)).drop("text"))
+    cuts = scratch.save(thresholds(measured.select("doc_id", "stratum", "_tm_q.*"), labels, scratch))
+    judged = measured.join(cuts, F.col("stratum") == F.col("of_stratum"), "left")
+    return judged.where(verdict("_tm_q")).select("_tm_doc.*")
