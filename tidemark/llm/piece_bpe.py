@@ -107,6 +107,7 @@ class Vocabulary:
         at = np.argsort(np.array(keys, dtype=np.int64))
         self.keys, self.ranks, self.merged = (np.array(x, dtype=np.int64)[at] for x in (keys, ranks, merged))
         self._table()
+        self.ranks = np.append(self.ranks, NONE)  # the place -1 is no pair
         self.pair = {k: (r, m) for k, r, m in zip(keys, ranks, merged, strict=True)}
         self.char = {c: i for c, i in self.symbol.items() if len(c) == 1}
         self.bytes = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
@@ -147,6 +148,15 @@ class Vocabulary:
             open_ = open_[~same & (seen != -2)]
         return out
 
+    def _pairs(self, word: np.ndarray, symbol: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Where the pairs that begin at the places left stand in the tables, -1 where there is none within a word."""
+        right = np.minimum(left + 1, len(symbol) - 1)
+        a, b = symbol[left], symbol[right]
+        ok = (right > left) & (word[left] == word[right]) & (a >= 0) & (b >= 0)
+        out = np.full(len(left), -1, dtype=np.int64)
+        out[ok] = self.find(a[ok] * self.base + b[ok])
+        return out
+
     def _ids(self, symbols, chars: str) -> list[int]:
         """Ids of merged symbols; those outside the vocabulary (-1 - position) become bytes."""
         out: list[int] = []
@@ -184,10 +194,13 @@ class Vocabulary:
             push(i)
         return self._ids([x for x, ok in zip(s, live, strict=True) if ok], word)
 
-    def merge_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words (spaces already replaced), how many each has)."""
+    def merge_flat(self, words: list[str], block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words (spaces already replaced), how many each has); in blocks whose arrays stay in the processor's cache."""
         if not words:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if len(words) > block:
+            parts = [self.merge_flat(words[a : a + block]) for a in range(0, len(words), block)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         flat = "".join(words)
         lengths = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words)), lengths)
@@ -198,11 +211,9 @@ class Vocabulary:
         last = np.full(len(words), -1, dtype=np.int64)
         wrong = np.zeros(len(words), dtype=bool)
         done_word, done_symbol = [], []
+        at = self._pairs(word, symbol, np.arange(len(symbol)))
         while len(symbol):
-            ok = (word[1:] == word[:-1]) & (symbol[1:] >= 0) & (symbol[:-1] >= 0)
-            at = np.full(len(symbol) - 1, -1, dtype=np.int64)
-            at[ok] = self.find(symbol[:-1][ok] * self.base + symbol[1:][ok])
-            rank = np.append(np.where(at >= 0, self.ranks[at], NONE), NONE)
+            rank = self.ranks[at]
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, starts)
             ids = word[starts]
@@ -221,10 +232,13 @@ class Vocabulary:
                 fresh = np.append(True, np.diff(where) > 1)
                 run = np.arange(len(where)) - np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
                 where = where[run % 2 == 0]
-                symbol = symbol.copy()
                 symbol[where] = self.merged[at[where]]
                 live[where + 1] = False
-            word, symbol = word[live], symbol[live]
+            word, symbol, at = word[live], symbol[live], at[live]
+            # Only the pairs that a merged symbol is part of have changed.
+            now = (np.cumsum(live) - 1)[where]
+            changed = np.concatenate([now, now[now > 0] - 1])
+            at[changed] = self._pairs(word, symbol, changed)
         word, symbol = np.concatenate(done_word), np.concatenate(done_symbol)
         order = np.argsort(word, kind="stable")
         cuts = np.searchsorted(word[order], np.arange(len(words) + 1))
