@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,16 @@ def test_sql(spark, name):
     order = sorted(got.columns)
     text = lambda df: sorted(df[order].astype(object).where(df[order].notna(), None).map(lambda v: str(int(v)) if isinstance(v, float) else str(v)).agg("|".join, axis=1))
     assert text(got) == text(want)
+
+
+def test_scorer_reads_the_same_ids_as_the_plain_encoder():
+    texts = ["", None, "a", " ", "  a  b\n\n c\n", "▁x ▁ y▁▁", "\n", " \n ", "é▁▂ ▁", "日本語 テキスト\n終", "a" * 5000 + " b ", "x\ty\rz", None, "end end"]
+    plain = piece_bpe.load(piece_bpe.default_path())
+    encoder = attention_lm.Encoder(piece_bpe.default_path())
+    for _ in range(2):  # unknown words first, then remembered ones
+        flat, many = encoder.ids(pa.array(texts, pa.string()))
+        got = [x.tolist() for x in np.split(flat, np.cumsum(many)[:-1])]
+        assert got == plain.encode([t or "" for t in texts])
+        assert (encoder.counts(pa.array(texts, pa.string())) == np.bincount(flat, minlength=len(plain.pieces))).all()
+    encoder.MOST = 3  # everything is forgotten before each call
+    assert (encoder.ids(pa.array(texts, pa.string()))[0] == flat).all()

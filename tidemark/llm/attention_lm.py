@@ -24,7 +24,6 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, bytes_of, table
-from .piece_bpe import SPACE, default_path, load, split
-from .textscan import U64, pieces, scan
+from .piece_bpe import SPACE, default_path, load
+from .textscan import U64, flat, hashes, mix, pieces, scan
 
 HALF, WIDTH, CLASSES = 16, 16, 64
 OWN, SHARED = 1536, 512
@@ -44,6 +43,8 @@ STRIDE = 4096
 HEAD = 1 << 18
 RANGES = 256
 F32 = np.float32
+#: A number for each byte value, for hashes, and the bytes of the mark that stands for a space.
+PLAIN, MARK = mix(np.arange(256, dtype=U64), 11), SPACE.encode()
 ONES, ONES_C = np.ones((HALF, 1), F32), np.ones((CLASSES, 1), F32)
 
 
@@ -179,43 +180,105 @@ class Model:
 # ---- reading texts
 
 
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of piece_bpe.split for all texts at once: (bytes, start and end of each word, its hash, words of each text)."""
+    spaced, offsets = flat(texts)
+    n = len(offsets) - 1
+    data = np.concatenate([[np.uint8(32)], spaced[:-1]]) if n else spaced  # the space goes in front of each text
+    gap = data == 32
+    mark = np.flatnonzero(data == MARK[0])
+    mark = mark[mark + 2 < len(data)]
+    mark = mark[(data[mark + 1] == MARK[1]) & (data[mark + 2] == MARK[2])]
+    for k in range(3):
+        gap[mark + k] = True
+    line = data == 10
+    opens = line.copy()
+    opens[1:] |= line[:-1] | (gap[1:] & ~gap[:-1])
+    opens[offsets[:-1]] = True
+    start = np.flatnonzero(opens)
+    end = np.append(start[1:], len(data))[: len(start)]
+    first = np.searchsorted(start, offsets)
+    many, empty = np.diff(first), np.diff(offsets) == 1
+    if empty.any():
+        keep = np.ones(len(start), dtype=bool)
+        keep[first[:-1][empty]] = False
+        many, start, end = np.where(empty, 0, many), start[keep], end[keep]
+    return data, start, end, hashes(data, start, end, PLAIN), many
+
+
 class Encoder:
-    """Subword ids of words, remembered; the words of many texts become one flat array of ids."""
+    """Subword ids of words, remembered by 64-bit hashes of the words; the texts become one flat array of ids.
+
+    A worker process keeps its encoder from task to task.
+    """
 
-    MOST = 400_000
+    MOST = 1 << 21
 
     def __init__(self, path: str):
         self.vocabulary = load(path)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.length = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-
-    def _add(self, fresh: list[str]) -> None:
-        flat, sizes = self.vocabulary.merge_flat([w.replace(" ", SPACE) for w in fresh])
-        self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
-        self.length, self.flat = np.append(self.length, sizes), np.append(self.flat, flat.astype(np.int32))
-
-    def words(self, cut: list[list[str]]) -> np.ndarray:
-        """The number of each word of all texts."""
-        fresh = list(set().union(*cut).difference(self.index))
-        if len(self.index) + len(fresh) > self.MOST:
+        self.hash, self.number = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        self.flat, self.start, self.length = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each word of all texts, words of each text)."""
+        data, start, end, h, many = _cut(texts)
+        order = np.argsort(h)
+        sorted_ = h[order]
+        new = np.ones(len(h), dtype=bool)
+        np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+        distinct, sample = sorted_[new], order[new]
+        inverse = np.empty(len(h), dtype=np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        at, known = self._seek(distinct)
+        if len(self.hash) + np.count_nonzero(~known) > self.MOST:
             self.clear()
-            fresh = list(set().union(*cut))
-        if fresh:
-            self._add(fresh)
-        return np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
-
-    def ids(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+            at, known = self._seek(distinct)
+        if not known.all():
+            raw, fresh = data.tobytes(), sample[~known]
+            cut = [raw[a:b].decode().replace(" ", SPACE) for a, b in zip(start[fresh].tolist(), end[fresh].tolist(), strict=True)]
+            ids, sizes = self.vocabulary.merge_flat(cut)
+            self.number = np.insert(self.number, at[~known], np.arange(len(self.length), len(self.length) + len(cut)))
+            self.hash = np.insert(self.hash, at[~known], distinct[~known])
+            self.start = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes)
+            self.length, self.flat = np.append(self.length, sizes), np.append(self.flat, ids.astype(np.int32))
+            at, _ = self._seek(distinct)
+        return self.number[at][inverse] if len(h) else np.zeros(0, dtype=np.int64), many
+
+    def _seek(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hash, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        inside = at < len(self.hash)
+        known[inside] = self.hash[at[inside]] == distinct[inside]
+        return at, known
+
+    def _flat(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.flat[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has)."""
-        at = self.words(cut)
+        at, many = self.words(texts)
         n = self.length[at]
-        start = np.cumsum(self.length) - self.length
-        flat = self.flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         ends = np.concatenate([[0], np.cumsum(n)])
-        cuts = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
-        return flat.astype(np.int64), np.diff(ends[cuts])
+        return self._flat(at, n), np.diff(ends[np.concatenate([[0], np.cumsum(many)])])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How often each id of the vocabulary occurs in all texts."""
+        many = np.bincount(self.words(texts)[0], minlength=len(self.length))
+        own = np.flatnonzero(many)
+        n = self.length[own]
+        return np.bincount(self._flat(own, n), weights=np.repeat(many[own], n), minlength=len(self.vocabulary.pieces)).astype(np.int64)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _slices(text: str) -> list[str]:
@@ -232,7 +295,7 @@ def _learn(n_buckets: int, path: str):
     """Training documents -> rows (key, blob): word counts by hash range; subword counts by id range (-1 - range); windows (-1000); number of texts (-1001)."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         n_ids, window = len(encoder.vocabulary.pieces), 2 * HALF + 1
         subwords, texts, words, counts = np.zeros(n_ids + 1, dtype=np.int64), 0, [], []
 
@@ -256,8 +319,8 @@ def _learn(n_buckets: int, path: str):
                 counts.append(c)
                 plain = [t.as_py() or "" for t in piece.column("text")]
                 texts += len(plain)
-                subwords += np.bincount(encoder.ids([split(t) for t in plain])[0], minlength=n_ids + 1)
-                ids, many = encoder.ids([split(s) for t in plain for s in _slices(t)])
+                subwords[:n_ids] += encoder.counts(piece.column("text"))
+                ids, many = encoder.ids(pa.array([s for t in plain for s in _slices(t)], pa.string()))
                 rows = np.full((len(many), window), n_ids, dtype="<u2")
                 start, many = np.cumsum(many) - many, np.minimum(many, window - 1)
                 at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -348,7 +411,7 @@ def _score(sent, n_buckets: int, path: str):
 
     def run(batches):
         counts, params, head, head_count = sent.value
-        model, encoder = Model(counts, params), Encoder(path)
+        model, encoder = Model(counts, params), encoder_of(path)
         model.tables()
         logs = np.log10(head_count + 1.0)
         part, seq = TaskContext.get().partitionId(), 0
@@ -364,7 +427,7 @@ def _score(sent, n_buckets: int, path: str):
                 tail, doc = words.hash[~hit], words.row[~hit]
                 order = np.argsort(tail, kind="stable")
                 tail, doc = tail[order], doc[order].astype("<u2")
-                scores = model.score(*encoder.ids([split(t.as_py() or "") for t in piece.column("text")]))
+                scores = model.score(*encoder.ids(piece.column("text")))
                 chunk = (part << 32) + seq
                 seq += 1
                 ids = pa.array(piece.column("doc_id")).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")

@@ -101,7 +101,8 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
         at = min(to, at + 16384, batch.num_rows)
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letter: np.ndarray = LETTER) -> np.ndarray:
+    """64-bit hashes of the byte stretches from start to end (ascending, apart), with a number for each byte value."""
     out = np.zeros(len(start), dtype=U64)
     at = 0
     with np.errstate(over="ignore"):
@@ -109,7 +110,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
             to = max(at + 1, int(np.searchsorted(end, start[at] + BLOCK, side="right")))
             low, high = int(start[at]), int(end[to - 1])
             sums = np.zeros(high - low + 1, dtype=U64)
-            np.cumsum(LETTER[data[low:high]] * powers(BASE, high - low), out=sums[1:])
+            np.cumsum(letter[data[low:high]] * powers(BASE, high - low), out=sums[1:])
             s, e = start[at:to] - low, end[at:to] - low
             out[at:to] = mix((sums[e] - sums[s]) * powers(INVERSE, high - low + 1)[s] + (e - s).astype(U64))
             at = to
@@ -125,7 +126,7 @@ def scan(texts: pa.Array) -> Words:
     start, end = edges[0::2], edges[1::2]
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, start, end, row, first, _hashes(data, start, end))
+    return Words(data, start, end, row, first, hashes(data, start, end))
 
 
 def grams(words: Words, n: int) -> np.ndarray:
