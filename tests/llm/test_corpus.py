@@ -318,3 +318,22 @@ def test_scorer_reads_the_same_ids_as_the_plain_encoder():
         assert (encoder.counts(pa.array(texts, pa.string())) == np.bincount(flat, minlength=len(plain.pieces))).all()
     encoder.MOST = 3  # everything is forgotten before each call
     assert (encoder.ids(pa.array(texts, pa.string()))[0] == flat).all()
+
+
+def test_language_model_trains_on_every_subword():
+    texts = [None, "", "end", "\n".join(f"word{k} two" for k in range(4000)), "日本語テキスト" * 900, " ".join(f"w{k}" for k in range(31)), "z " * 300]
+    plain = piece_bpe.load(piece_bpe.default_path()).encode([t or "" for t in texts])
+    end = len(piece_bpe.load(piece_bpe.default_path()).pieces)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    blobs = [b for out in attention_lm._learn(16, piece_bpe.default_path())([batch]) for k, b in zip(out.column("key").to_pylist(), out.column("blob").to_pylist(), strict=True) if k == -1000]
+    rows = np.concatenate([np.frombuffer(b, dtype="<u2").reshape(-1, 33) for b in blobs]).astype(np.int64)
+    learned = rows[:, 1:]
+    assert learned[learned != 65535].tolist() == [i for ids in plain for i in [*ids, end]]
+    opens = np.append(True, rows[:-1, 1:].max(axis=1) >= end)  # the window before has the end
+    assert (rows[opens, 0] == end).all() and (rows[1:, 0] == rows[:-1, -1])[~opens[1:]].all() and opens.sum() == len(texts)
+    # What fills up a window is not learned.
+    model, rng = attention_lm.Model(np.ones(300)), np.random.default_rng(8)
+    x, y = model.slot[rng.integers(0, 300, (5, 32))], model.cls[rng.integers(0, 300, (5, 32))]
+    real = np.arange(32) < np.full((5, 1), 20)
+    short, whole = model.loss(x[:, :20], y[:, :20]), model.loss(x, y, real)
+    assert whole[0] == pytest.approx(short[0], rel=1e-5) and all(np.allclose(whole[1][k], short[1][k], atol=1e-6) for k in short[1])

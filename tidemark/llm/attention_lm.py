@@ -1,8 +1,8 @@
 """Language-model scores: a word model from all counts, and a causal self-attention model on subword ids.
 
 Learning reads every training document: all words are counted (in packed blocks by hash range), all
-subword ids are counted, and windows of subwords, as many as the text is long, train the attention
-model.  Training is data-parallel: every task takes its own windows through gradient
+subword ids are counted, and all of them, each text cut into consecutive windows that end with its
+end, train the attention model.  Training is data-parallel: every task takes its own windows through gradient
 steps from one start, and the parameters are averaged over the windows in a tree.
 
 The model: embeddings of subword ids, one head of causal attention over a window with a
@@ -37,8 +37,10 @@ from .textscan import U64, flat, hashes, mix, pieces, scan
 
 HALF, WIDTH, CLASSES = 16, 16, 64
 OWN, SHARED = 1536, 512
-#: One training window for so many characters of text, at least one a text.
-STRIDE = 4096
+#: Fills up a text's last training window; not learned.
+PAD = (1 << 16) - 1
+#: Windows in a packed row, at most.
+PACKED = 1 << 14
 #: Words in the table that is sent to all tasks, at most.
 HEAD = 1 << 18
 RANGES = 256
@@ -77,25 +79,26 @@ class Model:
         g = lambda *s, k=0.1: (k * rng.standard_normal(s)).astype(F32)
         return {"e": g(OWN + SHARED, WIDTH, k=0.3), "q": g(WIDTH, WIDTH, k=0.25), "k": g(WIDTH, WIDTH, k=0.25), "v": g(WIDTH, WIDTH, k=0.25), "d": np.zeros(2 * HALF, F32), "o": g(WIDTH, CLASSES), "b": np.log(np.maximum(total, 0.5) / np.maximum(total, 0.5).sum()).astype(F32)}
 
-    def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """Mean loss in nats of windows x (slots) with classes y to come, and gradients."""
+    def loss(self, x: np.ndarray, y: np.ndarray, real: np.ndarray | None = None) -> tuple[float, dict]:
+        """Mean loss in nats of windows x (slots) with classes y to come, and gradients; of the places where real holds, which lie before the others."""
         p, (b, n) = self.params, x.shape
+        real = np.ones((b, n), dtype=bool) if real is None else real
         e = p["e"][x]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
+        q, k, v = ((e.reshape(-1, WIDTH) @ p[w]).reshape(e.shape) for w in "qkv")
         gap = np.arange(n)[:, None] - np.arange(n)[None, :]
         s = q @ k.transpose(0, 2, 1) / F32(math.sqrt(WIDTH)) + np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9))
         a = np.exp(s - s.max(axis=2, keepdims=True))
         a /= a.sum(axis=2, keepdims=True)
         h = e + a @ v
-        z = h @ p["o"] + p["b"]
+        z = (h.reshape(-1, WIDTH) @ p["o"]).reshape(b, n, CLASSES) + p["b"]
         z -= z.max(axis=2, keepdims=True)
         t = np.exp(z)
         t /= t.sum(axis=2, keepdims=True)
         at = (np.arange(b)[:, None], np.arange(n)[None, :], y)
-        loss = float(-np.log(t[at] + 1e-20).mean())
+        loss = float(-np.log(t[at] + 1e-20)[real].mean())
         t[at] -= 1
-        t /= b * n
-        dh = t @ p["o"].T
+        t *= (real / F32(real.sum())).astype(F32)[:, :, None]
+        dh = (t.reshape(-1, CLASSES) @ p["o"].T).reshape(e.shape)
         da = dh @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(axis=2, keepdims=True))
         dq, dk, dv = ds @ k / F32(math.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q / F32(math.sqrt(WIDTH)), a.transpose(0, 2, 1) @ dh
@@ -104,17 +107,19 @@ class Model:
         g = {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "o": flat(h).T @ flat(t), "b": flat(t).sum(axis=0)}
         own = ds.sum(axis=0)
         g["d"] = np.bincount(gap[gap >= 0], weights=own[gap >= 0], minlength=2 * HALF).astype(F32)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], x.ravel(), flat(de))
+        cell = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["e"] = np.bincount(cell.ravel(), weights=de.ravel(), minlength=p["e"].size).reshape(p["e"].shape).astype(F32)
         return loss, g
 
     def train(self, windows: np.ndarray, batch: int = 64, rate: float = 0.01) -> None:
-        """One pass over windows (ids, one more than is seen) with Adam."""
+        """One pass over windows (ids, one more than is seen, filled up with PAD) with Adam."""
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         s = {k: np.zeros_like(v) for k, v in self.params.items()}
         for t, at in enumerate(range(0, len(windows), batch), 1):
             w = windows[at : at + batch]
-            _, g = self.loss(self.slot[w[:, :-1]], self.cls[w[:, 1:]])
+            real = w[:, 1:] != PAD
+            w = np.where(w == PAD, 0, w)
+            _, g = self.loss(self.slot[w[:, :-1]], self.cls[w[:, 1:]], real)
             for k in g:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
@@ -281,13 +286,18 @@ def encoder_of(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _slices(text: str) -> list[str]:
-    """A stretch of about 200 characters, from a word's start, for every STRIDE characters of text."""
-    out = []
-    for at in range(0, max(1, len(text)), STRIDE):
-        start = text.find(" ", at) + 1 if at else 0
-        if start or not at:
-            out.append(text[start : start + 200])
+def _windows(ids: np.ndarray, many: np.ndarray, end: int) -> np.ndarray:
+    """All ids of all texts, and the end of each text, in consecutive windows that start with what comes before (the end where a text starts)."""
+    seen = 2 * HALF
+    rows = -(-(many + 1) // seen)
+    first = np.cumsum(rows) - rows
+    body = np.full(rows.sum() * seen, PAD, dtype="<u2")
+    body[np.arange(len(ids)) + np.repeat(first * seen - (np.cumsum(many) - many), many)] = ids
+    body[first * seen + many] = end
+    out = np.empty((rows.sum(), seen + 1), dtype="<u2")
+    out[:, 1:] = body.reshape(-1, seen)
+    out[1:, 0] = out[:-1, -1]
+    out[first, 0] = end
     return out
 
 
@@ -296,7 +306,7 @@ def _learn(n_buckets: int, path: str):
 
     def run(batches):
         encoder = encoder_of(path)
-        n_ids, window = len(encoder.vocabulary.pieces), 2 * HALF + 1
+        n_ids = len(encoder.vocabulary.pieces)
         subwords, texts, words, counts = np.zeros(n_ids + 1, dtype=np.int64), 0, [], []
 
         def flush():
@@ -317,15 +327,12 @@ def _learn(n_buckets: int, path: str):
                 h, c = np.unique(scanned, return_counts=True)
                 words.append(h)
                 counts.append(c)
-                plain = [t.as_py() or "" for t in piece.column("text")]
-                texts += len(plain)
-                subwords[:n_ids] += encoder.counts(piece.column("text"))
-                ids, many = encoder.ids(pa.array([s for t in plain for s in _slices(t)], pa.string()))
-                rows = np.full((len(many), window), n_ids, dtype="<u2")
-                start, many = np.cumsum(many) - many, np.minimum(many, window - 1)
-                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                rows[np.repeat(np.arange(len(many)), many), at + 1] = ids[np.repeat(start, many) + at]
-                keys, blobs = [-1000], [rows.tobytes()]
+                texts += piece.num_rows
+                ids, many = encoder.ids(piece.column("text"))
+                subwords[:n_ids] += np.bincount(ids, minlength=n_ids)
+                rows = _windows(ids, many, n_ids)
+                blobs = [rows[a : a + PACKED].tobytes() for a in range(0, len(rows), PACKED)]
+                keys = [-1000] * len(blobs)
                 if sum(map(len, words)) > 4_000_000:
                     h, c = flush()
                     if len(h) > 2_000_000:
@@ -378,16 +385,21 @@ def _fitted(windows: DataFrame, counts: np.ndarray) -> dict:
     def run(batches):
         model, n = Model(sent.value), 0
         held = []
+
+        def learn():
+            # Windows of one text are spread over the steps.
+            rows = np.concatenate(held).astype(np.int64)
+            held.clear()
+            model.train(np.random.default_rng(7).permutation(rows))
+            return len(rows)
+
         for batch in batches:
-            held += [np.frombuffer(b.as_py(), dtype="<u2").reshape(-1, window) for b in batch.column("blob")]
-            if sum(map(len, held)) > 20_000:
-                rows = np.concatenate(held).astype(np.int64)
-                model.train(rows)
-                n, held = n + len(rows), []
+            for b in batch.column("blob"):
+                held.append(np.frombuffer(b.as_py(), dtype="<u2").reshape(-1, window))
+                if sum(map(len, held)) > 20_000:
+                    n += learn()
         if held:
-            rows = np.concatenate(held).astype(np.int64)
-            model.train(rows)
-            n += len(rows)
+            n += learn()
         if n:
             flat = np.concatenate([model.params[k].ravel() for k in sorted(model.params)]).astype(float) * n
             yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([flat.tobytes()], pa.binary())], ["n", "params"])
