@@ -165,6 +165,19 @@ def test_sharding_joins_copies(spark):
     assert max(own.values()) == 50  # a shard is full of the group that is larger than it
 
 
+def test_sharding_joins_copies_without_unlinked_rows(spark):
+    common.ship(spark)
+    assert sharding._admitted({(0, 1): 5, (1, 0): 3, (1, 2): 2, (2, 0): 2}, [0] * 8) == {(0, 1): 5, (1, 0): 3, (1, 2): 2, (2, 0): 2}  # swaps and a cycle need no room
+    assert sharding._admitted({(0, 1): 5, (1, 0): 3, (2, 1): 4}, [0, 1, 0, 0, 0, 0, 0, 0]) in ({(0, 1): 4, (1, 0): 3}, {(0, 1): 3, (1, 0): 3, (2, 1): 1})
+    for size in (2, 5):
+        out = sharding.shard(spark.createDataFrame([(i, f"group {i // size}") for i in range(2000)], "doc_id long, text string")).collect()
+        by = collections.defaultdict(set)
+        for r in out:
+            by[r.text_crc32].add(r.shard)
+        assert set(collections.Counter(r.shard for r in out).values()) == {250}
+        assert sum(len(s) > 1 for s in by.values()) <= (0.02 if size == 2 else 0.25) * len(by)
+
+
 def test_quality(docs, spark):
     out = quality_rules.signals(docs).select("doc_id", "text", "_tm_q.*").collect()
     for r in out:
