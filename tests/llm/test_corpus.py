@@ -68,6 +68,23 @@ def test_url_filter(spark):
     assert got == {3: "allow", 4: "allow"}  # x.com is allowed by rule, which precedes the block
 
 
+def test_url_filter_resolves_targets(spark):
+    common.ship(spark)
+    link, page = "<link rel=canonical href='{}'>", "http://a.org/x/y/p?q=1#f"
+    cases = [
+        ("page.html", "http://a.org/x/y/page.html"), ("../z", "http://a.org/x/z"), ("./", "http://a.org/x/y/"), ("../../../..", "http://a.org/"), ("?id=1", "http://a.org/x/y/p?id=1"), ("?a=1&amp;b=2", "http://a.org/x/y/p?a=1&b=2"),
+        ("/login?next=https://x.net/es/", "http://a.org/login?next=https://x.net/es/"), ("//b.org/k", "http://b.org/k"), ("HTTPS://b.org/a/../k", "HTTPS://b.org/k"), ("/a?b=../c", "http://a.org/a?b=../c"), ("#g", "http://a.org/x/y/p?q=1#g"),
+        ("mailto:a@b.org", None), ("&#47;n&#x2F;&eacute;&amp;lt;&none;&", "http://a.org/n/é&lt;&none;&"),
+    ]
+    rows = [(page, link.format(x), want) for x, want in cases] + [("http://a.org", link.format("p"), "http://a.org/p"), (page, "<base href='/d/'>" + link.format("e"), "http://a.org/d/e"), (page, "<meta http-equiv='refresh' content='0; url=../r'>", "http://a.org/x/r")]
+    df = spark.createDataFrame(rows, "url string, html string, want string")
+    for r in df.select("html", "want", url_filter._links(F.col("url"), F.col("html")).alias("got")).collect():
+        assert r.got == ([r.want] if r.want else []), r.html
+    pages = [(1, "http://x.net/es/1?a=1&b=2", None), (2, "http://x.net/pp", link.format("es/1?a=1&amp;b=2")), (3, "http://c.org/", link.format("/login?next=https://x.net/es/"))]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
 def plain_pii(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]

@@ -9,12 +9,16 @@ one makes them blocked, else they are allowed.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule,
 has no aliases and is allowed; edges from or to such urls are ignored; fragments
-do not distinguish urls, queries do; pages that repeat a url or a page_id are each judged;
+do not distinguish urls, queries do; targets in html have their entities decoded (those that end with
+a semicolon) and are resolved against the page's url, or its <base>; other schemes without // are no urls; pages that repeat a url or a page_id are each judged;
 of fitting rules of equal length the one first in string order wins; no pages give no rows.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, table
@@ -53,15 +57,66 @@ def rule(host_: Column, path_: Column, rules=RULES) -> Column:
     return F.coalesce(*[F.when(f, m) for f, m in zip(fits, made, strict=True)], F.lit(None))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), where value is worked out once however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _decoded(text: Column) -> Column:
+    """text with its html entities replaced, in one pass."""
+    named = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    parts = F.regexp_extract_all(text, F.lit(r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"), 1)
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"\A&#[xX]?([0-9a-fA-F]+);\z", 1)
+        number = F.when(part.rlike(r"\A&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+        char = _let(number, lambda code: F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("�")))
+        return F.when(part.rlike(r"\A&#.+;\z"), char).when(part.rlike(r"\A&.+;\z"), F.coalesce(F.try_element_at(named, part), part)).otherwise(part)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def _undotted(path_: Column) -> Column:
+    """path_ without its segments . and .."""
+    steps = F.slice(F.split(path_, "/"), 2, F.size(F.split(path_, "/")))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(steps, none, lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    kept = F.when(path_.rlike(r"/\.\.?\z"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path_.rlike(r"/\.\.?(/|\z)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path_)
+
+
+def _resolved(base: Column, target: Column) -> Column:
+    """target as seen from the url base, made absolute; null where it is empty or no url."""
+    return _let(F.struct(base.alias("base"), target.alias("target")), lambda x: _let(_joined(x["base"], x["target"]), _plain))
+
+
+def _joined(base: Column, target: Column) -> Column:
+    part = lambda p: F.regexp_extract(base, p, 1)
+    origin, scheme = part(r"\A([^:/?#]+://[^/?#]*)"), part(r"\A([^:/?#]+:)//")
+    own, query = part(r"\A[^:/?#]+://[^/?#]*([^?#]*)"), part(r"\A[^?#]*(\?[^#]*)")
+    folder = F.regexp_extract(own, r"\A(.*/)", 1)
+    return (
+        F.when(target == "", None).when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("?"), F.concat(origin, own, target)).when(target.startswith("#"), F.concat(origin, own, query, target))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target))
+    )
+
+
+def _plain(whole: Column) -> Column:
+    """An absolute url without the segments . and .. in its path."""
+    cut = lambda p: F.regexp_extract(whole, p, 1)
+    return F.concat(cut(r"\A([^:/?#]+://[^/?#]*)"), _let(cut(r"\A[^:/?#]+://[^/?#]*([^?#]*)"), _undotted), cut(r"\A[^?#]*([?#](?s:.*))"))
+
+
 def _links(url: Column, html: Column) -> Column:
     """Array of the urls that a page's html names as its canonical form or refreshes to, made absolute."""
-    tag = F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    canonical = F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    refresh = F.regexp_extract(meta, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    origin = F.regexp_extract(url, r"\A([^:/?#]+://[^/?#]*)", 1)
-    whole = lambda x: F.when(x == "", None).when(x.contains("://"), x).when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(origin, x))
-    return F.array_compact(F.array(whole(canonical), whole(refresh)))
+    value = lambda tag, name: _let(F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1), _decoded)
+    canonical = value(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), "href")
+    refresh = value(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), "url")
+    named = value(F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref\s*=[^>]*>", 0), "href")
+    base = F.coalesce(_resolved(url, named), url)
+    return F.array_compact(_let(base, lambda b: F.transform(F.array(canonical, refresh), lambda x: _resolved(b, x))))
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
