@@ -255,18 +255,67 @@ def test_language_model(docs, spark):
     want = collections.Counter((i, held(i), len(w := tokens(t)), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)) for i, t, _ in ROWS)
     assert collections.Counter((*tuple(r)[:5], round(r.base_score, 6)) for r in out) == want and all(r.score < 0 for r in out)
     assert attention_lm.scores(empty(docs)).count() == 0
+
+
+def subword_model():
+    """A small trained model over 300 ids and the end, whose ids follow each other with two ids between."""
     rng = np.random.default_rng(6)
-    model = attention_lm.Model(np.ones(300))
-    rows = np.cumsum(np.ones((600, 33), dtype=np.int64), axis=1) + rng.integers(0, 250, (600, 1))  # each id is followed by the next
-    rows %= 300
-    before, _ = model.loss(model.slot[rows[:50, :-1]], model.cls[rows[:50, 1:]])
-    model.train(rows, rate=0.02)
-    after, _ = model.loss(model.slot[rows[:50, :-1]], model.cls[rows[:50, 1:]])
-    assert after < 0.75 * before
-    # Probabilities of all ids sum to 1.
+    rows = np.cumsum(np.ones((600, 33), dtype=np.int64), axis=1) + rng.integers(0, 250, (600, 1))
+    rows = np.where(np.arange(33) % 3 > 0, rows % 300, rng.integers(0, 300, (600, 33)))
+    counts = np.bincount(rows[:, 1:].ravel(), minlength=301)
+    first, pairs = attention_lm.Model(counts), np.zeros((attention_lm.SLOTS, attention_lm.OWN + attention_lm.CLASSES), np.float32)
+    np.add.at(pairs, (first.slot[rows[:, :-1]], first.column(rows[:, 1:])), 1)
+    return attention_lm.Model(counts, np.arange(301) % 2 == 0, pairs), rows
+
+
+def test_attention_learns_beyond_pairs():
+    model, rows = subword_model()
+    x, y, weight = model.slot[rows[:50, :-1]], model.cls[rows[:50, 1:]], np.ones((50, 32))
+    before, _ = model.loss(x, y, weight)
+    for _ in range(8):
+        model.train(rows, np.ones(len(rows), dtype=np.int64), rate=0.02)
+    assert model.loss(x, y, weight)[0] < 0.9 * before
+    # The gradient is that of the loss.
+    loss, g = model.loss(x, y, weight)
+    rng = np.random.default_rng(7)
+    for name in ("w", "o", "d"):
+        way = rng.standard_normal(model.params[name].shape).astype(np.float32)
+        old, step = model.params[name], np.float32(1e-2)
+        ends = []
+        for sign in (1, -1):
+            model.params[name] = old + sign * step * way
+            ends.append(model.loss(x, y, weight)[0])
+        model.params[name] = old
+        assert (ends[0] - ends[1]) / (2 * step) == pytest.approx(float((g[name] * way).sum()), rel=0.05, abs=2e-3)
+
+
+def test_blocks_score_like_one_token_at_a_time():
+    model, _ = subword_model()
     model.tables()
-    one = [model.score(np.array([7, i]), np.array([2]))[0] - model.score(np.array([7, i]), np.array([2]))[0] for i in (1, 2)]
-    assert one == [0, 0] and sum(10 ** model.within[model.cls == 3]) == pytest.approx(1)
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 300, n).tolist() for n in (0, 1, 15, 16, 17, 33, 50, 100)]
+    got = model.score(np.array([i for t in texts for i in t]), np.array([len(t) for t in texts]), block=3)
+    for t, score in zip(texts, got, strict=True):
+        whole, want = [300, *t, 300], 0.0
+        for k in range(1, len(whole)):
+            every = model.next_ids(whole[:k])
+            assert sum(10.0**every) == pytest.approx(1, abs=1e-5)
+            want += every[whole[k]]
+        assert score == pytest.approx(want, rel=1e-5)
+
+
+def test_scores_follow_from_the_documents_alone(spark):
+    docs = common.table(spark, SF, "documents")
+    one, many = (sorted(map(tuple, attention_lm.scores(docs.repartition(n)).collect())) for n in (1, 7))
+    assert one == many
+    # Held-out documents: well above the share of each subword.
+    plain = piece_bpe.load(piece_bpe.default_path())
+    rows, end = docs.collect(), len(plain.pieces)
+    ids = {r.doc_id: [*plain.encode([r.text or ""])[0], end] for r in rows}
+    held = {r[0] for r in one if r[1]}
+    counts = np.bincount([i for d, own in ids.items() if d not in held for i in own], minlength=end + 1) + 1.0
+    share = np.log10(counts / counts.sum())
+    assert sum(r[6] for r in one if r[1]) > 0.8 * sum(share[ids[d]].sum() for d in held)
 
 
 def test_warc(spark, tmp_path):
@@ -351,19 +400,31 @@ def test_scorer_reads_the_same_ids_as_the_plain_encoder():
 
 
 def test_language_model_trains_on_every_subword():
-    texts = [None, "", "end", "\n".join(f"word{k} two" for k in range(4000)), "日本語テキスト" * 900, " ".join(f"w{k}" for k in range(31)), "z " * 300]
+    texts = [None, "", "end", "\n".join(f"word{k} two" for k in range(4000)), "日本語テキスト" * 900, " ".join(f"w{k}" for k in range(31)), "z " * 300, "end"]
     plain = piece_bpe.load(piece_bpe.default_path()).encode([t or "" for t in texts])
     end = len(piece_bpe.load(piece_bpe.default_path()).pieces)
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    blobs = [b for out in attention_lm._learn(16, piece_bpe.default_path())([batch]) for k, b in zip(out.column("key").to_pylist(), out.column("blob").to_pylist(), strict=True) if k == -1000]
-    rows = np.concatenate([np.frombuffer(b, dtype="<u2").reshape(-1, 33) for b in blobs]).astype(np.int64)
-    learned = rows[:, 1:]
-    assert learned[learned != 65535].tolist() == [i for ids in plain for i in [*ids, end]]
-    opens = np.append(True, rows[:-1, 1:].max(axis=1) >= end)  # the window before has the end
-    assert (rows[opens, 0] == end).all() and (rows[1:, 0] == rows[:-1, -1])[~opens[1:]].all() and opens.sum() == len(texts)
-    # What fills up a window is not learned.
+    blobs = [(k, b) for out in attention_lm._learn(16, 6, piece_bpe.default_path())([batch]) for k, b in zip(out.column("key").to_pylist(), out.column("blob").to_pylist(), strict=True) if k <= attention_lm.WINDOWS]
+    assert {k for k, _ in blobs} == {attention_lm.WINDOWS - g for g in range(6)}
+    rows = np.concatenate([np.frombuffer(b, dtype=attention_lm.WINDOW) for _, b in blobs])
+    want = collections.Counter()
+    for ids in plain:
+        own = [end, *ids, end]
+        for at in range(0, len(own) - 1, 32):
+            want[tuple((own[at : at + 33] + [65535] * 33)[:33])] += 1
+    assert {tuple(r["ids"].tolist()): int(r["n"]) for r in rows} == want and want[(end, *plain[2], end, *[65535] * (31 - len(plain[2])))] == 2
+    # Windows that are alike weigh as many, and what fills up a window is not learned.
     model, rng = attention_lm.Model(np.ones(300)), np.random.default_rng(8)
     x, y = model.slot[rng.integers(0, 300, (5, 32))], model.cls[rng.integers(0, 300, (5, 32))]
     real = np.arange(32) < np.full((5, 1), 20)
-    short, whole = model.loss(x[:, :20], y[:, :20]), model.loss(x, y, real)
-    assert whole[0] == pytest.approx(short[0], rel=1e-5) and all(np.allclose(whole[1][k], short[1][k], atol=1e-6) for k in short[1])
+    pick = lambda g: {k: v for k, v in g.items() if k != "e"}
+    for a, b in (((x[:, :20], y[:, :20], np.ones((5, 20))), (x, y, real * 1.0)), ((x[[0, 0, 1]], y[[0, 0, 1]], np.ones((3, 32))), (x[:2], y[:2], np.ones((2, 32)) * [[2], [1]]))):
+        short, whole = model.loss(*a), model.loss(*b)
+        assert whole[0] == pytest.approx(short[0], rel=1e-5) and all(np.allclose(whole[1][k], v, atol=1e-6) for k, v in pick(short[1]).items())
+        assert np.allclose(whole[1]["e"][1].sum(axis=0), short[1]["e"][1].sum(axis=0), atol=1e-6)
+
+
+def test_merged_windows_are_weighed():
+    rows = attention_lm._dealt(np.array([[1] * 33, [2] * 33, [1] * 33], dtype="<u2"))
+    both = attention_lm._weighed(np.concatenate([rows, rows]))
+    assert sorted((int(r["ids"][0]), int(r["n"])) for r in both) == [(1, 4), (2, 2)]

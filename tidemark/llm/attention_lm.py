@@ -1,13 +1,18 @@
 """Language-model scores: a word model from all counts, and a causal self-attention model on subword ids.
 
 Learning reads every training document: all words are counted (in packed blocks by hash range), all
-subword ids are counted, and all of them, each text cut into consecutive windows that end with its
-end, train the attention model.  Training is data-parallel: every task takes its own windows through gradient
-steps from one start, and the parameters are averaged over the windows in a tree.
+subword ids and all pairs of neighbouring ids are counted, and all of them, each text cut into
+consecutive windows that end with its end, train the attention model.  Equal windows are one window
+that weighs as many.  Windows are dealt by their hash to groups of bounded size, in rounds: in a
+round each group takes gradient steps through its windows, in the order of their hashes, from the
+round's start, and the parameters are averaged over the groups, weighted by their windows, in whole
+numbers.  So the model, and every score, follows from the documents and not from their partitions.
 
 The model: embeddings of subword ids, one head of causal attention over a window with a
-learned bias for each distance, a residual, and a softmax over classes of ids; an id has its
-share of its class by the counts.  So the probabilities of all ids sum to 1.
+learned bias for each distance, a residual, and a softmax over classes of ids.  What attention
+adds is added to the log share of each class after the id before, by the counts; within its class an id has
+its share after the id before, by the counts, smoothed with its share of all.  So the probabilities of all
+ids sum to 1, and with no training the model is that of the counted pairs.
 
 Scoring slides overlapping windows over each text: blocks of HALF tokens see the HALF tokens
 before them too, and every token, the end included, is scored once, in batched masked attention.
@@ -31,103 +36,163 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, bytes_of, table
+from .common import Scratch, table
 from .piece_bpe import SPACE, default_path, load
 from .textscan import U64, flat, hashes, mix, pieces, scan
 
 HALF, WIDTH, CLASSES = 16, 16, 64
 OWN, SHARED = 1536, 512
+SLOTS = OWN + SHARED
 #: Fills up a text's last training window; not learned.
 PAD = (1 << 16) - 1
-#: Windows in a packed row, at most.
-PACKED = 1 << 14
-#: Words in the table that is sent to all tasks, at most.
-HEAD = 1 << 18
+SEEN = 2 * HALF
+WINDOW = np.dtype([("hash", "<u8"), ("n", "<i8"), ("ids", "<u2", (SEEN + 1,))])
+#: Rounds of training with their rates, and the bytes of text whose windows a group of all rounds holds.
+RATES, GROUP_BYTES, BATCH = (0.015, 0.006), 8 << 20, 128
+#: Weight of the share of all beside the counts after an id.
+SMOOTH = 10.0
+#: Words in the table that is sent to all tasks, at most; bytes of text for each hash range of words.
+HEAD, RANGE_BYTES = 1 << 18, 32 << 20
 RANGES = 256
 F32 = np.float32
 #: A number for each byte value, for hashes, and the bytes of the mark that stands for a space.
 PLAIN, MARK = mix(np.arange(256, dtype=U64), 11), SPACE.encode()
 ONES, ONES_C = np.ones((HALF, 1), F32), np.ones((CLASSES, 1), F32)
+#: Keys of the rows that carry windows begin here and fall.
+WINDOWS = -1000
 
 
 # ---- the model
 
 
 class Model:
-    """Parameters and the class tables; ids of the vocabulary, then its size as the end and start token."""
+    """Tables of the counts, and parameters; ids of the vocabulary, then its size as the end and start token.
 
-    def __init__(self, counts: np.ndarray, params: dict | None = None):
+    counts: of each id; opens: whether it begins a word; pairs: SLOTS rows (the id before) of OWN + CLASSES counts,
+    those of the OWN most frequent ids and, by class, of the others.
+    """
+
+    def __init__(self, counts: np.ndarray, opens: np.ndarray | None = None, pairs: np.ndarray | None = None, params: dict | None = None):
         n = len(counts)
         order = np.lexsort((np.arange(n), -counts))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.arange(n)
-        self.slot = np.where(rank < OWN, rank, OWN + np.arange(n) % SHARED)
-        mass = np.cumsum((counts[order] + 1.0)) / (counts + 1.0).sum()
+        self.rank = np.empty(n, dtype=np.int64)
+        self.rank[order] = np.arange(n)
+        self.slot = np.where(self.rank < OWN, self.rank, OWN + np.arange(n) % SHARED)
+        # Half of the classes are the most frequent ids, the others equal shares of the rest, those that begin words first.
         single = CLASSES // 2
-        cls = np.empty(n, dtype=np.int64)
+        if opens is not None:
+            order = np.concatenate([order[:single], order[single:][np.argsort(~opens[order[single:]], kind="stable")]])
+        mass = np.cumsum((counts[order] + 1.0)) / (counts + 1.0).sum()
         rest = np.maximum(0, mass - mass[single - 1]) / (1 - mass[single - 1])
-        cls[order] = np.where(np.arange(n) < single, np.arange(n), np.minimum(CLASSES - 1, single + (rest * (CLASSES - single)).astype(int)))
-        self.cls = cls
-        total = np.bincount(cls, weights=counts + 1.0, minlength=CLASSES)
-        self.total = total
-        self.within = np.log10((counts + 1.0) / total[cls])
-        self.params = params or self.start(total)
+        self.cls = np.empty(n, dtype=np.int64)
+        self.cls[order] = np.where(np.arange(n) < single, np.arange(n), np.minimum(CLASSES - 1, single + (rest * (CLASSES - single)).astype(int)))
+        total = np.bincount(self.cls, weights=counts + 1.0, minlength=CLASSES)
+        self.share = (counts + 1.0) / total[self.cls]
+        self.pairs = np.zeros((SLOTS, OWN + CLASSES), F32) if pairs is None else pairs
+        # After each slot: the counts of each class, of all its ids and of those among the OWN most frequent.
+        frequent = np.zeros((OWN, CLASSES), F32)
+        own = np.flatnonzero(self.rank < OWN)
+        frequent[self.rank[own], self.cls[own]] = 1
+        self.of_class = (self.pairs[:, :OWN] @ frequent).astype(float)
+        every = self.of_class + self.pairs[:, OWN:]
+        self.prior = np.log((every + SMOOTH * total / total.sum()) / (every.sum(axis=1, keepdims=True) + SMOOTH)).astype(F32)
+        self.params = params or self.start()
 
     @staticmethod
-    def start(total: np.ndarray) -> dict:
+    def start() -> dict:
         rng = np.random.default_rng(5)
-        g = lambda *s, k=0.1: (k * rng.standard_normal(s)).astype(F32)
-        return {"e": g(OWN + SHARED, WIDTH, k=0.3), "q": g(WIDTH, WIDTH, k=0.25), "k": g(WIDTH, WIDTH, k=0.25), "v": g(WIDTH, WIDTH, k=0.25), "d": np.zeros(2 * HALF, F32), "o": g(WIDTH, CLASSES), "b": np.log(np.maximum(total, 0.5) / np.maximum(total, 0.5).sum()).astype(F32)}
-
-    def loss(self, x: np.ndarray, y: np.ndarray, real: np.ndarray | None = None) -> tuple[float, dict]:
-        """Mean loss in nats of windows x (slots) with classes y to come, and gradients; of the places where real holds, which lie before the others."""
+        g = lambda *s, k: (k * rng.standard_normal(s)).astype(F32)
+        return {"d": (-0.1 * np.arange(SEEN)).astype(F32), "e": g(SLOTS, WIDTH, k=0.3), "o": g(WIDTH, CLASSES, k=0.02), "w": g(WIDTH, 3 * WIDTH, k=0.25)}
+
+    def column(self, ids: np.ndarray) -> np.ndarray:
+        """Where the counts of pairs that end with each id stand."""
+        return np.where(self.rank[ids] < OWN, self.rank[ids], OWN + self.cls[ids])
+
+    def within(self, slot: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log10 of the share that each id has of its class, after the slot."""
+        rank = self.rank[ids]
+        seen = np.where(rank < OWN, self.pairs[slot, np.minimum(rank, OWN - 1)], F32(0))
+        return np.log10((seen + SMOOTH * self.share[ids]) / (self.of_class[slot, self.cls[ids]] + SMOOTH))
+
+    def next_ids(self, ids: list[int]) -> np.ndarray:
+        """log10 probability of every id after ids (the start first), one token at a time; what score does in blocks."""
+        p, n = self.params, len(ids)
+        seen = p["e"][self.slot[ids]].astype(float)
+        q, k, v = np.split(seen @ p["w"], 3, axis=1)
+        first = max(0, (n - 1) // HALF * HALF - HALF)  # of the block of the last id and the one before
+        weight = np.exp(k[first:] @ q[-1] / math.sqrt(WIDTH) + p["d"][np.arange(n - 1, -1, -1)[first:]])
+        z = (seen[-1] + weight @ v[first:] / weight.sum()) @ p["o"] + self.prior[self.slot[ids[-1]]]
+        z = z - z.max()
+        every = np.arange(len(self.slot))
+        return ((z - np.log(np.exp(z).sum())) / math.log(10))[self.cls] + self.within(np.full(len(every), self.slot[ids[-1]]), every)
+
+    def loss(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+        """Mean loss in nats of windows x (slots) with classes y to come, weighted by weight, and gradients (that of e by its rows)."""
         p, (b, n) = self.params, x.shape
-        real = np.ones((b, n), dtype=bool) if real is None else real
-        e = p["e"][x]
-        q, k, v = ((e.reshape(-1, WIDTH) @ p[w]).reshape(e.shape) for w in "qkv")
+        flat_x, m = x.ravel(), x.size
+        e = p["e"][flat_x]
+        t = e @ p["w"]
+        q, k, v = (np.ascontiguousarray(t[:, i * WIDTH : (i + 1) * WIDTH]).reshape(b, n, WIDTH) for i in range(3))
         gap = np.arange(n)[:, None] - np.arange(n)[None, :]
-        s = q @ k.transpose(0, 2, 1) / F32(math.sqrt(WIDTH)) + np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9))
-        a = np.exp(s - s.max(axis=2, keepdims=True))
+        low, gap = gap >= 0, np.abs(gap)
+        a = q @ k.transpose(0, 2, 1)
+        a *= F32(1 / math.sqrt(WIDTH))
+        a += np.where(low, p["d"][gap], F32(-1e9))
+        # Scores are bounded, so that no maximum needs to be taken off.
+        np.exp(np.minimum(a, F32(60), out=a), out=a)
         a /= a.sum(axis=2, keepdims=True)
-        h = e + a @ v
-        z = (h.reshape(-1, WIDTH) @ p["o"]).reshape(b, n, CLASSES) + p["b"]
-        z -= z.max(axis=2, keepdims=True)
-        t = np.exp(z)
-        t /= t.sum(axis=2, keepdims=True)
-        at = (np.arange(b)[:, None], np.arange(n)[None, :], y)
-        loss = float(-np.log(t[at] + 1e-20)[real].mean())
-        t[at] -= 1
-        t *= (real / F32(real.sum())).astype(F32)[:, :, None]
-        dh = (t.reshape(-1, CLASSES) @ p["o"].T).reshape(e.shape)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk, dv = ds @ k / F32(math.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q / F32(math.sqrt(WIDTH)), a.transpose(0, 2, 1) @ dh
-        de = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "o": flat(h).T @ flat(t), "b": flat(t).sum(axis=0)}
-        own = ds.sum(axis=0)
-        g["d"] = np.bincount(gap[gap >= 0], weights=own[gap >= 0], minlength=2 * HALF).astype(F32)
-        cell = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-        g["e"] = np.bincount(cell.ravel(), weights=de.ravel(), minlength=p["e"].size).reshape(p["e"].shape).astype(F32)
+        h = e + (a @ v).reshape(m, WIDTH)
+        z = h @ p["o"]
+        z += self.prior[flat_x]
+        np.exp(np.clip(z, F32(-60), F32(60), out=z), out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        at = (np.arange(m), y.ravel())
+        scale = (weight / weight.sum()).astype(F32).ravel()
+        loss = float(-np.log(z[at] + 1e-20) @ scale)
+        z[at] -= 1
+        z *= scale[:, None]
+        dh = z @ p["o"].T
+        da = dh.reshape(b, n, WIDTH) @ v.transpose(0, 2, 1)
+        da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+        da *= a
+        g = {"o": h.T @ z, "d": np.bincount(gap[low], weights=da.sum(axis=0)[low], minlength=SEEN).astype(F32)}
+        dv = a.transpose(0, 2, 1) @ dh.reshape(b, n, WIDTH)
+        da *= F32(1 / math.sqrt(WIDTH))
+        dt = np.concatenate([(da @ k).reshape(m, WIDTH), (da.transpose(0, 2, 1) @ q).reshape(m, WIDTH), dv.reshape(m, WIDTH)], axis=1)
+        g["w"] = e.T @ dt
+        dh += dt @ p["w"].T
+        order = np.argsort(flat_x.astype(np.uint16), kind="stable")
+        rows = flat_x[order]
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        g["e"] = (rows[starts], np.add.reduceat(dh[order], starts, axis=0))
         return loss, g
 
-    def train(self, windows: np.ndarray, batch: int = 64, rate: float = 0.01) -> None:
-        """One pass over windows (ids, one more than is seen, filled up with PAD) with Adam."""
+    def train(self, windows: np.ndarray, weights: np.ndarray, rate: float) -> None:
+        """One pass over windows (ids, one more than is seen, filled up with PAD) with Adam, the rate falling over its second half."""
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         s = {k: np.zeros_like(v) for k, v in self.params.items()}
-        for t, at in enumerate(range(0, len(windows), batch), 1):
-            w = windows[at : at + batch]
-            real = w[:, 1:] != PAD
-            w = np.where(w == PAD, 0, w)
-            _, g = self.loss(self.slot[w[:, :-1]], self.cls[w[:, 1:]], real)
+        self.params = {k: v.copy() for k, v in self.params.items()}
+        for t, at in enumerate(range(0, len(windows), BATCH), 1):
+            w = windows[at : at + BATCH].astype(np.int64)
+            weight = (w[:, 1:] != PAD) * weights[at : at + BATCH, None].astype(float)
+            w[w == PAD] = 0
+            _, g = self.loss(self.slot[w[:, :-1]], self.cls[w[:, 1:]], weight)
+            rows, own = g.pop("e")
+            m["e"] *= F32(0.9)
+            s["e"] *= F32(0.99)
+            m["e"][rows] += F32(0.1) * own
+            s["e"][rows] += F32(0.01) * own * own
             for k in g:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                self.params[k] = (self.params[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)).astype(F32)
+                m[k] += F32(0.1) * (g[k] - m[k])
+                s[k] += F32(0.01) * (g[k] * g[k] - s[k])
+            now = rate * min(1.0, 2 * (1 - at / len(windows)))
+            for k, v in self.params.items():
+                v -= F32(now / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] * F32(1 / (1 - 0.99**t))) + F32(1e-6))
 
     def tables(self) -> None:
         p = self.params
-        self.q, self.k, self.v = ((p["e"] @ p[x]).astype(F32) for x in "qkv")
+        t = (p["e"] @ p["w"]).astype(F32)
+        self.q, self.k, self.v = (np.ascontiguousarray(t[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
         self.q /= F32(math.sqrt(WIDTH))
         gap = np.arange(HALF)[:, None] - np.arange(HALF)[None, :]
         self.near = np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9)).astype(F32)
@@ -164,21 +229,20 @@ class Model:
             near += self.near
             far += self.far
             far[opens[a : a + block]] = F32(-1e9)
-            # Scores are bounded, so that no maximum needs to be taken off.
             np.exp(np.minimum(near, F32(60), out=near), out=near)
             np.exp(np.minimum(far, F32(60), out=far), out=far)
             mixed = near @ v
             mixed += far @ vb
-            mixed /= (near @ ONES + far @ ONES)
+            mixed /= near @ ONES + far @ ONES
             mixed += p["e"][own]
             z = mixed.reshape(-1, WIDTH) @ p["o"]
-            z += p["b"]
+            z += self.prior[own.ravel()]
             np.clip(z, F32(-60), F32(60), out=z)
             target = targets[a * HALF : (a + block) * HALF]
             got = z[np.arange(len(z)), target]
             np.exp(z, out=z)
             score[a * HALF : (a + block) * HALF] = got - np.log(z @ ONES_C).ravel()
-        score = score / math.log(10) + self.within[want]
+        score = score / math.log(10) + self.within(slots.ravel(), want)
         return np.add.reduceat(np.where(real, score, 0.0), lead[:-1]) if n else np.zeros(0)
 
 
@@ -288,21 +352,47 @@ def encoder_of(path: str) -> Encoder:
 
 def _windows(ids: np.ndarray, many: np.ndarray, end: int) -> np.ndarray:
     """All ids of all texts, and the end of each text, in consecutive windows that start with what comes before (the end where a text starts)."""
-    seen = 2 * HALF
-    rows = -(-(many + 1) // seen)
+    rows = -(-(many + 1) // SEEN)
     first = np.cumsum(rows) - rows
-    body = np.full(rows.sum() * seen, PAD, dtype="<u2")
-    body[np.arange(len(ids)) + np.repeat(first * seen - (np.cumsum(many) - many), many)] = ids
-    body[first * seen + many] = end
-    out = np.empty((rows.sum(), seen + 1), dtype="<u2")
-    out[:, 1:] = body.reshape(-1, seen)
+    body = np.full(rows.sum() * SEEN, PAD, dtype="<u2")
+    body[np.arange(len(ids)) + np.repeat(first * SEEN - (np.cumsum(many) - many), many)] = ids
+    body[first * SEEN + many] = end
+    out = np.empty((rows.sum(), SEEN + 1), dtype="<u2")
+    out[:, 1:] = body.reshape(-1, SEEN)
     out[1:, 0] = out[:-1, -1]
     out[first, 0] = end
     return out
 
 
-def _learn(n_buckets: int, path: str):
-    """Training documents -> rows (key, blob): word counts by hash range; subword counts by id range (-1 - range); windows (-1000); number of texts (-1001)."""
+def _weighed(rows: np.ndarray) -> np.ndarray:
+    """Equal windows as one, by their hashes; hashes that differ in their windows stay apart."""
+    rows = rows[np.argsort(rows["hash"], kind="stable")]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows["hash"][1:] != rows["hash"][:-1]) | (rows["ids"][1:] != rows["ids"][:-1]).any(axis=1)
+    starts = np.flatnonzero(new)
+    out = rows[starts]
+    if len(starts):
+        out["n"] = np.add.reduceat(rows["n"], starts)
+    return out
+
+
+#: Odd numbers, one for each place of a window.
+PLACES = mix(np.arange(SEEN + 1, dtype=U64), 13) | U64(1)
+
+
+def _dealt(ids: np.ndarray) -> np.ndarray:
+    """Windows with their hashes, equal ones as one."""
+    out = np.empty(len(ids), dtype=WINDOW)
+    h = np.zeros(len(ids), dtype=U64)
+    with np.errstate(over="ignore"):
+        for k in range(SEEN + 1):
+            h += ids[:, k].astype(U64) * PLACES[k]
+    out["hash"], out["n"], out["ids"] = mix(h), 1, ids
+    return _weighed(out)
+
+
+def _learn(n_ranges: int, n_groups: int, path: str):
+    """Training documents -> rows (key, blob): word counts by hash range; subword counts by id range (-1 - range); windows by group (WINDOWS - group)."""
 
     def run(batches):
         encoder = encoder_of(path)
@@ -316,23 +406,21 @@ def _learn(n_buckets: int, path: str):
             return h, c
 
         def packed(h, c):
-            cuts = np.searchsorted(h, _edges(n_buckets))
-            cuts[-1] = len(h)
-            keys = [b for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
-            return keys, [h[cuts[b] : cuts[b + 1]].tobytes() + c[cuts[b] : cuts[b + 1]].tobytes() for b in keys]
+            keys, cuts = _ranges(h, n_ranges)
+            return keys.tolist(), [h[a:b].tobytes() + c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
         for batch in batches:
             for piece in pieces(batch):
-                scanned = scan(piece.column("text")).hash
-                h, c = np.unique(scanned, return_counts=True)
+                h, c = np.unique(scan(piece.column("text")).hash, return_counts=True)
                 words.append(h)
                 counts.append(c)
                 texts += piece.num_rows
                 ids, many = encoder.ids(piece.column("text"))
                 subwords[:n_ids] += np.bincount(ids, minlength=n_ids)
-                rows = _windows(ids, many, n_ids)
-                blobs = [rows[a : a + PACKED].tobytes() for a in range(0, len(rows), PACKED)]
-                keys = [-1000] * len(blobs)
+                rows = _dealt(_windows(ids, many, n_ids))
+                groups, cuts = _ranges(rows["hash"], n_groups)
+                keys = (WINDOWS - groups).tolist()
+                blobs = [rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 if sum(map(len, words)) > 4_000_000:
                     h, c = flush()
                     if len(h) > 2_000_000:
@@ -349,21 +437,26 @@ def _learn(n_buckets: int, path: str):
                 if len(own):
                     keys.append(-1 - r)
                     blobs.append((r + own * RANGES).astype("<i8").tobytes() + subwords[r::RANGES][own].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([*keys, -1001], pa.int64()), pa.array([*blobs, np.int64(texts).tobytes()], pa.binary())], ["key", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
 
     return run
 
 
-def _edges(n: int) -> np.ndarray:
-    """n + 1 edges of equal ranges of 64-bit hashes; the last is the largest value."""
-    return np.array([*(k * (1 << 64) // n for k in range(n)), (1 << 64) - 1], dtype=U64)
+def _ranges(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted 64-bit hashes dealt to n equal ranges: the ranges that have any, and where they begin, with the end."""
+    own = (h >> U64(32)) * U64(n) >> U64(32)
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, dtype=np.int64)
+    return own[starts].astype(np.int64), np.append(starts, len(own))
 
 
 def _merge(head_size: int):
-    """Adds up the counts of one range; also the most frequent words of a hash range."""
+    """Adds up the counts of one range, or the windows of one group; also the most frequent words of a hash range."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        half = [(np.frombuffer(b, dtype="<u8", count=len(b) // 16), np.frombuffer(b, dtype="<i8", offset=len(b) // 2)) for b in rows["blob"]]
+        if key[0] <= WINDOWS:
+            own = _weighed(np.concatenate([np.frombuffer(b, dtype=WINDOW) for b in rows["blob"]]))
+            return pd.DataFrame([(key[0], int(own["n"].sum()), len(own), own["n"].tobytes() + own["ids"].tobytes(), b"")], columns=["key", "n", "v", "blob", "head"])
+        half = [_halves(b) for b in rows["blob"]]
         h, inverse = np.unique(np.concatenate([x[0] for x in half]), return_inverse=True)
         c = np.bincount(inverse, weights=np.concatenate([x[1] for x in half])).astype("<i8")
         top = np.sort(np.lexsort((h, -c))[:head_size])
@@ -376,58 +469,84 @@ def _halves(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, dtype="<u8", count=len(blob) // 16), np.frombuffer(blob, dtype="<i8", offset=len(blob) // 2)
 
 
-def _fitted(windows: DataFrame, counts: np.ndarray) -> dict:
-    """Parameters averaged over the tasks, by the number of their windows."""
-    sc = windows.sparkSession.sparkContext
-    sent = sc.broadcast(counts)
-    window = 2 * HALF + 1
+def _group(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, how often each occurs) of a merged group of n."""
+    return np.frombuffer(blob, dtype="<u2", offset=8 * n).reshape(n, SEEN + 1), np.frombuffer(blob, dtype="<i8", count=n)
 
-    def run(batches):
-        model, n = Model(sent.value), 0
-        held = []
 
-        def learn():
-            # Windows of one text are spread over the steps.
-            rows = np.concatenate(held).astype(np.int64)
-            held.clear()
-            model.train(np.random.default_rng(7).permutation(rows))
-            return len(rows)
+def _pairs(windows: DataFrame, counts: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """How often each slot is followed by each frequent id and by others of each class (SLOTS x (OWN + CLASSES), whatever the corpus)."""
+    sent, wide, block = windows.sparkSession.sparkContext.broadcast((counts, opens)), OWN + CLASSES, 64
 
+    def count(batches):
+        model, seen = Model(*sent.value), np.zeros(SLOTS * wide, dtype=np.int64)
         for batch in batches:
-            for b in batch.column("blob"):
-                held.append(np.frombuffer(b.as_py(), dtype="<u2").reshape(-1, window))
-                if sum(map(len, held)) > 20_000:
-                    n += learn()
-        if held:
-            n += learn()
-        if n:
-            flat = np.concatenate([model.params[k].ravel() for k in sorted(model.params)]).astype(float) * n
-            yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([flat.tobytes()], pa.binary())], ["n", "params"])
-
-    trained = windows.mapInArrow(run, "n double, params binary").rdd.map(lambda r: (r[0], np.frombuffer(bytes(r[1]))))
-    start = Model(counts).params
-    zero = (0.0, np.zeros(sum(v.size for v in start.values())))
-    add = lambda a, b: (a[0] + b[0], a[1] + b[1])
-    n, flat = trained.treeAggregate(zero, add, add, depth=2)
-    if not n:
-        return start
-    out, at = {}, 0
-    for k in sorted(start):
-        out[k] = (flat[at : at + start[k].size] / n).reshape(start[k].shape).astype(F32)
-        at += start[k].size
-    return out
-
-
-def _score(sent, n_buckets: int, path: str):
+            for b, v in zip(batch.column("blob"), batch.column("v"), strict=True):
+                ids, n = _group(b.as_py(), v.as_py())
+                for at in range(0, len(ids), 1 << 14):
+                    w = ids[at : at + (1 << 14)].astype(np.int64)
+                    ok = w[:, 1:] != PAD
+                    cell = model.slot[w[:, :-1][ok]] * wide + model.column(w[:, 1:][ok])
+                    seen += np.bincount(cell, weights=np.repeat(n[at : at + (1 << 14)], SEEN)[ok.ravel()], minlength=len(seen)).astype(np.int64)
+        keys, blobs = [], []
+        for k in range(SLOTS // block):
+            own = seen[k * block * wide : (k + 1) * block * wide]
+            at = np.flatnonzero(own)
+            if len(at):
+                keys.append(k)
+                blobs.append((at + k * block * wide).astype("<i8").tobytes() + own[at].astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+
+    counted = windows.select("v", "blob").mapInArrow(count, "key long, blob binary").groupBy("key").applyInPandas(_merge(0), "key long, n long, v long, blob binary, head binary")
+    out = np.zeros(SLOTS * wide, F32)
+    for r in counted.select("blob").collect():
+        at, c = _halves(bytes(r.blob))
+        out[at.astype(np.int64)] = c
+    sent.destroy()
+    return out.reshape(SLOTS, wide)
+
+
+def _fitted(windows: DataFrame, model: Model, tables: tuple) -> dict:
+    """Parameters after all rounds; windows: merged groups (key, n, v, blob)."""
+    sc = windows.sparkSession.sparkContext
+    shape = {k: v.shape for k, v in sorted(model.params.items())}
+    tables = sc.broadcast(tables)
+    for turn, rate in enumerate(RATES):
+        own = windows.where(F.pmod(WINDOWS - F.col("key"), F.lit(len(RATES))) == turn)
+        total = own.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+        if not total:
+            continue
+        # Whole numbers, so that the order of the sum has no say; parameters are below 2 ** 7.
+        scale = 2.0 ** min(30, 55 - math.ceil(math.log2(total + 1)))
+        start = sc.broadcast(model.params)
+
+        def run(batches, start=start, rate=rate, scale=scale):
+            for batch in batches:
+                for b, v in zip(batch.column("blob"), batch.column("v"), strict=True):
+                    now = Model(*tables.value, params=start.value)
+                    now.train(*_group(b.as_py(), v.as_py()), rate=rate)
+                    whole = np.concatenate([np.rint(now.params[k].ravel().astype(float) * scale).astype(np.int64) for k in shape]) * v.as_py()
+                    yield pa.RecordBatch.from_arrays([pa.array([v.as_py()], pa.int64()), pa.array([whole.tobytes()], pa.binary())], ["n", "params"])
+
+        trained = own.select("v", "blob").mapInArrow(run, "n long, params binary").rdd.map(lambda r: (r[0], np.frombuffer(bytes(r[1]), dtype="<i8")))
+        add = lambda a, b: (a[0] + b[0], a[1] + b[1])
+        n, whole = trained.treeAggregate((0, np.zeros(sum(map(math.prod, shape.values())), dtype="<i8")), add, add, depth=2)
+        ends = np.cumsum([math.prod(s) for s in shape.values()])
+        model.params = {k: (part / (scale * n)).reshape(shape[k]).astype(F32) for k, part in zip(shape, np.split(whole, ends[:-1]), strict=True)}
+        start.destroy()
+    tables.destroy()
+    return model.params
+
+
+def _score(sent, n_ranges: int, path: str):
     """All documents -> rows (key, chunk, blob): by hash range the words that are not in the head table; under -1 - chunk what is known of each document."""
 
     def run(batches):
-        counts, params, head, head_count = sent.value
-        model, encoder = Model(counts, params), encoder_of(path)
+        tables, params, head, head_count = sent.value
+        model, encoder = Model(*tables, params=params), encoder_of(path)
         model.tables()
         logs = np.log10(head_count + 1.0)
         part, seq = TaskContext.get().partitionId(), 0
-        edges = _edges(n_buckets)
         for batch in batches:
             for piece in pieces(batch):
                 words = scan(piece.column("text"))
@@ -446,10 +565,8 @@ def _score(sent, n_buckets: int, path: str):
                 null = np.array([not v.is_valid for v in piece.column("doc_id")], dtype="<i8")
                 held = piece.column("held_out").to_numpy(zero_copy_only=False).astype("<i8")
                 meta = b"".join(x.tobytes() for x in (ids, null, held, np.diff(words.first).astype("<i8") + 1, known.astype("<i8"), sums.astype("<f8"), scores.astype("<f8")))
-                cuts = np.searchsorted(tail, edges)
-                cuts[-1] = len(tail)
-                keys = [b for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
-                blobs = [tail[cuts[b] : cuts[b + 1]].tobytes() + doc[cuts[b] : cuts[b + 1]].tobytes() for b in keys]
+                keys, cuts = _ranges(tail, n_ranges)
+                blobs = [tail[a:b].tobytes() + doc[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk, *keys], pa.int64()), pa.array([chunk] * (1 + len(keys)), pa.int64()), pa.array([meta, *blobs], pa.binary())], ["key", "chunk", "blob"])
 
     return run
@@ -498,24 +615,30 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
     path, scratch = path or default_path(), Scratch(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    n_buckets = min(8192, max(16, bytes_of(docs) >> 23))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"))
-    made = scratch.save(docs.where(~held).select("text").mapInArrow(_learn(n_buckets, path), "key long, blob binary"))
-    merged = made.where("key > -1000").groupBy("key").applyInPandas(_merge(max(1, HEAD // n_buckets)), "key long, n long, v long, blob binary, head binary")
+    # Of the texts alone, so that their files and partitions have no say.
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_ranges, n_groups = max(16, -(-size // RANGE_BYTES)), len(RATES) * max(1, -(-size // GROUP_BYTES))
+    made = docs.where(~held).select("text").mapInArrow(_learn(n_ranges, n_groups, path), "key long, blob binary")
+    merged = made.groupBy("key").applyInPandas(_merge(max(1, HEAD // n_ranges)), "key long, n long, v long, blob binary, head binary")
     merged = scratch.save(merged)
     n, v = merged.where("key >= 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    counts = np.zeros(len(load(path).pieces) + 1)
-    for r in merged.where("key < 0").select("blob").collect():  # a count for each id of the vocabulary
+    vocabulary = load(path)
+    counts = np.zeros(len(vocabulary.pieces) + 1)
+    for r in merged.where(f"key < 0 and key > {WINDOWS}").select("blob").collect():  # a count for each id of the vocabulary
         ids, c = _halves(bytes(r.blob))
         counts[ids.astype(np.int64)] = c
     texts = int(counts[-1])
-    heads = [_halves(bytes(r.head)) for r in merged.where("key >= 0").orderBy("key").select("head").collect()]  # HEAD words at most
+    heads = [_halves(bytes(r.head)) for r in merged.where("key >= 0").orderBy("key").select("head").limit(HEAD).collect()]  # HEAD words at most
     head = np.concatenate([h for h, _ in heads]) if heads else np.zeros(0, dtype=U64)
     head_count = np.concatenate([c for _, c in heads]) if heads else np.zeros(0, dtype=np.int64)
-    params = _fitted(made.where("key = -1000").select("blob"), counts)
-    sent = sc.broadcast((counts, params, head, head_count))
-    asked = docs.mapInArrow(_score(sent, n_buckets, path), "key long, chunk long, blob binary")
+    opens = np.array([*(p.startswith(SPACE) for p in vocabulary.pieces), False])
+    windows = merged.where(f"key <= {WINDOWS}")
+    tables = (counts, opens, _pairs(windows, counts, opens))
+    params = _fitted(windows, Model(*tables), tables)
+    sent = sc.broadcast((tables, params, head, head_count))
+    asked = docs.mapInArrow(_score(sent, n_ranges, path), "key long, chunk long, blob binary")
     table_ = merged.where("key >= 0").select("key", F.lit(-1).cast("long").alias("chunk"), "blob")
     found = asked.unionByName(table_).groupBy("key").applyInPandas(_look_up, "chunk long, meta boolean, blob binary")
     return found.groupBy("chunk").applyInPandas(_finish(int(n), int(v), texts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

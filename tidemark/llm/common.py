@@ -65,8 +65,3 @@ class Scratch:
         for df in dfs:
             where = jvm.org.apache.hadoop.fs.Path(getattr(df, "_scratch", df))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def bytes_of(df: DataFrame) -> int:
-    """The planner's size of a table just read from files: the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
