@@ -48,16 +48,19 @@ PAD = (1 << 16) - 1
 SEEN = 2 * HALF
 WINDOW = np.dtype([("hash", "<u8"), ("n", "<i8"), ("ids", "<u2", (SEEN + 1,))])
 #: Rounds of training with their rates, and the bytes of text whose windows a group of all rounds holds.
-RATES, GROUP_BYTES, BATCH = (0.015, 0.006), 8 << 20, 128
+RATES, GROUP_BYTES, BATCH = (0.015, 0.006), 8 << 20, 64
 #: Weight of the share of all beside the counts after an id.
 SMOOTH = 10.0
 #: Words in the table that is sent to all tasks, at most; bytes of text for each hash range of words.
 HEAD, RANGE_BYTES = 1 << 18, 32 << 20
 RANGES = 256
+#: Bytes of text read at a time, so that the arrays stay in the processor's cache.
+SLICE = 1 << 19
 F32 = np.float32
 #: A number for each byte value, for hashes, and the bytes of the mark that stands for a space.
 PLAIN, MARK = mix(np.arange(256, dtype=U64), 11), SPACE.encode()
-ONES, ONES_C = np.ones((HALF, 1), F32), np.ones((CLASSES, 1), F32)
+ONES, ONES_C = np.ones((SEEN, 1), F32), np.ones((CLASSES, 1), F32)
+ROOT = F32(1 / math.sqrt(WIDTH))
 #: Keys of the rows that carry windows begin here and fall.
 WINDOWS = -1000
 
@@ -131,34 +134,37 @@ class Model:
         p, (b, n) = self.params, x.shape
         flat_x, m = x.ravel(), x.size
         e = p["e"][flat_x]
-        t = e @ p["w"]
-        q, k, v = (np.ascontiguousarray(t[:, i * WIDTH : (i + 1) * WIDTH]).reshape(b, n, WIDTH) for i in range(3))
+        t = (e @ p["w"]).reshape(b, n, 3 * WIDTH)
+        q, k, v = (t[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        q *= ROOT
         gap = np.arange(n)[:, None] - np.arange(n)[None, :]
         low, gap = gap >= 0, np.abs(gap)
         a = q @ k.transpose(0, 2, 1)
-        a *= F32(1 / math.sqrt(WIDTH))
         a += np.where(low, p["d"][gap], F32(-1e9))
         # Scores are bounded, so that no maximum needs to be taken off.
         np.exp(np.minimum(a, F32(60), out=a), out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        h = e + (a @ v).reshape(m, WIDTH)
+        a /= a @ ONES[:n]
+        h = (a @ v).reshape(m, WIDTH)
+        h += e
         z = h @ p["o"]
         z += self.prior[flat_x]
-        np.exp(np.clip(z, F32(-60), F32(60), out=z), out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        at = (np.arange(m), y.ravel())
-        scale = (weight / weight.sum()).astype(F32).ravel()
-        loss = float(-np.log(z[at] + 1e-20) @ scale)
-        z[at] -= 1
-        z *= scale[:, None]
+        np.exp(np.minimum(z, F32(60), out=z), out=z)
+        at, scale = (np.arange(m), y.ravel()), (weight / weight.sum()).astype(F32).ravel()
+        every = (z @ ONES_C).ravel()
+        loss = float(-np.log(z[at] / every + 1e-20) @ scale)
+        z *= (scale / every)[:, None]
+        z[at] -= scale
         dh = z @ p["o"].T
-        da = dh.reshape(b, n, WIDTH) @ v.transpose(0, 2, 1)
+        g = {"o": h.T @ z}
+        own = dh.reshape(b, n, WIDTH)
+        da = own @ v.transpose(0, 2, 1)
         da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
         da *= a
-        g = {"o": h.T @ z, "d": np.bincount(gap[low], weights=da.sum(axis=0)[low], minlength=SEEN).astype(F32)}
-        dv = a.transpose(0, 2, 1) @ dh.reshape(b, n, WIDTH)
-        da *= F32(1 / math.sqrt(WIDTH))
-        dt = np.concatenate([(da @ k).reshape(m, WIDTH), (da.transpose(0, 2, 1) @ q).reshape(m, WIDTH), dv.reshape(m, WIDTH)], axis=1)
+        g["d"] = np.bincount(gap[low], weights=da.sum(axis=0)[low], minlength=SEEN).astype(F32)
+        dt = np.empty_like(t)
+        dt[:, :, :WIDTH], dt[:, :, WIDTH : 2 * WIDTH], dt[:, :, 2 * WIDTH :] = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ own
+        dt[:, :, :WIDTH] *= ROOT
+        dt = dt.reshape(m, 3 * WIDTH)
         g["w"] = e.T @ dt
         dh += dt @ p["w"].T
         order = np.argsort(flat_x.astype(np.uint16), kind="stable")
@@ -193,17 +199,26 @@ class Model:
         p = self.params
         t = (p["e"] @ p["w"]).astype(F32)
         self.q, self.k, self.v = (np.ascontiguousarray(t[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
-        self.q /= F32(math.sqrt(WIDTH))
+        self.q *= ROOT
         gap = np.arange(HALF)[:, None] - np.arange(HALF)[None, :]
         self.near = np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9)).astype(F32)
         self.far = p["d"][HALF + gap].astype(F32)
 
-    def score(self, flat: np.ndarray, lengths: np.ndarray, block: int = 512) -> np.ndarray:
+    def score(self, flat: np.ndarray, lengths: np.ndarray, block: int = 128, most: int = 1 << 16) -> np.ndarray:
         """log10 probability of each text, the end token included; flat: the ids of all texts, lengths: how many each has.
 
         Texts lie in whole blocks of HALF places: start, ids, filled up with the end.  A block
         attends to itself, masked, and to the block before if that is of the same text.
+        Texts are taken together up to most ids, so that the arrays stay in the processor's cache.
         """
+        ends, out, at = np.concatenate([[0], np.cumsum(lengths)]), [np.zeros(0)], 0
+        while at < len(lengths):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            out.append(self._scored(flat[ends[at] : ends[to]], lengths[at:to], block))
+            at = to
+        return np.concatenate(out)
+
+    def _scored(self, flat: np.ndarray, lengths: np.ndarray, block: int) -> np.ndarray:
         end, n = len(self.slot) - 1, len(lengths)
         sizes = lengths + 1
         blocks = -(-sizes // HALF)
@@ -233,17 +248,17 @@ class Model:
             np.exp(np.minimum(far, F32(60), out=far), out=far)
             mixed = near @ v
             mixed += far @ vb
-            mixed /= near @ ONES + far @ ONES
+            mixed /= near @ ONES[:HALF] + far @ ONES[:HALF]
             mixed += p["e"][own]
             z = mixed.reshape(-1, WIDTH) @ p["o"]
             z += self.prior[own.ravel()]
-            np.clip(z, F32(-60), F32(60), out=z)
+            np.minimum(z, F32(60), out=z)
             target = targets[a * HALF : (a + block) * HALF]
             got = z[np.arange(len(z)), target]
             np.exp(z, out=z)
             score[a * HALF : (a + block) * HALF] = got - np.log(z @ ONES_C).ravel()
         score = score / math.log(10) + self.within(slots.ravel(), want)
-        return np.add.reduceat(np.where(real, score, 0.0), lead[:-1]) if n else np.zeros(0)
+        return np.add.reduceat(np.where(real, score, 0.0), lead[:-1])
 
 
 # ---- reading texts
@@ -411,13 +426,16 @@ def _learn(n_ranges: int, n_groups: int, path: str):
 
         for batch in batches:
             for piece in pieces(batch):
-                h, c = np.unique(scan(piece.column("text")).hash, return_counts=True)
-                words.append(h)
-                counts.append(c)
+                found = []
+                for part in pieces(piece, most=SLICE):
+                    h, c = np.unique(scan(part.column("text")).hash, return_counts=True)
+                    words.append(h)
+                    counts.append(c)
+                    ids, many = encoder.ids(part.column("text"))
+                    subwords[:n_ids] += np.bincount(ids, minlength=n_ids)
+                    found.append(_dealt(_windows(ids, many, n_ids)))
                 texts += piece.num_rows
-                ids, many = encoder.ids(piece.column("text"))
-                subwords[:n_ids] += np.bincount(ids, minlength=n_ids)
-                rows = _dealt(_windows(ids, many, n_ids))
+                rows = _weighed(np.concatenate(found))
                 groups, cuts = _ranges(rows["hash"], n_groups)
                 keys = (WINDOWS - groups).tolist()
                 blobs = [rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -558,7 +576,7 @@ def _score(sent, n_ranges: int, path: str):
                 tail, doc = words.hash[~hit], words.row[~hit]
                 order = np.argsort(tail, kind="stable")
                 tail, doc = tail[order], doc[order].astype("<u2")
-                scores = model.score(*encoder.ids(piece.column("text")))
+                scores = np.concatenate([model.score(*encoder.ids(part.column("text"))) for part in pieces(piece, most=SLICE)])
                 chunk = (part << 32) + seq
                 seq += 1
                 ids = pa.array(piece.column("doc_id")).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
