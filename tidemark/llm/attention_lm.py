@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, table
 from .piece_bpe import SPACE, default_path, load
-from .textscan import U64, flat, hashes, mix, pieces, scan
+from .textscan import Index, Store, U64, flat, hashes, mix, pieces, scan
 
 HALF, WIDTH, CLASSES = 16, 16, 64
 OWN, SHARED = 1536, 512
@@ -60,7 +60,8 @@ F32 = np.float32
 #: A number for each byte value, for hashes, and the bytes of the mark that stands for a space.
 PLAIN, MARK = mix(np.arange(256, dtype=U64), 11), SPACE.encode()
 ONES, ONES_C = np.ones((SEEN, 1), F32), np.ones((CLASSES, 1), F32)
-ROOT = F32(1 / math.sqrt(WIDTH))
+#: Scale of the queries, keys and values.
+ROOTS = np.repeat([1 / math.sqrt(WIDTH), 1, 1], WIDTH).astype(F32)
 #: Keys of the rows that carry windows begin here and fall.
 WINDOWS = -1000
 
@@ -133,10 +134,9 @@ class Model:
         """Mean loss in nats of windows x (slots) with classes y to come, weighted by weight, and gradients (that of e by its rows)."""
         p, (b, n) = self.params, x.shape
         flat_x, m = x.ravel(), x.size
-        e = p["e"][flat_x]
-        t = (e @ p["w"]).reshape(b, n, 3 * WIDTH)
+        e, w = p["e"][flat_x], p["w"] * ROOTS
+        t = (e @ w).reshape(b, n, 3 * WIDTH)
         q, k, v = (t[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-        q *= ROOT
         gap = np.arange(n)[:, None] - np.arange(n)[None, :]
         low, gap = gap >= 0, np.abs(gap)
         a = q @ k.transpose(0, 2, 1)
@@ -163,10 +163,9 @@ class Model:
         g["d"] = np.bincount(gap[low], weights=da.sum(axis=0)[low], minlength=SEEN).astype(F32)
         dt = np.empty_like(t)
         dt[:, :, :WIDTH], dt[:, :, WIDTH : 2 * WIDTH], dt[:, :, 2 * WIDTH :] = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ own
-        dt[:, :, :WIDTH] *= ROOT
         dt = dt.reshape(m, 3 * WIDTH)
-        g["w"] = e.T @ dt
-        dh += dt @ p["w"].T
+        g["w"] = e.T @ dt * ROOTS
+        dh += dt @ w.T
         order = np.argsort(flat_x.astype(np.uint16), kind="stable")
         rows = flat_x[order]
         starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
@@ -178,28 +177,30 @@ class Model:
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         s = {k: np.zeros_like(v) for k, v in self.params.items()}
         self.params = {k: v.copy() for k, v in self.params.items()}
-        for t, at in enumerate(range(0, len(windows), BATCH), 1):
-            w = windows[at : at + BATCH].astype(np.int64)
-            weight = (w[:, 1:] != PAD) * weights[at : at + BATCH, None].astype(float)
+        step = 0
+        for first in range(0, len(windows), 32 * BATCH):
+            w = windows[first : first + 32 * BATCH].astype(np.int64)
+            weight = (w[:, 1:] != PAD) * weights[first : first + 32 * BATCH, None].astype(float)
             w[w == PAD] = 0
-            _, g = self.loss(self.slot[w[:, :-1]], self.cls[w[:, 1:]], weight)
-            rows, own = g.pop("e")
-            m["e"] *= F32(0.9)
-            s["e"] *= F32(0.99)
-            m["e"][rows] += F32(0.1) * own
-            s["e"][rows] += F32(0.01) * own * own
-            for k in g:
-                m[k] += F32(0.1) * (g[k] - m[k])
-                s[k] += F32(0.01) * (g[k] * g[k] - s[k])
-            now = rate * min(1.0, 2 * (1 - at / len(windows)))
-            for k, v in self.params.items():
-                v -= F32(now / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] * F32(1 / (1 - 0.99**t))) + F32(1e-6))
+            x, y = self.slot[w[:, :-1]], self.cls[w[:, 1:]]
+            for at in range(0, len(w), BATCH):
+                step += 1
+                _, g = self.loss(x[at : at + BATCH], y[at : at + BATCH], weight[at : at + BATCH])
+                now = rate * min(1.0, 2 * (1 - (first + at) / len(windows)))
+                a, b = F32(now / (1 - 0.9**step)), F32(1 / (1 - 0.99**step))
+                for k, own in g.items():
+                    rows, own = own if k == "e" else (slice(None), own)  # of embeddings only those that are seen
+                    m[k][rows] = mean = F32(0.9) * m[k][rows] + F32(0.1) * own
+                    s[k][rows] = square = F32(0.99) * s[k][rows] + F32(0.01) * own * own
+                    self.params[k][rows] -= a * mean / (np.sqrt(square * b) + F32(1e-6))
 
     def tables(self) -> None:
         p = self.params
-        t = (p["e"] @ p["w"]).astype(F32)
-        self.q, self.k, self.v = (np.ascontiguousarray(t[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
-        self.q *= ROOT
+        #: Query, key, value and embedding of each slot.
+        self.seen = np.concatenate([p["e"] @ (p["w"] * ROOTS), p["e"]], axis=1).astype(F32)
+        q, k, v, e = (np.sqrt((x * x).sum(axis=1)).max() for x in np.split(self.seen, 4, axis=1))
+        # Whether all scores are so small that exp of none overflows.
+        self.calm = q * k + np.abs(p["d"]).max() < 80 and (e + v) * np.sqrt((p["o"] ** 2).sum(axis=0)).max() < 80
         gap = np.arange(HALF)[:, None] - np.arange(HALF)[None, :]
         self.near = np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9)).astype(F32)
         self.far = p["d"][HALF + gap].astype(F32)
@@ -237,22 +238,25 @@ class Model:
         k0 = v0 = np.zeros((1, HALF, WIDTH), F32)
         for a in range(0, len(slots), block):
             own = slots[a : a + block]
-            q, k, v = self.q[own], self.k[own], self.v[own]
+            q, k, v, e = np.split(self.seen[own], 4, axis=2)
             kb, vb = np.concatenate([k0, k[:-1]]), np.concatenate([v0, v[:-1]])
             k0, v0 = k[-1:], v[-1:]
             near, far = q @ k.transpose(0, 2, 1), q @ kb.transpose(0, 2, 1)
             near += self.near
             far += self.far
             far[opens[a : a + block]] = F32(-1e9)
-            np.exp(np.minimum(near, F32(60), out=near), out=near)
-            np.exp(np.minimum(far, F32(60), out=far), out=far)
+            if not self.calm:
+                near, far = np.minimum(near, F32(60)), np.minimum(far, F32(60))
+            np.exp(near, out=near)
+            np.exp(far, out=far)
             mixed = near @ v
             mixed += far @ vb
             mixed /= near @ ONES[:HALF] + far @ ONES[:HALF]
-            mixed += p["e"][own]
+            mixed += e
             z = mixed.reshape(-1, WIDTH) @ p["o"]
             z += self.prior[own.ravel()]
-            np.minimum(z, F32(60), out=z)
+            if not self.calm:
+                np.minimum(z, F32(60), out=z)
             target = targets[a * HALF : (a + block) * HALF]
             got = z[np.arange(len(z)), target]
             np.exp(z, out=z)
@@ -303,58 +307,42 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.number = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-        self.flat, self.start, self.length = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.index, self.flat, self.start, self.length = Index(), Store(np.int32), Store(np.int64), Store(np.int32)
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the number of each word of all texts, words of each text)."""
         data, start, end, h, many = _cut(texts)
-        order = np.argsort(h)
-        sorted_ = h[order]
-        new = np.ones(len(h), dtype=bool)
-        np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
-        distinct, sample = sorted_[new], order[new]
-        inverse = np.empty(len(h), dtype=np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        at, known = self._seek(distinct)
-        if len(self.hash) + np.count_nonzero(~known) > self.MOST:
-            self.clear()
-            at, known = self._seek(distinct)
-        if not known.all():
-            raw, fresh = data.tobytes(), sample[~known]
-            cut = [raw[a:b].decode().replace(" ", SPACE) for a, b in zip(start[fresh].tolist(), end[fresh].tolist(), strict=True)]
-            ids, sizes = self.vocabulary.merge_flat(cut)
-            self.number = np.insert(self.number, at[~known], np.arange(len(self.length), len(self.length) + len(cut)))
-            self.hash = np.insert(self.hash, at[~known], distinct[~known])
-            self.start = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes)
-            self.length, self.flat = np.append(self.length, sizes), np.append(self.flat, ids.astype(np.int32))
-            at, _ = self._seek(distinct)
-        return self.number[at][inverse] if len(h) else np.zeros(0, dtype=np.int64), many
-
-    def _seek(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.hash, distinct)
-        known = np.zeros(len(distinct), dtype=bool)
-        inside = at < len(self.hash)
-        known[inside] = self.hash[at[inside]] == distinct[inside]
-        return at, known
+        out = self.index.get(h)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            distinct, first = np.unique(h[new], return_index=True)
+            if self.index.size + len(distinct) > self.MOST:
+                self.clear()
+                distinct, first, new = *np.unique(h, return_index=True), np.arange(len(h))
+            self._learn(data, start[new[first]], end[new[first]], distinct)
+            out[new] = self.index.get(h[new])
+        return out.astype(np.int64), many
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        sizes = end - start
+        own = data[np.arange(sizes.sum()) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)]
+        points = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        ids, n = self.vocabulary.merge_points(np.where(points == 32, ord(SPACE), points), np.add.reduceat((own & 0xC0) != 0x80, np.cumsum(sizes) - sizes, dtype=np.int64))
+        self.index.add(h, np.arange(len(h)) + self.start.used)
+        self.start.extend(self.flat.used + np.cumsum(n) - n)
+        self.length.extend(n)
+        self.flat.extend(ids)
 
     def _flat(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return self.flat[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return self.flat.flat[np.repeat(self.start.flat[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has)."""
         at, many = self.words(texts)
-        n = self.length[at]
+        n = self.length.flat[at].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
         return self._flat(at, n), np.diff(ends[np.concatenate([[0], np.cumsum(many)])])
 
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """How often each id of the vocabulary occurs in all texts."""
-        many = np.bincount(self.words(texts)[0], minlength=len(self.length))
-        own = np.flatnonzero(many)
-        n = self.length[own]
-        return np.bincount(self._flat(own, n), weights=np.repeat(many[own], n), minlength=len(self.vocabulary.pieces)).astype(np.int64)
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -563,14 +551,15 @@ def _score(sent, n_ranges: int, path: str):
         tables, params, head, head_count = sent.value
         model, encoder = Model(*tables, params=params), encoder_of(path)
         model.tables()
-        logs = np.log10(head_count + 1.0)
+        logs, index = np.log10(head_count + 1.0), Index()
+        index.add(head, np.arange(len(head)))
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in pieces(batch):
                 words = scan(piece.column("text"))
                 n = piece.num_rows
-                at = np.minimum(np.searchsorted(head, words.hash), max(0, len(head) - 1))
-                hit = head[at] == words.hash if len(head) else np.zeros(len(words.hash), dtype=bool)
+                at = index.get(words.hash)
+                hit = at >= 0
                 sums = np.bincount(words.row[hit], weights=logs[at[hit]], minlength=n)
                 known = np.bincount(words.row[hit], minlength=n)
                 tail, doc = words.hash[~hit], words.row[~hit]

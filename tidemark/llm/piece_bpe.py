@@ -194,22 +194,25 @@ class Vocabulary:
             push(i)
         return self._ids([x for x, ok in zip(s, live, strict=True) if ok], word)
 
-    def merge_flat(self, words: list[str], block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words (spaces already replaced), how many each has); in blocks whose arrays stay in the processor's cache."""
-        if not words:
+    def merge_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words (spaces already replaced), how many each has)."""
+        return self.merge_points(np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4"), np.array([len(w) for w in words], dtype=np.int64))
+
+    def merge_points(self, points: np.ndarray, lengths: np.ndarray, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has) of the words' code points and lengths; in blocks whose arrays stay in the processor's cache."""
+        if not len(lengths):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        if len(words) > block:
-            parts = [self.merge_flat(words[a : a + block]) for a in range(0, len(words), block)]
+        if len(lengths) > block:
+            cuts = np.concatenate([[0], np.cumsum(lengths)])
+            parts = [self.merge_points(points[cuts[a] : cuts[min(a + block, len(lengths))]], lengths[a : a + block]) for a in range(0, len(lengths), block)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        flat = "".join(words)
-        lengths = np.array([len(w) for w in words])
-        word = np.repeat(np.arange(len(words)), lengths)
-        points = np.frombuffer(flat.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        n_words, lead = len(lengths), np.cumsum(lengths) - lengths
+        word = np.repeat(np.arange(n_words), lengths)
         symbol = self.of_point[points].astype(np.int64)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place = np.arange(len(points)) - np.repeat(lead, lengths)
         symbol = np.where(symbol < 0, -1 - place, symbol)
-        last = np.full(len(words), -1, dtype=np.int64)
-        wrong = np.zeros(len(words), dtype=bool)
+        last = np.full(n_words, -1, dtype=np.int64)
+        wrong = np.zeros(n_words, dtype=bool)
         done_word, done_symbol = [], []
         at = self._pairs(word, symbol, np.arange(len(symbol)))
         while len(symbol):
@@ -241,15 +244,16 @@ class Vocabulary:
             at[changed] = self._pairs(word, symbol, changed)
         word, symbol = np.concatenate(done_word), np.concatenate(done_symbol)
         order = np.argsort(word, kind="stable")
-        cuts = np.searchsorted(word[order], np.arange(len(words) + 1))
+        cuts = np.searchsorted(word[order], np.arange(n_words + 1))
         symbol = symbol[order]
         odd = (symbol < 0) | (symbol >= len(self.pieces))
         special = np.unique(np.concatenate([np.searchsorted(cuts, np.flatnonzero(odd), side="right") - 1, np.flatnonzero(wrong)]))
         sizes = np.diff(cuts)
         if not len(special):
             return symbol, sizes
-        own = {int(i): self.slow(words[i]) if wrong[i] else self._ids(symbol[cuts[i] : cuts[i + 1]].tolist(), words[i]) for i in special}
-        keep = np.ones(len(words), dtype=bool)
+        text = lambda i: points[lead[i] : lead[i] + lengths[i]].astype("<u4").tobytes().decode("utf-32-le")
+        own = {int(i): self.slow(text(i)) if wrong[i] else self._ids(symbol[cuts[i] : cuts[i + 1]].tolist(), text(i)) for i in special}
+        keep = np.ones(n_words, dtype=bool)
         keep[special] = False
         new = sizes.copy()
         new[special] = [len(own[int(i)]) for i in special]

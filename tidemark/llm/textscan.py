@@ -156,3 +156,59 @@ def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         sizes[r] = len(own)
         out.append(own)
     return sizes, np.concatenate(out) if out else np.zeros(0, dtype=U64)
+
+
+class Index:
+    """Numbers of 64-bit hashes, in an open-addressed table that doubles when it is half full."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.size = bits, 0
+        self.keys, self.numbers = np.zeros(1 << bits, dtype=U64), np.full(1 << bits, -1, dtype=np.int32)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it has none."""
+        place = (h >> U64(64 - self.bits)).astype(np.int64)
+        out = self.numbers[place]
+        left = np.flatnonzero((self.keys[place] != h) & (out >= 0))
+        place = place[left]
+        while len(left):
+            place = place + 1 & (1 << self.bits) - 1
+            found, same = self.numbers[place], self.keys[place] == h[left]
+            out[left] = np.where(same, found, -1)
+            on = (found >= 0) & ~same
+            left, place = left[on], place[on]
+        return out
+
+    def add(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Numbers (0 or more) of distinct hashes that have none yet."""
+        self.size += len(h)
+        if 2 * self.size > 1 << self.bits:
+            old, had = self.keys[self.numbers >= 0], self.numbers[self.numbers >= 0]
+            self.bits = (2 * self.size).bit_length()
+            self.keys, self.numbers = np.zeros(1 << self.bits, dtype=U64), np.full(1 << self.bits, -1, dtype=np.int32)
+            self._put(old, had)
+        self._put(h, numbers)
+
+    def _put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        place = (h >> U64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.numbers[place] < 0
+            self.keys[place[free]] = h[free]
+            won = free & (self.keys[place] == h)  # of several for one place the last
+            self.numbers[place[won]] = numbers[won]
+            h, numbers, place = h[~won], numbers[~won], place[~won] + 1 & (1 << self.bits) - 1
+
+
+class Store:
+    """Runs of numbers, one after another; room grows by doubling."""
+
+    def __init__(self, dtype):
+        self.flat, self.used = np.zeros(1 << 12, dtype=dtype), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.used + len(more) > len(self.flat):
+            room = np.zeros(2 * (self.used + len(more)), dtype=self.flat.dtype)
+            room[: self.used] = self.flat[: self.used]
+            self.flat = room
+        self.flat[self.used : self.used + len(more)] = more
+        self.used += len(more)
