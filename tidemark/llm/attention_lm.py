@@ -40,7 +40,7 @@ from .common import Scratch, table
 from .piece_bpe import SPACE, default_path, load
 from .textscan import Index, Store, U64, flat, hashes, mix, pieces, scan
 
-HALF, WIDTH, CLASSES = 16, 16, 64
+HALF, WIDTH, CLASSES = 16, 16, 48
 OWN, SHARED = 1536, 512
 SLOTS = OWN + SHARED
 #: Fills up a text's last training window; not learned.
@@ -48,7 +48,7 @@ PAD = (1 << 16) - 1
 SEEN = 2 * HALF
 WINDOW = np.dtype([("hash", "<u8"), ("n", "<i8"), ("ids", "<u2", (SEEN + 1,))])
 #: Rounds of training with their rates, and the bytes of text whose windows a group of all rounds holds.
-RATES, GROUP_BYTES, BATCH = (0.015, 0.006), 8 << 20, 64
+RATES, GROUP_BYTES, BATCH = (0.015, 0.006), 8 << 20, 128
 #: Weight of the share of all beside the counts after an id.
 SMOOTH = 10.0
 #: Words in the table that is sent to all tasks, at most; bytes of text for each hash range of words.
@@ -100,7 +100,7 @@ class Model:
         self.of_class = (self.pairs[:, :OWN] @ frequent).astype(float)
         every = self.of_class + self.pairs[:, OWN:]
         self.prior = np.log((every + SMOOTH * total / total.sum()) / (every.sum(axis=1, keepdims=True) + SMOOTH)).astype(F32)
-        self.params = params or self.start()
+        self.params, self.logs = params or self.start(), None
 
     @staticmethod
     def start() -> dict:
@@ -114,9 +114,14 @@ class Model:
 
     def within(self, slot: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 of the share that each id has of its class, after the slot."""
+        if self.logs is None:
+            order, single = np.ones(OWN), np.log10(SMOOTH * self.share)
+            own = np.flatnonzero(self.rank < OWN)
+            order[self.rank[own]] = self.share[own]
+            self.logs = np.log10(self.pairs[:, :OWN] + F32(SMOOTH) * order.astype(F32)), single, np.log10(self.of_class + SMOOTH)
+        seen, single, whole = self.logs
         rank = self.rank[ids]
-        seen = np.where(rank < OWN, self.pairs[slot, np.minimum(rank, OWN - 1)], F32(0))
-        return np.log10((seen + SMOOTH * self.share[ids]) / (self.of_class[slot, self.cls[ids]] + SMOOTH))
+        return np.where(rank < OWN, seen[slot, np.minimum(rank, OWN - 1)], single[ids]) - whole[slot, self.cls[ids]]
 
     def next_ids(self, ids: list[int]) -> np.ndarray:
         """log10 probability of every id after ids (the start first), one token at a time; what score does in blocks."""
@@ -371,7 +376,8 @@ def _weighed(rows: np.ndarray) -> np.ndarray:
     """Equal windows as one, by their hashes; hashes that differ in their windows stay apart."""
     rows = rows[np.argsort(rows["hash"], kind="stable")]
     new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows["hash"][1:] != rows["hash"][:-1]) | (rows["ids"][1:] != rows["ids"][:-1]).any(axis=1)
+    same = np.flatnonzero(rows["hash"][1:] == rows["hash"][:-1])
+    new[1 + same] = (rows["ids"][1 + same] != rows["ids"][same]).any(axis=1)
     starts = np.flatnonzero(new)
     out = rows[starts]
     if len(starts):
@@ -493,7 +499,7 @@ def _pairs(windows: DataFrame, counts: np.ndarray, opens: np.ndarray) -> np.ndar
                     w = ids[at : at + (1 << 14)].astype(np.int64)
                     ok = w[:, 1:] != PAD
                     cell = model.slot[w[:, :-1][ok]] * wide + model.column(w[:, 1:][ok])
-                    seen += np.bincount(cell, weights=np.repeat(n[at : at + (1 << 14)], SEEN)[ok.ravel()], minlength=len(seen)).astype(np.int64)
+                    np.add.at(seen, cell, np.repeat(n[at : at + (1 << 14)], SEEN)[ok.ravel()])
         keys, blobs = [], []
         for k in range(SLOTS // block):
             own = seen[k * block * wide : (k + 1) * block * wide]
@@ -527,9 +533,10 @@ def _fitted(windows: DataFrame, model: Model, tables: tuple) -> dict:
         start = sc.broadcast(model.params)
 
         def run(batches, start=start, rate=rate, scale=scale):
+            now = Model(*tables.value)
             for batch in batches:
                 for b, v in zip(batch.column("blob"), batch.column("v"), strict=True):
-                    now = Model(*tables.value, params=start.value)
+                    now.params = start.value
                     now.train(*_group(b.as_py(), v.as_py()), rate=rate)
                     whole = np.concatenate([np.rint(now.params[k].ravel().astype(float) * scale).astype(np.int64) for k in shape]) * v.as_py()
                     yield pa.RecordBatch.from_arrays([pa.array([v.as_py()], pa.int64()), pa.array([whole.tobytes()], pa.binary())], ["n", "params"])
