@@ -346,10 +346,10 @@ def plain_components(rows):
     return collections.Counter((r[0], len(s), r[0] if not s else least[g]) for r, s, g in zip(rows, sets, group, strict=True))
 
 
-@pytest.mark.parametrize("size", [jaccard_join.BIN, 7])
+@pytest.mark.parametrize("size", [jaccard_join.BIN, 300])
 def test_jaccard_components(docs, spark, monkeypatch, size):
     rng = np.random.default_rng(7)
-    monkeypatch.setattr(jaccard_join, "BIN", size)  # small bins: pivots and the rest are compared across bins
+    monkeypatch.setattr(jaccard_join, "BIN", size)  # small bins: most questions go to other bins
     rows = list(ROWS)
     for g in range(3):
         text = [f"g{g}w{k}" for k in range(80)]
@@ -363,9 +363,29 @@ def test_jaccard_components(docs, spark, monkeypatch, size):
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
     got = collections.Counter(tuple(r) for r in jaccard_join.jaccard_components(df).collect())
     assert got == plain_components(rows)
-    if size > 100:
-        kept = jaccard_join.keep_one(docs)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {0, 1, 2, 3, 5, 7, 8} and jaccard_join.jaccard_components(empty(docs)).count() == 0
+
+
+def test_jaccard_keeps_one_row_of_each_component(docs, spark):
+    one, two = BASE, " ".join(f"other{k}" for k in range(60))
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (None, two), (None, "quite alone here"), (4, None), (4, None), (5, " "), (6, "short text"), (6, "short text")]
+    df = spark.createDataFrame([(i, t, k, 1, 2) for k, (i, t) in enumerate(rows)], "doc_id long, text string, many int, copy int, kept_id int").repartition(3)
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, one), (1, two), (None, "quite alone here"), (4, None), (4, None), (5, " "), (6, "short text")]))
+    assert jaccard_join.keep_one(empty(docs)).count() == 0 and jaccard_join.jaccard_components(empty(docs)).count() == 0
+
+
+def test_divide_skip_finds_what_all_pairs_find():
+    rng = np.random.default_rng(10)
+    for _ in range(60):
+        pool = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(12)]
+        for k in range(4):
+            pool.append(np.unique(np.concatenate([pool[k][1:], rng.integers(0, 60, 1).astype(np.uint64)])))
+        sizes, lists = np.array([len(x) for x in pool]), jaccard_join.inverted(pool)
+        for i, q in enumerate(pool):
+            open_ = rng.random(len(pool)) < 0.8
+            want = [k for k, x in enumerate(pool) if open_[k] and 100 * len(np.intersect1d(x, q)) >= 80 * len(np.union1d(x, q))]
+            assert sorted(jaccard_join.divide_skip(sizes, q, len(q), lists, open_).tolist()) == want
 
 
 def test_pipeline(spark):
