@@ -62,6 +62,8 @@ PLAIN, MARK = mix(np.arange(256, dtype=U64), 11), SPACE.encode()
 ONES, ONES_C = np.ones((SEEN, 1), F32), np.ones((CLASSES, 1), F32)
 #: Scale of the queries, keys and values.
 ROOTS = np.repeat([1 / math.sqrt(WIDTH), 1, 1], WIDTH).astype(F32)
+#: Rows of parameters that the driver adds up, at most.
+SUMS = 32
 #: Keys of the rows that carry windows begin here and fall.
 WINDOWS = -1000
 
@@ -518,6 +520,10 @@ def _pairs(windows: DataFrame, counts: np.ndarray, opens: np.ndarray) -> np.ndar
     return out.reshape(SLOTS, wide)
 
 
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([(int(rows["n"].sum()), sum(np.frombuffer(b, dtype="<i8") for b in rows["params"]).tobytes())], columns=["n", "params"])
+
+
 def _fitted(windows: DataFrame, model: Model, tables: tuple) -> dict:
     """Parameters after all rounds; windows: merged groups (key, n, v, blob)."""
     sc = windows.sparkSession.sparkContext
@@ -533,17 +539,19 @@ def _fitted(windows: DataFrame, model: Model, tables: tuple) -> dict:
         start = sc.broadcast(model.params)
 
         def run(batches, start=start, rate=rate, scale=scale):
-            now = Model(*tables.value)
+            now, n, whole = Model(*tables.value), 0, 0
             for batch in batches:
                 for b, v in zip(batch.column("blob"), batch.column("v"), strict=True):
                     now.params = start.value
                     now.train(*_group(b.as_py(), v.as_py()), rate=rate)
-                    whole = np.concatenate([np.rint(now.params[k].ravel().astype(float) * scale).astype(np.int64) for k in shape]) * v.as_py()
-                    yield pa.RecordBatch.from_arrays([pa.array([v.as_py()], pa.int64()), pa.array([whole.tobytes()], pa.binary())], ["n", "params"])
-
-        trained = own.select("v", "blob").mapInArrow(run, "n long, params binary").rdd.map(lambda r: (r[0], np.frombuffer(bytes(r[1]), dtype="<i8")))
-        add = lambda a, b: (a[0] + b[0], a[1] + b[1])
-        n, whole = trained.treeAggregate((0, np.zeros(sum(map(math.prod, shape.values())), dtype="<i8")), add, add, depth=2)
+                    whole = whole + np.concatenate([np.rint(now.params[k].ravel().astype(float) * scale).astype("<i8") for k in shape]) * v.as_py()
+                    n += v.as_py()
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([whole.tobytes()], pa.binary())], ["n", "params"])
+
+        trained = own.select("v", "blob").mapInArrow(run, "n long, params binary").withColumn("part", F.spark_partition_id() % SUMS)
+        sums = trained.groupBy("part").applyInPandas(_added, "n long, params binary").collect()  # SUMS rows at most
+        n, whole = sum(r.n for r in sums), sum(np.frombuffer(bytes(r.params), dtype="<i8") for r in sums)
         ends = np.cumsum([math.prod(s) for s in shape.values()])
         model.params = {k: (part / (scale * n)).reshape(shape[k]).astype(F32) for k, part in zip(shape, np.split(whole, ends[:-1]), strict=True)}
         start.destroy()
