@@ -1,22 +1,27 @@
 """License scan by patience alignment.
 
-Stretches of a text that share pairs of neighbouring words with a template are
-candidate regions.  A region is aligned with the template by patience: words that
-occur once in both are anchors, the longest increasing subsequence of their positions is
-kept, and the gaps between anchors are aligned in the same way, recursively, after equal
-words at their ends are matched.  Coverage is the share of the template's words that are
-aligned; of a template's regions that meet, the best is reported.
+A license is looked for in stretches of a text that begin with a word of the template and hold a
+fixed multiple (STRETCHES) of its words, so that up to two words may stand beside each of its own.  A stretch is
+aligned with the template by patience: words that occur once in both are anchors, the longest increasing
+subsequence of their positions is kept, and the gaps between anchors are aligned in the same way,
+recursively, after equal words at their ends are matched.  Coverage is the share of the template's
+words that are aligned; the shortest stretch that reaches COVERAGE counts.  Of a template's stretches
+that meet, the best is reported.
+
+Only stretches that can reach COVERAGE are aligned: those that hold so many of the template's words, each
+counted as often as in the template at most.  Whatever is aligned is common to both, so nothing is lost.
 
 Words are runs of letters, digits, and dots or hyphens within, lower-cased.
 
-Defined cases: null and empty texts hold no license; a template of fewer than two
-words is never found; several licenses of a text are each reported, and a notice within a
-longer license too; rows that repeat a doc_id are each judged; other columns are
-ignored.
+Defined cases: null and empty texts hold no license; a template without words is never found;
+several licenses of a text are each reported, and a notice within a
+longer license too; of equal stretches that meet the first is reported; rows that repeat a doc_id are each judged; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -28,9 +33,11 @@ from .common import table
 from .textscan import pieces
 
 COVERAGE = 0.8
+#: Words of a stretch for each word of the template, shortest first.
+STRETCHES = (1.1, 1.5, 2.0, 3.0)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
-# Public license notices and texts.
+# Public license texts, and the notices by which longer ones are applied.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -38,8 +45,15 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
@@ -92,45 +106,59 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.names, self.words = list(templates), [words(t) for t in templates.values()]
-        self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = {}
-        for n, w in enumerate(self.words):
-            for at, pair in enumerate(zip(w, w[1:], strict=False)):
-                self.pairs.setdefault(pair, []).append((n, at))
+        self.counts = [Counter(w) for w in self.words]
+        self.least = [math.ceil(COVERAGE * len(w)) for w in self.words]
+        self.holders: dict[str, list[int]] = {}
+        for n, counts in enumerate(self.counts):
+            for w in counts:
+                self.holders.setdefault(w, []).append(n)
+
+    def starts(self, n: int, own: list[str], places: list[int], size: int) -> list[int]:
+        """The places (of words of template n) where a stretch of size words can reach COVERAGE."""
+        many, held, common, end, out = self.counts[n], Counter(), 0, 0, []
+        for at in places:
+            while end < len(places) and places[end] < at + size:
+                w = own[places[end]]
+                held[w] += 1
+                common += held[w] <= many[w]
+                end += 1
+            if common >= self.least[n]:
+                out.append(at)
+            common -= held[own[at]] <= many[own[at]]
+            held[own[at]] -= 1
+        return out
 
     def find(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, aligned words, first word, last word), in text order."""
         own = words(text)
-        pairs = self.pairs
-        hits = [(at, pair) for at, pair in enumerate(zip(own, own[1:], strict=False)) if pair in pairs]
-        if not hits:
-            return []
-        starts: dict[int, list[int]] = {}
-        for at, pair in hits:
-            for n, place in pairs[pair]:
-                starts.setdefault(n, []).append(at - place)
+        places: dict[int, list[int]] = {}
+        for at, w in enumerate(own):
+            if w in self.holders:
+                for n in self.holders[w]:
+                    places.setdefault(n, []).append(at)
         out = []
-        for n, found in starts.items():
-            template = self.words[n]
-            slack = max(2, len(template) // 4)
-            found.sort()
-            best: list[tuple] = []
-            low = 0
-            for k in range(1, len(found) + 1):
-                if k < len(found) and found[k] - found[k - 1] <= slack:
+        for n, found in places.items():
+            template, least = self.words[n], self.least[n]
+            sizes = [math.ceil(x * len(template)) for x in STRETCHES]
+            # Without least words of the template near enough there is no need to count.
+            if len(found) < least or all(b - a >= sizes[-1] for a, b in zip(found, found[least - 1 :], strict=False)):
+                continue
+            able = {at: [] for at in self.starts(n, own, found, sizes[-1])}
+            for size in sizes if able else ():
+                for at in self.starts(n, own, found, size):
+                    able[at].append(size)
+            best, whole = [], -1
+            for at in sorted(able):
+                if at <= whole:  # within a stretch that covers all of the template
                     continue
-                cluster, low = found[low:k], k
-                # A stretch of diagonals much wider than the template is cut, so that regions stay of its size.
-                at = cluster[0]
-                while at <= cluster[-1]:
-                    to = min(cluster[-1], at + slack)
-                    count = bisect_left(cluster, to + 1) - bisect_left(cluster, at)
-                    if count >= 0.5 * (COVERAGE * len(template) - 1) - 1:
-                        i, j = max(0, at - slack), min(len(own), to + len(template) + slack)
-                        same = align(own[i:j], template)
-                        if len(same) >= COVERAGE * len(template):
-                            best.append((len(same), i + same[0][0], i + same[-1][0]))
-                    at = to + 1
-            best.sort(key=lambda x: (-x[0], x[1]))
+                for size in able[at]:
+                    same = align(own[at : at + size], template)
+                    if len(same) >= least:
+                        best.append((len(same), at + same[0][0], at + same[-1][0]))
+                        if len(same) == len(template):
+                            whole = best[-1][2]
+                        break
+            best.sort(key=lambda x: (-x[0], x[1], x[2]))
             taken: list[tuple[int, int]] = []
             for size, first, last in best:
                 if all(last < f or first > e for f, e in taken):
