@@ -213,13 +213,22 @@ def test_quality(docs, spark):
 
 def test_thresholds_keep_their_promise(spark):
     tail = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-    df = spark.createDataFrame([(0, 500), (3, 500), (9, 1200), (30, 400), (0, 0)], "k long, n long")
+    df = spark.createDataFrame([(0, 500), (3, 500), (9, 1200), (30, 400), (0, 0), (1, 51), (15, 1600), (16, 1600), (17, 1600), (5, 10**9)], "k long, n long")
     for r in df.select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p")).collect():
-        assert r.p == pytest.approx(tail(r.k, r.n, 0.02) if r.n and r.k < 0.02 * r.n else 1.0, rel=1e-9)
+        assert r.p == pytest.approx(0.0 if r.n > 10**6 else tail(r.k, r.n, 0.02) if r.n and r.k < 0.02 * r.n else 1.0, rel=1e-9)
+    # Far more false rejections than fit a plain sum of all terms.
+    large = [(79_000, 4_000_000), (79_900, 4_000_000), (19_950_000, 10**9)]
+    for r in spark.createDataFrame(large, "k long, n long").select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p")).collect():
+        i = np.arange(r.k, max(-1, r.k - 200_000), -1, dtype=float)
+        steps = np.concatenate([[0.0], np.cumsum(np.log(i[:-1] / (r.n - i[:-1] + 1) * 0.98 / 0.02))])
+        top = math.lgamma(r.n + 1) - math.lgamma(r.k + 1) - math.lgamma(r.n - r.k + 1) + r.k * math.log(0.02) + (r.n - r.k) * math.log(0.98)
+        assert r.p == pytest.approx(math.exp(top) * np.exp(steps).sum(), rel=1e-4)  # what lgamma can tell
     rng = np.random.default_rng(4)
     rows = [(i, "en" if i % 2 else "de", float(x), 0.0, 0.0, 5.0, 0.0, int(q)) for i, (q, x) in enumerate((q, rng.random() * (0.02 if q else 2)) for q in rng.random(8000) < 0.8)]
     measured = spark.createDataFrame([r[:7] for r in rows], "doc_id long, stratum string, symbols_per_word double, dup_line_share double, repeat_share double, mean_word double, bangs_per_word double")
     cuts = {r.of_stratum: r for r in quality_rules.thresholds(measured, spark.createDataFrame([(r[0], r[7]) for r in rows], "doc_id long, quality int"), common.Scratch(spark)).collect()}
+    again = spark.createDataFrame([r[:7] for r in rows for _ in range(3)], measured.schema)  # rows that repeat are no more trials
+    assert {r.of_stratum: r for r in quality_rules.thresholds(again, spark.createDataFrame([(r[0], r[7]) for r in rows], "doc_id long, quality int"), common.Scratch(spark)).collect()} == cuts
     for s in ("en", "de"):
         assert cuts[s].cut_symbols_per_word == 0.05 and cuts[s].cut_mean_word is None
 
@@ -232,6 +241,44 @@ def test_licenses(docs, spark):
     assert license_scan.licenses(empty(docs)).count() == 0 and license_scan.licenses(docs).count() == 0
     a, b = "x a b c y d e".split(), "a b c z d e".split()
     assert license_scan.align(a, b) == [(1, 0), (2, 1), (3, 2), (5, 4), (6, 5)]
+    clash = spark.createDataFrame([(None, text, "x", 1.0), (9, text + "\n" + text, "y", 2.0)], "doc_id long, text string, license string, coverage double")
+    assert sorted(str(r.doc_id) for r in license_scan.licenses(clash).collect()) == ["9", "9", "None"]
+
+
+def test_licenses_with_words_between():
+    known = license_scan.Templates(license_scan.TEMPLATES)
+    for name, own in zip(known.names, known.words, strict=True):
+        assert [f[:3] for f in known.find(" ".join(own)) if f[0] == name] == [(name, 1.0, len(own))]
+    own = known.words[known.names.index("mit")]
+    for every in (1, 2, 5):
+        spread = [w for k, x in enumerate(own) for w in ([x, f"between{k}"] if k % every == 0 else [x])]
+        assert "mit" in [f[0] for f in known.find("lead in " + " ".join(spread) + " lead out")]
+    long = " ".join([" ".join(own[:80]), "aside " * 100, " ".join(own[80:])])
+    assert [f[0] for f in known.find(long) if f[0] == "mit"] == ["mit"]
+    three = " ".join(own[:30] + ["changed"] + own[31:]) + " "
+    assert [f[2] for f in known.find(three * 3) if f[0] == "mit"] == [len(own) - 1] * 3
+
+
+def test_licenses_against_all_stretches():
+    rng, names = np.random.default_rng(11), ("p", "q")
+    for _ in range(150):
+        texts = {n: " ".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for n in names}
+        own = rng.choice(list("abcdefghijk"), rng.integers(0, 60)).tolist()
+        known, want = license_scan.Templates(texts), []
+        for n in names:
+            template, every = texts[n].split(), []
+            for at in range(len(own)):
+                for x in license_scan.STRETCHES if own[at] in template else ():
+                    same = license_scan.align(own[at : at + math.ceil(x * len(template))], template)
+                    if len(same) >= 0.8 * len(template):
+                        every.append((-len(same), at + same[0][0], at + same[-1][0]))
+                        break
+            taken = []
+            for size, first, last in sorted(every):
+                if all(last < f or first > e for f, e in taken):
+                    taken.append((first, last))
+                    want.append((n, -size / len(template), -size, first, last))
+        assert known.find(" ".join(own)) == sorted(want, key=lambda x: (x[3], x[0]))
 
 
 def test_piece_bpe(docs):
@@ -398,7 +445,8 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    for t in ("pages", "documents", "labels"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     run, sql = QUERIES[name]
     got, want = run(spark, SF).toPandas(), con.sql(sql).df()
     order = sorted(got.columns)

@@ -12,13 +12,15 @@ most of the bad documents, less PRICE times the share of good ones, is used.
 
 Defined cases: a null text has no words; a stratum without enough labels gets no
 cut-off, so that only the base rules reject there; a null language is a stratum of
-its own; several labels of a document count as one, good if any says so; null
-labels are ignored; rows that repeat a doc_id are judged alike; an empty table
-gives an empty result.
+its own, apart from an empty one; several labels of a document count as one, good if any says so; null
+labels are ignored; rows that repeat a doc_id are each judged, but are one trial of a stratum, rejected if
+any is; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, table
@@ -37,9 +39,6 @@ CUTS = {
     "mean_word": (15.0, 12.0, 10.0, 9.0, 8.0),
     "bangs_per_word": (0.5, 0.3, 0.2, 0.1, 0.05),
 }
-#: Beyond so many false rejections the tail is bounded by Chernoff's inequality in place of the exact sum; the bound is larger, so the guarantee holds.
-EXACT_UP_TO = 20_000
-
 
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once a row."""
@@ -82,23 +81,42 @@ def signals(docs: DataFrame, into: str = "_tm_q") -> DataFrame:
     )).drop("_tm_c")
 
 
+#: log(n!) less Stirling's formula, for n below 16.
+ROUND_OFF = [0.0] + [math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16)]
+
+
+def _log_pmf(k: Column, n: Column, rate: float) -> Column:
+    """log P(X = k) for X binomial(n, rate) and 0 < k < n, by Loader's saddle point form, which loses no digits for large n."""
+
+    def off(x):
+        series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / (x * x)) / (x * x)) / (x * x)) / x
+        return F.when(x < 16, F.get(F.array(*[F.lit(v) for v in ROUND_OFF]), x.cast("int"))).otherwise(series)
+
+    def apart(x, mean):
+        return x * F.log1p((x - mean) / mean) - (x - mean)
+
+    a, b, c = k.cast("double"), (n - k).cast("double"), n.cast("double")
+    return off(c) - off(a) - off(b) - apart(a, c * rate) - apart(b, c * (1 - rate)) + 0.5 * F.log(c / (2 * math.pi * a * b))
+
+
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
-    """P(X <= k) for X binomial(n, rate), exact up to EXACT_UP_TO terms; 1 where k / n >= rate."""
-    odds = F.lit(rate / (1 - rate))
-    start = n * F.log(F.lit(1 - rate))
-    join = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
-    step = lambda acc, i: let(acc["t"] + F.log((n - i + 1) / i * odds), lambda t: F.struct(t.alias("t"), join(acc["s"], t).alias("s")))
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    exact = F.exp(F.aggregate(terms, F.struct(start.alias("t"), start.alias("s")), step)["s"])
-    p = k / n
-    kl = p * F.log(p / rate) + (1 - p) * F.log((1 - p) / (1 - rate))
-    return F.when((n == 0) | (k >= n * rate), 1.0).when(k <= EXACT_UP_TO, exact).otherwise(F.exp(-n * kl))
+    """P(X <= k) for X binomial(n, rate), exact at every size; 1 where k / n >= rate.
+
+    Terms fall from k downwards; those more than 12 standard deviations below k are less than 1e-30 of the sum.
+    """
+    n_terms = F.least(k, F.ceil(12 * F.sqrt(n * rate)) + 64)
+    terms = F.when(n_terms > 0, F.sequence(k, k - n_terms + 1, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    step = lambda acc, i: let(acc["t"] * i / (n - i + 1) * ((1 - rate) / rate), lambda t: F.struct(t.alias("t"), (acc["s"] + t).alias("s")))
+    total = F.aggregate(terms, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step)["s"]
+    top = F.when(k == 0, n * math.log1p(-rate)).otherwise(_log_pmf(k, n, rate))
+    return F.when((n == 0) | (k >= n * rate), 1.0).otherwise(F.exp(top) * total)
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(stratum, one cut-off or null for each signal) from measured (doc_id, stratum, signals) and labels (doc_id, quality)."""
     voted = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    seen = measured.join(voted, "doc_id")
+    # One trial for each labelled document of a stratum.
+    seen = measured.join(voted, "doc_id").groupBy("stratum", "doc_id").agg(F.first("good").alias("good"), *[F.max(c).alias(c) for c in CUTS])
     counts = [F.sum(F.col("good")).alias("n_good"), F.sum(1 - F.col("good")).alias("n_bad")]
     cells = [(s, cut) for s, cuts in CUTS.items() for cut in cuts]
     for i, (s, cut) in enumerate(cells):
@@ -114,7 +132,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, scratch: Scratch) -> Data
 
 
 def _stratum() -> Column:
-    return F.coalesce(F.col("lang"), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
 
 
 def verdict(q: str) -> Column:
@@ -146,3 +164,35 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     cuts = scratch.save(thresholds(measured.select("doc_id", "stratum", "_tm_q.*"), labels, scratch))
     judged = measured.join(cuts, F.col("stratum") == F.col("of_stratum"), "left")
     return judged.where(verdict("_tm_q")).select("_tm_doc.*")
+
+
+_SPLIT = "'[\\x20\\x09-\\x0D]+'"
+_SIGNALS = {
+    "symbols_per_word": "case when n_words > 0 then n_symbols / n_words else 0 end", "dup_line_share": "case when n_lines > 0 then n_dup_lines / n_lines else 0 end",
+    "repeat_share": "case when n_words > 0 then n_repeat_words / n_words else 0 end", "mean_word": "case when n_words > 0 then word_chars / n_words else 0 end",
+    "bangs_per_word": "case when n_words > 0 then bangs / n_words else 0 end",
+}
+_RATE = ALPHA / len(CUTS)
+#: Every cell's tail is summed over all its terms.
+ORACLE = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce('=' || lang, '') as stratum from documents),
+w as (select *, list_filter(string_split_regex(text, {_SPLIT}), lambda x: x <> '') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
+places as (select r, w, unnest(range(1, len(w) - {WINDOW} + 2)) as i from w),
+windows as (select r, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') as v from places),
+twice as (select r, i from (select *, count(*) over (partition by r, v) as k from windows) where k > 1),
+covered as (select r, count(distinct p) as n from (select r, unnest(range(i, i + {WINDOW})) as p from twice) group by r),
+base as (select w.r, doc_id, stratum, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars, length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) as n_symbols,
+  length(text) - length(replace(text, '!', '')) as bangs, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from w left join covered using (r)),
+measured as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words as base_failed, {", ".join(f"{e} as {s}" for s, e in _SIGNALS.items())} from base),
+voted as (select doc_id, max(quality) as good from labels where doc_id is not null and quality is not null group by 1),
+trial as (select stratum, doc_id, any_value(good) as good, {", ".join(f"max({s}) as {s}" for s in CUTS)} from measured join voted using (doc_id) group by 1, 2),
+cuts(signal, cut) as (values {", ".join(f"('{s}', {c}::double)" for s, cs in CUTS.items() for c in cs)}),
+long as (unpivot trial on {", ".join(CUTS)} into name signal value v),
+cell as (select stratum, signal, cut, count(*) filter (good = 1) as n_good, count(*) filter (good = 0) as n_bad, count(*) filter (good = 1 and v > cut) as g, count(*) filter (good = 0 and v > cut) as b
+  from long join cuts using (signal) group by 1, 2, 3),
+tail as (select *, case when n_good = 0 or g >= n_good * {_RATE!r} then 1 else list_sum(list_transform(range(0, g + 1), lambda i: exp(case when i = 0 or i = n_good then 0 else lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) end
+  + i * ln({_RATE!r}) + (n_good - i) * ln({1 - _RATE!r})))) end as p, b * n_good - {PRICE} * g * n_bad as gain, count(*) over () as tests from cell),
+chosen as (select stratum, signal, arg_max(cut, (gain, cut)) as cut from tail where p <= {DELTA} / tests and gain > 0 group by 1, 2),
+broken as (select distinct r from (unpivot measured on {", ".join(CUTS)} into name signal value v) join chosen using (stratum, signal) where v > cut)
+select doc_id, n_words, word_chars::bigint as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from broken) as kept from measured
+"""

@@ -9,7 +9,7 @@ QUERIES = {
     "op2_pii_weak_supervision": (pii.op2, None),
     "op3_string_tiling_decontamination": (decontaminate.op3, None),
     "op4_balanced_label_sharding": (sharding.op4, None),
-    "op5_risk_controlled_quality": (quality_rules.op5, None),
+    "op5_risk_controlled_quality": (quality_rules.op5, quality_rules.ORACLE),
     "op6_patience_license_scan": (license_scan.op6, None),
     "op7_piece_bpe": (piece_bpe.op7, None),
     "op8_attention_lm": (attention_lm.op8, None),
