@@ -470,8 +470,10 @@ def test_language_model_trains_on_every_subword():
     texts = [None, "", "end", "\n".join(f"word{k} two" for k in range(4000)), "日本語テキスト" * 900, " ".join(f"w{k}" for k in range(31)), "z " * 300, "end"]
     plain = piece_bpe.load(piece_bpe.default_path()).encode([t or "" for t in texts])
     end = len(piece_bpe.load(piece_bpe.default_path()).pieces)
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    blobs = [(k, b) for out in attention_lm._learn(16, 6, piece_bpe.default_path())([batch]) for k, b in zip(out.column("key").to_pylist(), out.column("blob").to_pylist(), strict=True) if k <= attention_lm.WINDOWS]
+    zeros = pa.array([0] * len(texts), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), zeros, zeros, zeros], ["text", "one", "two", "held"])
+    encoded = attention_lm._encode(piece_bpe.default_path())([batch])
+    blobs = [(k, b) for out in attention_lm._deal(6, end)(encoded) for k, b in zip(out.column("key").to_pylist(), out.column("blob").to_pylist(), strict=True) if k <= attention_lm.WINDOWS]
     assert {k for k, _ in blobs} == {attention_lm.WINDOWS - g for g in range(6)}
     rows = np.concatenate([np.frombuffer(b, dtype=attention_lm.WINDOW) for _, b in blobs])
     want = collections.Counter()

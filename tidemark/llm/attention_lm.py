@@ -14,6 +14,8 @@ adds is added to the log share of each class after the id before, by the counts;
 its share after the id before, by the counts, smoothed with its share of all.  So the probabilities of all
 ids sum to 1, and with no training the model is that of the counted pairs.
 
+Each text is encoded once; its ids are kept in a table, for learning and for scoring.
+
 Scoring slides overlapping windows over each text: blocks of HALF tokens see the HALF tokens
 before them too, and every token, the end included, is scored once, in batched masked attention.
 
@@ -33,6 +35,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -402,56 +405,91 @@ def _dealt(ids: np.ndarray) -> np.ndarray:
     return _weighed(out)
 
 
-def _learn(n_ranges: int, n_groups: int, path: str):
-    """Training documents -> rows (key, blob): word counts by hash range; subword counts by id range (-1 - range); windows by group (WINDOWS - group)."""
+ENCODED = "bytes long, texts binary, ids binary"
+#: Of each encoded text: two hashes of it, whether it is held out, how many ids it has.
+TEXT = np.dtype([("one", "<i8"), ("two", "<i8"), ("held", "<i8"), ("many", "<i8")])
+
+
+def _encode(path: str):
+    """Texts -> rows of encoded texts: what is known of each, and all their ids (two bytes each)."""
 
     def run(batches):
         encoder = encoder_of(path)
-        n_ids = len(encoder.vocabulary.pieces)
-        subwords, texts, words, counts = np.zeros(n_ids + 1, dtype=np.int64), 0, [], []
+        for batch in batches:
+            for piece in pieces(batch):
+                found = [encoder.ids(part.column("text")) for part in pieces(piece, most=SLICE)]
+                texts = np.empty(piece.num_rows, dtype=TEXT)
+                for name in TEXT.names[:3]:
+                    texts[name] = piece.column(name).to_numpy(zero_copy_only=False)
+                texts["many"] = np.concatenate([many for _, many in found])
+                ids = np.concatenate([ids for ids, _ in found]).astype("<u2")
+                size = pc.sum(pc.binary_length(piece.column("text")), min_count=0).as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([texts.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], ["bytes", "texts", "ids"])
+
+    return run
+
+
+def _decoded(batch: pa.RecordBatch):
+    for texts, ids in zip(batch.column("texts"), batch.column("ids"), strict=True):
+        yield np.frombuffer(texts.as_py(), dtype=TEXT), np.frombuffer(ids.as_py(), dtype="<u2").astype(np.int64)
+
+
+def _deal(n_groups: int, n_ids: int):
+    """Encoded texts -> rows (key, blob) of those to learn from: subword counts by id range (-1 - range), the end's being the texts'; windows by group (WINDOWS - group)."""
+
+    def run(batches):
+        subwords = np.zeros(n_ids + 1, dtype=np.int64)
+        for batch in batches:
+            for texts, ids in _decoded(batch):
+                learned = texts["held"] == 0
+                ids, many = ids[np.repeat(learned, texts["many"])], texts["many"][learned]
+                if not len(many):
+                    continue
+                subwords[:n_ids] += np.bincount(ids, minlength=n_ids)
+                subwords[n_ids] += len(many)
+                rows = _dealt(_windows(ids, many, n_ids))
+                groups, cuts = _ranges(rows["hash"], n_groups)
+                yield _keyed((WINDOWS - groups).tolist(), [rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        own = [np.flatnonzero(subwords[r::RANGES]) for r in range(RANGES)]
+        keys = [-1 - r for r in range(RANGES) if len(own[r])]
+        yield _keyed(keys, [(r + own[r] * RANGES).astype("<i8").tobytes() + subwords[r::RANGES][own[r]].astype("<i8").tobytes() for r in range(RANGES) if len(own[r])])
+
+    return run
 
-        def flush():
+
+def _keyed(keys: list, blobs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+
+
+def _count(n_ranges: int):
+    """Training texts -> rows (key, blob): word counts by hash range."""
+
+    def run(batches):
+        words, counts = [], []
+
+        def packed():
             h, inverse = np.unique(np.concatenate(words), return_inverse=True)
             c = np.bincount(inverse, weights=np.concatenate(counts)).astype("<i8")
             words[:], counts[:] = [h], [c]
             return h, c
 
-        def packed(h, c):
+        def sent(h, c):
+            words.clear()
+            counts.clear()
             keys, cuts = _ranges(h, n_ranges)
-            return keys.tolist(), [h[a:b].tobytes() + c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return _keyed(keys.tolist(), [h[a:b].tobytes() + c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
         for batch in batches:
-            for piece in pieces(batch):
-                found = []
-                for part in pieces(piece, most=SLICE):
-                    h, c = np.unique(scan(part.column("text")).hash, return_counts=True)
-                    words.append(h)
-                    counts.append(c)
-                    ids, many = encoder.ids(part.column("text"))
-                    subwords[:n_ids] += np.bincount(ids, minlength=n_ids)
-                    found.append(_dealt(_windows(ids, many, n_ids)))
-                texts += piece.num_rows
-                rows = _weighed(np.concatenate(found))
-                groups, cuts = _ranges(rows["hash"], n_groups)
-                keys = (WINDOWS - groups).tolist()
-                blobs = [rows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            for piece in pieces(batch, most=SLICE):
+                h, c = np.unique(scan(piece.column("text")).hash, return_counts=True)
+                words.append(h)
+                counts.append(c)
                 if sum(map(len, words)) > 4_000_000:
-                    h, c = flush()
+                    h, c = packed()
                     if len(h) > 2_000_000:
-                        more = packed(h, c)
-                        keys, blobs = keys + more[0], blobs + more[1]
-                        words.clear()
-                        counts.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
-        if texts:
-            subwords[n_ids] = texts
-            keys, blobs = packed(*flush()) if words else ([], [])
-            for r in range(RANGES):
-                own = np.flatnonzero(subwords[r::RANGES])
-                if len(own):
-                    keys.append(-1 - r)
-                    blobs.append((r + own * RANGES).astype("<i8").tobytes() + subwords[r::RANGES][own].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+                        yield sent(h, c)
+        if words:
+            yield sent(*packed())
 
     return run
 
@@ -559,13 +597,25 @@ def _fitted(windows: DataFrame, model: Model, tables: tuple) -> dict:
     return model.params
 
 
-def _score(sent, n_ranges: int, path: str):
-    """All documents -> rows (key, chunk, blob): by hash range the words that are not in the head table; under -1 - chunk what is known of each document."""
+def _score(sent):
+    """Encoded texts -> (one, two, score), one row for each text."""
 
     def run(batches):
-        tables, params, head, head_count = sent.value
-        model, encoder = Model(*tables, params=params), encoder_of(path)
+        tables, params = sent.value
+        model = Model(*tables, params=params)
         model.tables()
+        for batch in batches:
+            for texts, ids in _decoded(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(texts["one"]), pa.array(texts["two"]), pa.array(model.score(ids, texts["many"]))], ["one", "two", "score"])
+
+    return run
+
+
+def _ask(sent, n_ranges: int):
+    """All documents -> rows (key, chunk, blob): by hash range the words that are not in the head table; under -1 - chunk what is known of each document."""
+
+    def run(batches):
+        head, head_count = sent.value
         logs, index = np.log10(head_count + 1.0), Index()
         index.add(head, np.arange(len(head)))
         part, seq = TaskContext.get().partitionId(), 0
@@ -580,13 +630,12 @@ def _score(sent, n_ranges: int, path: str):
                 tail, doc = words.hash[~hit], words.row[~hit]
                 order = np.argsort(tail, kind="stable")
                 tail, doc = tail[order], doc[order].astype("<u2")
-                scores = np.concatenate([model.score(*encoder.ids(part.column("text"))) for part in pieces(piece, most=SLICE)])
                 chunk = (part << 32) + seq
                 seq += 1
                 ids = pa.array(piece.column("doc_id")).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
                 null = np.array([not v.is_valid for v in piece.column("doc_id")], dtype="<i8")
-                held = piece.column("held_out").to_numpy(zero_copy_only=False).astype("<i8")
-                meta = b"".join(x.tobytes() for x in (ids, null, held, np.diff(words.first).astype("<i8") + 1, known.astype("<i8"), sums.astype("<f8"), scores.astype("<f8")))
+                own = [piece.column(c).to_numpy(zero_copy_only=False).astype("<i8") for c in ("held", "one", "two")]
+                meta = b"".join(x.tobytes() for x in (ids, null, *own, np.diff(words.first).astype("<i8") + 1, known.astype("<i8"), sums.astype("<f8")))
                 keys, cuts = _ranges(tail, n_ranges)
                 blobs = [tail[a:b].tobytes() + doc[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk, *keys], pa.int64()), pa.array([chunk] * (1 + len(keys)), pa.int64()), pa.array([meta, *blobs], pa.binary())], ["key", "chunk", "blob"])
@@ -617,10 +666,9 @@ def _look_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def _finish(n: int, v: int, texts: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         meta = rows.loc[rows["meta"], "blob"].iloc[0]
-        m = len(meta) // 56
-        ids, null, held, tokens, known = (np.frombuffer(meta, dtype="<i8", offset=8 * m * k, count=m) for k in range(5))
-        sums, scores = (np.frombuffer(meta, dtype="<f8", offset=8 * m * k, count=m) for k in (5, 6))
-        known, sums = known.copy(), sums.copy()
+        m = len(meta) // 64
+        ids, null, held, one, two, tokens, known = (np.frombuffer(meta, dtype="<i8", offset=8 * m * k, count=m) for k in range(7))
+        known, sums = known.copy(), np.frombuffer(meta, dtype="<f8", offset=56 * m, count=m).copy()
         for blob in sorted(rows.loc[~rows["meta"], "blob"]):
             k = len(blob) // 24
             doc = np.frombuffer(blob, dtype="<i8", count=k)
@@ -628,7 +676,7 @@ def _finish(n: int, v: int, texts: int):
             sums[doc] += np.frombuffer(blob, dtype="<f8", offset=16 * k, count=k)
         total = n + texts
         base = sums + math.log10(texts + 1) - tokens * math.log10(total + v + (texts > 0) + 1)
-        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), null == 1), "held_out": held == 1, "n_tokens": tokens, "n_known": known + (texts > 0), "train_tokens": total, "base_score": base, "score": scores})
+        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), null == 1), "held_out": held == 1, "n_tokens": tokens, "n_known": known + (texts > 0), "train_tokens": total, "base_score": base, "one": one, "two": two})
 
     return run
 
@@ -636,17 +684,19 @@ def _finish(n: int, v: int, texts: int):
 def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
     path, scratch = path or default_path(), Scratch(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
+    sc, vocabulary = docs.sparkSession.sparkContext, load(path or default_path())
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    docs = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", held.cast("long").alias("held"), F.xxhash64(text).alias("one"), F.xxhash64(text, F.lit(1)).alias("two"))
+    # Each text is encoded once, for learning and for scoring.
+    encoded = scratch.save(docs.select("text", "one", "two", "held").mapInArrow(_encode(path), ENCODED))
     # Of the texts alone, so that their files and partitions have no say.
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = encoded.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     n_ranges, n_groups = max(16, -(-size // RANGE_BYTES)), len(RATES) * max(1, -(-size // GROUP_BYTES))
-    made = docs.where(~held).select("text").mapInArrow(_learn(n_ranges, n_groups, path), "key long, blob binary")
+    made = encoded.mapInArrow(_deal(n_groups, len(vocabulary.pieces)), "key long, blob binary").unionByName(docs.where("held = 0").select("text").mapInArrow(_count(n_ranges), "key long, blob binary"))
     merged = made.groupBy("key").applyInPandas(_merge(max(1, HEAD // n_ranges)), "key long, n long, v long, blob binary, head binary")
     merged = scratch.save(merged)
     n, v = merged.where("key >= 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    vocabulary = load(path)
     counts = np.zeros(len(vocabulary.pieces) + 1)
     for r in merged.where(f"key < 0 and key > {WINDOWS}").select("blob").collect():  # a count for each id of the vocabulary
         ids, c = _halves(bytes(r.blob))
@@ -659,11 +709,13 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     windows = merged.where(f"key <= {WINDOWS}")
     tables = (counts, opens, _pairs(windows, counts, opens))
     params = _fitted(windows, Model(*tables), tables)
-    sent = sc.broadcast((tables, params, head, head_count))
-    asked = docs.mapInArrow(_score(sent, n_ranges, path), "key long, chunk long, blob binary")
+    scored = scratch.save(encoded.mapInArrow(_score(sc.broadcast((tables, params))), "one long, two long, score double"))
+    scored = scored.groupBy("one", "two").agg(F.min("score").alias("score"))  # equal texts have equal scores
+    asked = docs.mapInArrow(_ask(sc.broadcast((head, head_count)), n_ranges), "key long, chunk long, blob binary")
     table_ = merged.where("key >= 0").select("key", F.lit(-1).cast("long").alias("chunk"), "blob")
     found = asked.unionByName(table_).groupBy("key").applyInPandas(_look_up, "chunk long, meta boolean, blob binary")
-    return found.groupBy("chunk").applyInPandas(_finish(int(n), int(v), texts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    based = found.groupBy("chunk").applyInPandas(_finish(int(n), int(v), texts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, one long, two long")
+    return based.join(scored, ["one", "two"]).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8(spark, sf_dir):
