@@ -43,7 +43,7 @@ from .common import Scratch, table
 from .piece_bpe import SPACE, default_path, load
 from .textscan import Index, Store, U64, flat, hashes, mix, pieces, scan
 
-HALF, WIDTH, CLASSES = 16, 16, 48
+HALF, WIDTH, CLASSES = 16, 16, 32
 OWN, SHARED = 1536, 512
 SLOTS = OWN + SHARED
 #: Fills up a text's last training window; not learned.

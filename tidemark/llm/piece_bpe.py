@@ -198,7 +198,7 @@ class Vocabulary:
         """(ids of all words (spaces already replaced), how many each has)."""
         return self.merge_points(np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4"), np.array([len(w) for w in words], dtype=np.int64))
 
-    def merge_points(self, points: np.ndarray, lengths: np.ndarray, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def merge_points(self, points: np.ndarray, lengths: np.ndarray, block: int = 16384) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, how many each has) of the words' code points and lengths; in blocks whose arrays stay in the processor's cache."""
         if not len(lengths):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
