@@ -2,7 +2,7 @@
 
 A rule (host, path) fits its host and all subdomains where the url's path starts with
 the rule's; the longest fitting rule wins.  Pages without a fitting rule take the
-decision of their aliases: canonical links and refresh redirects in the html, and
+decision of their aliases: all canonical links and refresh redirects in the html, and
 a redirect table where one is given, are edges between urls; within a connected
 component an explicitly allowed url makes the others allowed, else a blocked
 one makes them blocked, else they are allowed.
@@ -112,17 +112,19 @@ def _plain(whole: Column) -> Column:
 def _links(url: Column, html: Column) -> Column:
     """Array of the urls that a page's html names as its canonical form or refreshes to, made absolute."""
     value = lambda tag, name: _let(F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1), _decoded)
-    canonical = value(F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), "href")
-    refresh = value(F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), "url")
+    tags = lambda name, marked: F.filter(F.regexp_extract_all(html, F.lit(rf"(?i)(<{name}\b[^>]*>)"), 1), lambda x: x.rlike(marked))
+    quoted = lambda name, word: rf"(?i)\b{name}\s*=\s*(\"[^\"]*\b{word}\b[^\"]*\"|'[^']*\b{word}\b[^']*'|{word}\b)"
+    canonical = F.transform(tags("link", quoted("rel", "canonical")), lambda x: value(x, "href"))
+    refresh = F.transform(tags("meta", quoted("http-equiv", "refresh")), lambda x: value(x, "url"))
     named = value(F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref\s*=[^>]*>", 0), "href")
     base = F.coalesce(_resolved(url, named), url)
-    return F.array_compact(_let(base, lambda b: F.transform(F.array(canonical, refresh), lambda x: _resolved(b, x))))
+    return F.array_compact(_let(base, lambda b: F.transform(F.concat(canonical, refresh), lambda x: _resolved(b, x))))
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages (page_id, url, html); redirects: (from_url, to_url)."""
     scratch = Scratch(pages.sparkSession)
-    linked = pages.where("url is not null and html is not null").select(node(F.col("url")).alias("a"), F.explode(_links(F.col("url"), F.col("html"))).alias("to"))
+    linked = pages.where(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh")).select(node(F.col("url")).alias("a"), F.explode(_links(F.col("url"), F.col("html"))).alias("to"))
     edges = linked.select("a", node(F.col("to")).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node(F.col("from_url")).alias("a"), node(F.col("to_url")).alias("b")))
