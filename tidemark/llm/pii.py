@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Candidates are spans of four kinds: the base patterns' matches (kept or dropped by
-their own check) and looser forms (obfuscated addresses, telephone numbers without
-a plus sign, cards with other separators).  Six labelers vote for or against each:
+their own check) and looser forms (masked or spelled addresses, spaced or bracketed and version 6 network
+addresses, national telephone numbers and those behind 00, cards with other separators).  Six labelers vote for or against each:
 the strict pattern, a checksum or range check, a gazetteer (top-level domains, issuer
 prefixes, reserved addresses), words before the span, characters that touch it, and
 signs of a technical number.  The votes of all candidates of all documents are counted per kind
@@ -40,9 +40,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # The looser forms.
-MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{2,63}){1,4}")
+MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:[\[({<](?:at|AT)[\])}>]|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[({<](?:dot|DOT)[\])}>]|\.) ?[A-Za-z0-9-]{2,63}){1,4}")
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{2,63}){1,4}")
+SPACED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?| ?\(\.\) ?)[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?| ?\(\.\) ?)[0-9]{1,3}(?: ?\. ?| ?\[\.\] ?| ?\(\.\) ?)[0-9]{1,3}(?![0-9])")
+IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])")
 LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
-SPACED_CARD = re.compile(r"(?<![0-9A-Za-z.])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])")
+ABROAD = re.compile(r"(?<![0-9A-Za-z+.-])00[1-9][0-9]{0,2}[ ./-][0-9() ./-]{5,16}[0-9](?![0-9A-Za-z])")
+TRUNK = re.compile(r"(?<![0-9A-Za-z])\(0[0-9]{1,4}\)[ -]?[0-9][0-9 -]{3,10}[0-9](?![0-9A-Za-z])")
+SPACED_CARD = re.compile(r"(?<![0-9A-Za-z.])(?:[0-9]{4}([._/]|  |\t|\u00a0)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([._/]|  |\t|\u00a0)[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])")
+#: (kind, what a text must hold one of, form)
+LOOSE = (
+    (0, ("[at]", "(at)", "[AT]", "(AT)", "{at}", "{AT}", "<at>", "<AT>", " @", "@ "), MASKED), (0, (" dot ", " DOT "), SPELLED), (1, (" . ", ". ", "[.]", "(.)"), SPACED_IP), (1, (":",), IP6),
+    (2, (), SPACED_CARD), (3, (), LOCAL_PHONE), (3, ("00",), ABROAD), (3, ("(0",), TRUNK),
+)
 
 # The gazetteers.
 DOMAINS = frozenset("com org net edu gov mil int info biz io co us uk de fr es it nl ch at eu be se no dk fi pl pt ru cn jp in br au ca example test".split())
@@ -98,13 +108,8 @@ def base(text: str) -> list[tuple[int, int, int, bool]]:
 
 
 def loose(text: str, taken: list) -> list[tuple[int, int, int]]:
-    out = []
-    if "[at]" in text or "(at)" in text or "[AT]" in text or "(AT)" in text:
-        out += [(m.start(), 0, m.end()) for m in MASKED.finditer(text)]
-    out += [(m.start(), 2, m.end()) for m in SPACED_CARD.finditer(text)]
-    out += [(m.start(), 3, m.end()) for m in LOCAL_PHONE.finditer(text)]
-    out = [x for x in out if not any(x[0] < e and s < x[2] for s, _, e, *_ in taken)]
-    out.sort()
+    out = [(m.start(), kind, m.end()) for kind, signs, form in LOOSE if not signs or any(x in text for x in signs) for m in form.finditer(text)]
+    out = sorted(x for x in out if not any(x[0] < e and s < x[2] for s, _, e, *_ in taken))
     kept: list[tuple[int, int, int]] = []
     for x in out:  # leftmost first, without overlaps
         if not kept or x[0] >= kept[-1][2]:
@@ -121,8 +126,8 @@ def votes(text: str, start: int, kind: int, end: int, strict: int) -> int:
         tail = re.split(r"[^A-Za-z]+", span.rstrip(")]"))[-1].lower()
         known = 2 if tail in DOMAINS else 1
     elif kind == 1:
-        check = 2 if _octets(span) else 0
-        known = 0 if digits.strip("0") == "" or span.startswith(("0.", "127.")) else 1
+        check = 2 if ":" in span or all(int(x) <= 255 for x in re.findall("[0-9]+", span) if len(x) <= 3) else 0
+        known = 2 if "::" in span or span.count(":") == 7 else 0 if digits.strip("0") == "" or span.startswith(("0.", "127.")) else 1
     elif kind == 2:
         check = 2 if 12 <= len(digits) <= 19 and luhn(digits) else 0
         known = 2 if digits.startswith(ISSUERS) else 0
@@ -210,7 +215,7 @@ def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Weights of the span classifier: logistic regression on the estimates, by Newton steps with a small ridge."""
     p, x = reliabilities(codes, counts), _features(codes)
     w = np.zeros(x.shape[1])
-    scale = counts / counts.sum() * min(counts.sum(), 1e6)
+    scale = counts
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (scale * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w))
