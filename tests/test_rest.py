@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tidemark.functions import times
 from tidemark.functions.registry import Registry
-from tidemark.operators import calendar, conditions, pointwise
+from tidemark.operators import calendar, conditions, gaps, legs, pointwise, reduce, resample
 from tidemark.plans import registry
 from tidemark.sources import files, ledger, raw_bars
 from tidemark.streaming import incremental
@@ -135,3 +135,103 @@ def test_alerts_and_registries():
         known.get("path_lenght")
     with pytest.raises(KeyError):
         incremental.validate_triggers({"t": {"outbox": "x"}}, ["t"], ["y"])
+
+
+def test_null_keys_stay(spark):
+    rows = [("s", 0, 1.0), (None, 0, 2.0), (None, 3600, 3.0), ("s", 3600, 4.0), ("s", 3600, 4.0)]
+    df = spark.createDataFrame(rows, "symbol string, t int, x double").select("symbol", F.timestamp_seconds("t").alias("tz_start"), *[F.col("x").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    assert {(r.symbol, r.open) for r in resample.resample(df, 7200).collect()} == {("s", 1.0), (None, 2.0)}
+    kept, conflicts = gaps.dedupe(df)
+    assert kept.count() == 4 and conflicts.count() == 0
+    assert {(r.symbol, r.src_row_count) for r in reduce.per_time_chunk(df, 3600, [], with_empty=True).collect()} == {("s", 1), ("s", 2), (None, 1)}
+
+
+def test_zoom_keeps_the_maximum(spark):
+    df = spark.createDataFrame([(float(k),) for k in range(5)] + [(100.0,)] * 95, "x double")
+    first, second = reduce.zoom(df, "x")[:2]
+    assert first.agg(F.sum("count")).first()[0] == 100 and second.agg(F.sum("count")).first()[0] == 95
+
+
+def test_combined_events_keep_the_first_list(spark):
+    a, b = (spark.createDataFrame(r, "ts int, name string") for r in ([(1, "z"), (2, "y")], [(1, "a"), (3, "c"), (3, "b")]))
+    assert sorted(map(tuple, calendar.combine_events(a, b).collect())) == [(1, "z"), (2, "y"), (3, "b")]
+
+
+def test_rename_loses_nothing(spark, tmp_path):
+    one, two = (spark.createDataFrame([(k,)], "a int") for k in (1, 2))
+    files.write(one, f"{tmp_path}/t.parquet")
+    files.write(two, f"{tmp_path}/new.parquet")
+    with pytest.raises(FileNotFoundError):
+        files.rename(spark, f"{tmp_path}/none.parquet", f"{tmp_path}/t.parquet")
+    files.rename(spark, f"{tmp_path}/new.parquet", f"{tmp_path}/t.parquet")
+    assert files.read(spark, f"{tmp_path}/t.parquet").first().a == 2 and files.names(spark, str(tmp_path)) == ["t.parquet"]
+    (tmp_path / "t.parquet").rename(tmp_path / ".t.parquet.old")  # as a crash between both steps leaves it
+    assert files.recover(spark, f"{tmp_path}/t.parquet") and files.read(spark, f"{tmp_path}/t.parquet").first().a == 2
+    assert not files.recover(spark, f"{tmp_path}/t.parquet")
+    files.delete(spark, f"{tmp_path}/t.parquet")
+    assert not files.has_files(spark, str(tmp_path)) and files.fingerprint(spark, f"{tmp_path}/nowhere") == (0, 0)
+    assert files.checkpoint(one, str(tmp_path), "c").startswith(f"{tmp_path}/c_")
+
+
+def test_bars_that_are_not_complete_are_refused(spark):
+    rows = lambda ts: spark.createDataFrame([("s", t, 1.0) for t in ts], "symbol string, t int, x double").select("symbol", F.timestamp_seconds("t").alias("tz_start"), *[F.col("x").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    made = resample.generate(rows(range(0, 600, 60)), (120, 300))
+    assert {k: v.count() for k, v in made.items()} == {120: 5, 300: 2}
+    for bad, sizes in ((range(0, 600, 30), (120,)), ([0, 60, 240], (120,)), (range(0, 600, 60), (90,))):
+        with pytest.raises(ValueError):
+            resample.generate(rows(bad), sizes)
+    for wrong in ({"window": 0}, {"scale": -1.0}, {"least": -1.0}):
+        with pytest.raises(ValueError):
+            gaps.LinearFill(**wrong)
+
+
+def test_load_bars(spark, tmp_path):
+    rows = [("s", 0, 1.0, 2.0, 1.0, 2.0), ("s", 60, 1.0, 2.0, 1.0, 2.0), ("s", 60, 1.0, 2.0, 1.0, 2.0), ("s", 120, 0.0, 2.0, 0.0, 1.0), ("s", 300, 3.0, 2.0, 1.0, 2.0), ("s", 360, 1.0, 2.0, 1.0, 2.0), ("s", 360, 1.5, 2.0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "symbol string, t int, open double, high double, low double, close double").select("symbol", F.timestamp_seconds("t").alias("tz_start"), "open", "high", "low", "close")
+    files.write(df, f"{tmp_path}/b.parquet")
+    clean, report, issues = files.load_bars(spark, f"{tmp_path}/b.parquet", 60)
+    assert clean.count() == 2 and report.first().n_gaps == 1
+    found = [r.issue for r in issues.collect()]
+    assert sorted(set(found)) == ["conflict", "duplicate", "gap_before", "inconsistent", "zero"] and found.count("duplicate") == 4 and found.count("conflict") == 2
+
+
+def test_symbols_and_snapshots(spark, tmp_path):
+    names = raw_bars.SymbolMap((("SOL-PERP", "0"), ("BTC-PERP", "1")))
+    assert names.to_venue("BTC-PERP") == "1" and names.to_ours("0") == "SOL-PERP"
+    df = names.rename(names.frame(spark).drop("venue_id"))
+    assert sorted(r.symbol for r in df.collect()) == ["0", "1"] and sorted(r.symbol for r in names.rename(df, back=True).collect()) == ["BTC-PERP", "SOL-PERP"]
+    with pytest.raises(ValueError):
+        raw_bars.SymbolMap((("a", "0"), ("b", "0")))
+    assert ledger.due(5, 0, 0) and ledger.due(1, 120, 0) and ledger.due(1, 0, 2**30) and not ledger.due(0, 999, 0) and not ledger.due(4, 60, 1)
+    files.write(spark.createDataFrame([("a", "partial"), ("b", "complete")], "slice_key string, status string"), f"{tmp_path}/l.parquet")
+    deltas = spark.createDataFrame([("a", "failed", 1), ("a", "complete", 2), ("c", "partial", 3)], "slice_key string, status string, seq long")
+    assert {r.slice_key: r.status for r in ledger.compact(spark, f"{tmp_path}/l.parquet", deltas).collect()} == {"a": "complete", "b": "complete", "c": "partial"}
+
+
+def test_provider_recomputes_only_what_is_new(spark, tmp_path):
+    rows = lambda a, b: spark.createDataFrame([("s", i, float(i * i % 7)) for i in range(a, b)], "symbol string, tz_start int, close double")
+    pipeline = incremental.Pipeline(lambda d: pointwise.with_diff(d, ["close"], 2), overlap=2)
+    own = incremental.CleanProvider(spark, f"{tmp_path}/in", f"{tmp_path}/sealed.parquet", pipeline)
+    for k in range(3):
+        files.write(rows(10 * k, 10 * k + 10), f"{tmp_path}/in/{k}.parquet")
+        assert own.changed()
+        got = {(r.tz_start, r.close__diff_2) for r in own.frame().collect()}
+        assert got == {(r.tz_start, r.close__diff_2) for r in pipeline.run(rows(0, 10 * k + 10)).collect()} and not own.changed()
+
+
+def test_frames_are_built_once(spark, tmp_path):
+    built = []
+    builders = {"f": lambda d: built.append(1) or d.withColumn("up", F.col("x") > 1)}
+    incremental.run_frames(spark.createDataFrame([(1,), (2,)], "x int"), builders, {"a": {"frame": "f", "column": "up"}, "b": {"frame": "f", "column": "up"}}, f"{tmp_path}/out")
+    assert len(built) == 1 and sorted(r.trigger for r in spark.read.json(f"{tmp_path}/out").collect()) == ["a", "b"]
+
+
+def test_columns_and_paths(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert pointwise.insert_column(df, "c", F.lit(3), 1).columns == ["a", "c", "b"] and pointwise.move_column(df, "b", 0).columns == ["b", "a"]
+    assert pointwise.one(["x"]) == "x" and files.bars_path("r", "s", "e", "raw", "x", "1m", 9) == "r/s/e/raw/x/1m/limit=9"
+    with pytest.raises(ValueError):
+        pointwise.one(["x", "y"])
+    assert files.from_records(spark, [{"a": 1}, {"a": None, "b": 2}], ["a", "b"]).count() == 2
+    paths = legs.mfe_survival(spark.createDataFrame([(3, 1), (1, 0)], "len int, idx int"), "len", "idx")
+    assert [(r.t, r.survivors) for r in paths.orderBy("t").collect()] == [(1, 2), (2, 1), (3, 1)]

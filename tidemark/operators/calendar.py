@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .series import both, either
 
 
 def _ts(c: str | Column) -> Column:
@@ -119,8 +121,29 @@ def around(df: DataFrame, ts: str, windows: DataFrame, key: list[str], out: str
     return mark_around(df, ts, windows, key, out).where(F.col(out).isNotNull())
 
 
+def before_anchors(df: DataFrame, ts: str, events: DataFrame, seconds: int, key: list[str], at: str = "ts", out: str = "event_id") -> DataFrame:
+    """The rows in the seconds up to an event."""
+    return around(df, ts, windows_around(events, at, seconds, 0), key, out)
+
+
+def after_anchors(df: DataFrame, ts: str, events: DataFrame, seconds: int, key: list[str], at: str = "ts", out: str = "event_id") -> DataFrame:
+    """The rows in the seconds from an event on."""
+    return around(df, ts, windows_around(events, at, 0, seconds), key, out)
+
+
+def where_all(df: DataFrame, conditions) -> DataFrame:
+    return df.where(both(list(conditions)))
+
+
+def where_any(df: DataFrame, conditions) -> DataFrame:
+    return df.where(either(list(conditions)))
+
+
 def combine_events(*lists: DataFrame, key: str = "ts") -> DataFrame:
-    out = lists[0]
-    for x in lists[1:]:
-        out = out.unionByName(x)
-    return out.dropDuplicates([key])
+    """Of rows of one key that of the first list stays, within a list the smallest."""
+    out = None
+    for k, x in enumerate(lists):
+        own = x.withColumn("_list", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_list", *lists[0].columns))
+    return out.withColumn("_nth", first).where("_nth = 1").drop("_list", "_nth")

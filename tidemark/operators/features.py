@@ -60,12 +60,13 @@ def with_width_pressure(df: DataFrame, step: str = "width_step", m: int = 5, k:
 
 
 def with_squeeze(df: DataFrame, n: int = 20, prefix: str = "boll", series: Series = BARS) -> DataFrame:
-    """Touches by high and low, width over |mid|, and whether it is in the lowest fifth of the last n."""
+    """Touches by high and low, width over |mid|, and whether it is in the lowest fifth of the last n (equal up to rounding is in it)."""
     df = df.withColumns({
         "touch_upper": compare("high", "ge", f"{prefix}_upper"), "touch_lower": compare("low", "le", f"{prefix}_lower"),
         "band_width": F.try_divide(F.col(f"{prefix}_upper") - F.col(f"{prefix}_lower"), F.abs(f"{prefix}_mid")),
     })
-    return df.withColumn("squeeze", compare("band_width", "le", rolling_quantile("band_width", 0.2, n, series)))
+    fifth = rolling_quantile("band_width", 0.2, n, series)
+    return df.withColumn("squeeze", compare("band_width", "le", fifth + 1e-12 * F.abs(fifth)))
 
 
 def boll_block(df: DataFrame, n: int = 20, k: float = 2.0, series: Series = BARS) -> DataFrame:
@@ -221,7 +222,7 @@ def with_vwap_distance(df: DataFrame, vwap: str = "vwap_session", n: int = 200,
     df = df.withColumn("vwap_dist", F.col("close") - F.col(vwap))
     df = df.withColumns({"vwap_dist_pct": F.try_divide("vwap_dist", vwap) * 100, "vwap_dist_abs": F.abs("vwap_dist")})
     df = with_expanding(df, "vwap_dist_abs", series)
-    df = df.withColumn("price_rel_vwap", F.when(F.col("vwap_dist") > 0, "above").when(F.col("vwap_dist") < 0, "below").when(F.col("vwap_dist") == 0, "equal"))
+    df = df.withColumn("price_rel_vwap", F.when(F.col("vwap_dist") > 0, "above").when(F.col("vwap_dist") < 0, "below").otherwise("equal"))
     return with_distance_z(df, "vwap_dist", n, series=series)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .indicators import rolling
 from .series import BARS, Series, both, flag
@@ -16,12 +16,12 @@ def dedupe(df: DataFrame, series: Series = BARS, strict: bool = False) -> tuple[
     """(rows, conflicts): of rows of one time with equal prices the first stays; rows whose prices differ all stay and are conflicts, or fail if strict."""
     prices = [c for c in (*OHLC, "volume") if c in df.columns]
     at = [*series.keys, series.ts]
-    per = df.groupBy(*at).agg(F.count("*").alias("_n"), F.countDistinct(F.struct(*prices)).alias("_kinds"))
-    rows = df.join(per, at).withColumn("_nth", F.row_number().over(Series((*at,), prices[0], series.tie).over()))
-    conflicts = rows.where("_kinds > 1").drop("_n", "_kinds", "_nth")
+    here, all_ = Window.partitionBy(*at), F.struct(*prices)
+    rows = df.withColumns({"_differ": F.min(all_).over(here) != F.max(all_).over(here), "_nth": F.row_number().over(Series((*at,), prices[0], series.tie).over())})
+    conflicts = rows.where("_differ").drop("_differ", "_nth")
     if strict:
-        rows = rows.withColumn("_kinds", F.when(F.col("_kinds") > 1, F.raise_error(F.lit("bars of one time differ"))).otherwise(F.col("_kinds")).cast("long"))
-    return rows.where("_kinds > 1 or _nth = 1").drop("_n", "_kinds", "_nth"), conflicts
+        rows = rows.withColumn("_differ", F.when(F.col("_differ"), F.raise_error(F.lit("bars of one time differ")).cast("boolean")).otherwise(F.lit(False)))
+    return rows.where("_differ or _nth = 1").drop("_differ", "_nth"), conflicts
 
 
 def seconds_since(series: Series) -> Column:
@@ -118,11 +118,15 @@ class ConstantFill:
 class LinearFill:
     """Closes on the line from the last close to the next open; the range is scaled by the mean move of the real bars before, or by the distance to cover."""
 
-    window: int = 0
+    window: int | None = None
     scale: float = 1.0
     least: float = 0.0
     name = "windowed_linear"
 
+    def __post_init__(self):
+        if self.window is not None and self.window < 1 or self.scale < 0 or self.least < 0:
+            raise ValueError("a window has a row at least, and no scale is negative")
+
     def prices(self, series: Series) -> dict[str, Column]:
         after = series.over().rowsBetween(0, 2**31 - 1)
         a, b = F.last("close", ignorenulls=True).over(series.cum()), F.first("open", ignorenulls=True).over(after)
@@ -183,3 +187,36 @@ def fetch_windows(missing: DataFrame, seconds: int, series: Series = BARS) -> Da
 
 def staleness(df: DataFrame, now: Column, series: Series = BARS) -> DataFrame:
     return df.groupBy(*series.keys).agg((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.max(series.ts).cast("timestamp"))).alias("seconds_stale"))
+
+
+def issues(df: DataFrame, seconds: int, series: Series = BARS) -> DataFrame:
+    """(keys, time, issue): what is wrong with each row, a row for each finding."""
+    prices = [c for c in (*OHLC, "volume") if c in df.columns]
+    here, all_ = Window.partitionBy(*series.keys, series.ts), F.struct(*prices)
+    ok = F.coalesce(both([F.col("low") <= F.col("open"), F.col("low") <= F.col("close"), F.col("open") <= F.col("high"), F.col("close") <= F.col("high"), F.col("low") <= F.col("high")]), F.lit(False))
+    rules = {
+        "duplicate": F.count(F.lit(1)).over(here) > 1, "conflict": F.min(all_).over(here) != F.max(all_).over(here), "zero": F.expr(" or ".join(f"{c} = 0" for c in OHLC)),
+        "inconsistent": ~ok, "gap_before": seconds_since(series) > seconds,
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    return df.withColumn("_found", found).select(*series.keys, series.ts, F.explode("_found").alias("issue"))
+
+
+def quality(df: DataFrame, seconds: int, series: Series = BARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, report, issues): without repetitions and without rows whose prices conflict, are zero or contradict each other; counts for each series; what is wrong with each row."""
+    rows, _ = dedupe(df, series)
+    prices = [c for c in (*OHLC, "volume") if c in df.columns]
+    here, all_ = Window.partitionBy(*series.keys, series.ts), F.struct(*prices)
+    ok = both([F.col("low") <= F.col("open"), F.col("low") <= F.col("close"), F.col("open") <= F.col("high"), F.col("close") <= F.col("high")] + [F.col(c) != 0 for c in OHLC])
+    clean = rows.withColumn("_differ", F.min(all_).over(here) != F.max(all_).over(here)).where(~F.col("_differ") & ok).drop("_differ")
+    return clean, report(df, seconds, series), issues(df, seconds, series)
+
+
+def require_complete(df: DataFrame, seconds: int, series: Series = BARS) -> None:
+    """Raises unless every series starts with that step, has no other, and so has no gaps."""
+    wrong = infer_seconds(df, series).where(F.col("seconds") != seconds).limit(1).count()
+    if wrong:
+        raise ValueError(f"bars are not {seconds} seconds apart")
+    require_homogeneous(df, series)
+    if gaps(df, seconds, series).limit(1).count():
+        raise ValueError("bars have gaps")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .conditions import with_group_id, with_running_true
 from .indicators import with_sma
 from .pointwise import in_units, with_bar_direction
+from .reduce import zoom
 from .series import BARS, Series, false_if_null
 
 
@@ -34,12 +35,13 @@ def excursion(df: DataFrame, leg: str, up: bool, favourable: bool, prefix: str =
     rows = df.where(F.col(leg).isNotNull())
     whole = series.whole(leg)
     price = F.col("high") if up == favourable else F.col("low")
-    sign = 1 if up else -1
     rows = rows.withColumns({f"{prefix}_idx": F.row_number().over(series.over(leg)) - 1, f"{prefix}_n_bars": F.count(F.lit(1)).over(whole), f"{prefix}_open": F.first("open").over(whole)})
-    rows = rows.withColumn(f"{prefix}_val", sign * (price - F.col(f"{prefix}_open")))
+    start = F.col(f"{prefix}_open")
+    rows = rows.withColumn(f"{prefix}_val", price - start if up else start - price)
     rows = rows.withColumn(f"{prefix}_bps", in_units(f"{prefix}_val", f"{prefix}_open", "bps"))
     best = F.col(f"{prefix}_bps") if favourable else -F.col(f"{prefix}_bps")
-    first = F.row_number().over(Window.partitionBy(*series.keys, leg).orderBy(best.desc_nulls_last(), series.ts, *series.tie)) == 1
+    # The first of the farthest; null is the smallest.
+    first = F.max_by(f"{prefix}_idx", F.struct(best, -F.col(f"{prefix}_idx"))).over(whole) == F.col(f"{prefix}_idx")
     rows = rows.withColumns({f"{prefix}_is_max": first, f"{prefix}_from_start": F.col(f"{prefix}_idx"), f"{prefix}_from_end": F.col(f"{prefix}_n_bars") - 1 - F.col(f"{prefix}_idx")})
     return rows.withColumn(f"{prefix}_pct_of_leg", F.when(F.col(f"{prefix}_n_bars") > 1, F.col(f"{prefix}_from_start") / (F.col(f"{prefix}_n_bars") - 1)).otherwise(1.0))
 
@@ -49,10 +51,11 @@ def mfe_rows(df: DataFrame, leg: str, up: bool = True, series: Series = BARS) ->
     return excursion(df, leg, up, True, "mfe", series).where("mfe_is_max")
 
 
-def mfe_survival(legs: DataFrame, length: str, index: str, most: int) -> DataFrame:
-    """For t = 1 .. most: legs at least t long, and the share of them whose extreme lies at t or before."""
-    spine = legs.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("t"))
+def mfe_survival(legs: DataFrame, length: str, index: str, most: int | None = None) -> DataFrame:
+    """For t = 1 .. most (the longest leg's length where none is given): legs at least t long, and the share of them whose extreme lies at t or before."""
     by = legs.groupBy(F.col(length).alias("len"), F.col(index).alias("idx")).count()
+    end = F.lit(most) if most else F.coalesce(F.max("len"), F.lit(0))
+    spine = by.agg(end.cast("int").alias("most")).where("most > 0").select(F.explode(F.sequence(F.lit(1), "most")).alias("t"))
     hit = by.join(F.broadcast(spine), F.col("len") >= F.col("t"))
     out = hit.groupBy("t").agg(F.sum("count").alias("survivors"), F.sum(F.when(F.col("idx") <= F.col("t"), F.col("count")).otherwise(0)).alias("reached"))
     return spine.join(out, "t", "left").select("t", F.coalesce("survivors", F.lit(0)).alias("survivors"), F.try_divide("reached", "survivors").alias("rate"))
@@ -66,9 +69,10 @@ def mfe_already_at(legs: DataFrame, length: str, index: str, t: int) -> DataFram
 def line_distance(df: DataFrame, line: str, leg: str, series: Series = BARS) -> DataFrame:
     """Distance of the close from a line within each leg, and the leg's farthest row."""
     rows = df.where(F.col(leg).isNotNull()).withColumn("dist_bps", in_units(F.col("close") - F.col(line), line, "bps"))
-    order = Window.partitionBy(*series.keys, leg).orderBy(F.abs("dist_bps").desc_nulls_last(), series.ts, *series.tie)
-    rows = rows.withColumns({"is_max_stretch": F.row_number().over(order) == 1, "_most": F.max(F.abs("dist_bps")).over(series.whole(leg))})
-    return rows.withColumn("stretch_pct", F.try_divide(F.abs("dist_bps"), "_most")).drop("_most")
+    rows = rows.withColumn("_idx", F.row_number().over(series.over(leg)))
+    farthest = F.max_by("_idx", F.struct(F.abs("dist_bps"), -F.col("_idx"))).over(series.whole(leg))
+    rows = rows.withColumns({"is_max_stretch": farthest == F.col("_idx"), "_most": F.max(F.abs("dist_bps")).over(series.whole(leg))})
+    return rows.withColumn("stretch_pct", F.try_divide(F.abs("dist_bps"), "_most")).drop("_most", "_idx")
 
 
 def with_survival_marks(df: DataFrame, run: str, marks, prefix: str) -> DataFrame:
@@ -89,3 +93,11 @@ def sma_survival(df: DataFrame, n: int, series: Series = BARS) -> DataFrame:
 
 def execution_by_length(paths: DataFrame) -> DataFrame:
     return paths.groupBy("bars").agg(F.count("*").alias("n"), F.median("pnl").alias("median_pnl"), F.percentile("mfe", F.lit(0.9)).alias("p90_mfe"), F.percentile("mae", F.lit(0.9)).alias("p90_mae"), F.min("pnl").alias("min_pnl"), F.max("pnl").alias("max_pnl"))
+
+
+def mfe_distribution(rows: DataFrame, position: str, length: str, n: int = 20, threshold: float = 0.9) -> tuple[list[DataFrame], DataFrame]:
+    """(histograms of where in the leg the extreme lies, frequency of the legs' lengths with cumulative share)."""
+    by = rows.where(F.col(length).isNotNull()).groupBy(F.col(length).cast("long").alias("n")).agg(F.count("*").alias("count"))
+    total = F.sum("count").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    so_far = F.sum("count").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return zoom(rows, position, n, threshold), by.withColumns({"pct": F.col("count") / total, "cum_pct": so_far / total})

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .series import BARS, Series, require, require_type
+from .series import BARS, Series, joined, require, require_type
 
 NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
 
@@ -55,7 +55,7 @@ def bucket_start(ts: Column, seconds: int, origin: Column) -> Column:
 
 def with_bucket(df: DataFrame, seconds: int, out: str, series: Series = BARS) -> DataFrame:
     first = df.groupBy(*series.keys).agg(F.min(series.ts).alias("_first"))
-    return df.join(first, list(series.keys)).withColumn(out, bucket_start(F.col(series.ts), seconds, F.col("_first"))).drop("_first")
+    return joined(df, first, series.keys).withColumn(out, bucket_start(F.col(series.ts), seconds, F.col("_first"))).drop("_first")
 
 
 def per_time_chunk(df: DataFrame, seconds: int, metrics, with_empty: bool = False, series: Series = BARS) -> DataFrame:
@@ -66,7 +66,7 @@ def per_time_chunk(df: DataFrame, seconds: int, metrics, with_empty: bool = Fals
     step = F.make_dt_interval(secs=F.lit(seconds))
     spine = made.groupBy(*series.keys).agg(F.explode(F.sequence(F.min("chunk"), F.max("chunk"), step)).alias("chunk"))
     zero = ["src_row_count", *[m.name or f"{m.column}_{m.how}" for m in metrics if m.how in ("sum", "count_true")]]
-    return spine.join(made, [*series.keys, "chunk"], "left").fillna(0, zero)
+    return joined(spine, made, [*series.keys, "chunk"], "left").fillna(0, zero)
 
 
 def condition_paths(df: DataFrame, group: str, series: Series = BARS) -> DataFrame:
@@ -98,10 +98,11 @@ def zoom(df: DataFrame, column: str, n: int = 20, threshold: float = 0.9, depth:
     for level in range(depth):
         made = equal_width(own, column, n).withColumns({"depth": F.lit(level), "bucket_id": F.concat_ws(".", F.lit(level), "bucket")})
         out.append(made)
-        top = made.orderBy(F.desc("count"), "bucket").select("lower", "upper", "count").head(1)
+        top = made.orderBy(F.desc("count"), "bucket").select("bucket", "lower", "upper", "count").head(1)
         if not top or top[0]["count"] < threshold * total or top[0]["lower"] == top[0]["upper"]:
             break
-        own = own.where((F.col(column) >= top[0]["lower"]) & (F.col(column) < top[0]["upper"]))
+        # The last bin is closed on the right.
+        own = own.where((F.col(column) >= top[0]["lower"]) & (F.lit(top[0]["bucket"] == n - 1) | (F.col(column) < top[0]["upper"])))
     return out
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from .gaps import require_complete
 from .reduce import with_bucket
 from .series import BARS, Series
 
@@ -49,3 +50,11 @@ def union_granularities(frames: dict[tuple[int, str], DataFrame], column: str =
 
 def union_distinct(frames, order) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames).dropDuplicates().orderBy(*order)
+
+
+def generate(df: DataFrame, sizes, base_seconds: int = 60, series: Series = BARS) -> dict[int, DataFrame]:
+    """Bars of coarser sizes from complete bars of base_seconds; raises where these have another step, several steps or gaps, or a size is no multiple."""
+    if bad := [s for s in sizes if s % base_seconds]:
+        raise ValueError(f"not multiples of {base_seconds}: {bad}")
+    require_complete(df, base_seconds, series)
+    return resample_all(df, sizes, series)

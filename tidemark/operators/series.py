@@ -86,3 +86,9 @@ def require_type(df: DataFrame, kinds: tuple[str, ...], *columns: str) -> None:
 def numeric(df: DataFrame, columns=None) -> list[str]:
     """The named columns that exist, or all numeric ones."""
     return [c for c, t in df.dtypes if (c in columns if columns is not None else t.startswith(("double", "float", "int", "bigint", "long", "decimal", "smallint", "tinyint")))]
+
+
+def joined(a: DataFrame, b: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """a with the other columns of b, joined on keys where null equals null."""
+    own = b.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    return a.join(own, both([F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]), how).drop(*[f"_of_{k}" for k in keys])

@@ -203,14 +203,12 @@ b as (select *, case when n >= 10 then m end as mid, case when n >= 10 then m +
 
 @query(f"""{SQL_BOLL}, x as (select *, (up - lo) / nullif(abs(mid), 0) as bw, (up - lo) / nullif(lo, 0) * 10000 as bps from b), y as (select *, bps - lag(bps) over w as ch from x {W}),
 z as (select *, case when abs(ch) >= 1 then cast(sign(ch) as int) else 0 end as step, count(bw) over r as nb, quantile_cont(bw, 0.2) over r as q from y window r as (partition by symbol order by tz_start rows 19 preceding))
-select symbol, tz_start, coalesce(high >= up, false) as touch_upper, coalesce(low <= lo, false) as touch_lower, coalesce(nb >= 20 and round(bw, 9) <= round(q, 9), false) as squeeze, step as width_step,
+select symbol, tz_start, coalesce(high >= up, false) as touch_upper, coalesce(low <= lo, false) as touch_lower, coalesce(nb >= 20 and bw <= q + 1e-12 * abs(q), false) as squeeze, step as width_step,
  count(*) over p = 5 and count(*) filter (step = 1) over p >= 3 as width_pressure_up, count(*) over p = 5 and count(*) filter (step = -1) over p >= 3 as width_pressure_down
 from z window p as (partition by symbol order by tz_start rows 4 preceding)""")
 def band_pressure(spark, d):
     df = features.with_width_pressure(features.boll_block(bars(spark, d)))
-    df = features.with_squeeze(df)
-    df = df.withColumn("squeeze", F.coalesce(F.round("band_width", 9) <= F.round(indicators.rolling_quantile("band_width", 0.2, 20), 9), F.lit(False)))
-    return df.select(*AT, "touch_upper", "touch_lower", "squeeze", F.col("width_step").cast("int"), "width_pressure_up", "width_pressure_down")
+    return features.with_squeeze(df).select(*AT, "touch_upper", "touch_lower", "squeeze", F.col("width_step").cast("int"), "width_pressure_up", "width_pressure_down")
 
 
 @query(f"""{SQL_BOLL}, p as (select *, greatest(0.001 * (up - lo), 1e-9) as eps from b), q as (select *, case when low - eps <= lo and high + eps >= lo then 1 else 0 end + case when low - eps <= mid and high + eps >= mid then 2 else 0 end + case when low - eps <= up and high + eps >= up then 4 else 0 end as bits from p)
@@ -269,16 +267,23 @@ r as (select *, round(close - vw, 9) as d, case when vw is null then null when a
 @query(f"""{SQL_VWAP}, x as (select *, lag(relation) over w as was, (not coalesce(relation = lag(relation) over w and session_id = lag(session_id) over w, false))::int as new, vw - lag(vw) over w as slope from r {W}), y as (select *, cast(sum(new) over w as bigint) as streak_id from x {W}),
 z as (select *, coalesce(low <= vw and relation = 'above' and was = 'above', false) as ru, coalesce(high >= vw and relation = 'below' and was = 'below', false) as rd from y)
 select symbol, tz_start, relation, coalesce(was = 'below' and relation = 'above', false) as vwap_cross_up, coalesce(was = 'above' and relation = 'below', false) as vwap_cross_down, ru as reject_up, rd as reject_down,
- cast(count(*) filter (relation = 'above') over s as int) as count_above, cast(count(*) filter (relation = 'below') over s as int) as count_below, streak_id, row_number() over (partition by symbol, streak_id order by tz_start) as streak_len,
+ cast(count(*) filter (relation = 'above') over s as int) as count_above, cast(count(*) filter (relation = 'below') over s as int) as count_below, cast(count(*) filter (relation = 'touch') over s as int) as count_touch,
+ case when d > 0 then 'above' when d < 0 then 'below' end as price_rel_vwap, streak_id, row_number() over (partition by symbol, streak_id order by tz_start) as streak_len,
  round(slope, 6) as vwap_slope, round(d / nullif(vw, 0) * 100, 4) + 0.0 as vwap_dist_pct, case when rd and coalesce(slope <= 0, false) then -1 when ru and coalesce(slope >= 0, false) then 1 else 0 end as vwap_signal
 from z window s as (partition by symbol, session_id order by tz_start)""")
 def vwap_features(spark, d):
+    """The distance as a share is compared at four places, and its side not below nine: it is a small difference of two sums."""
     df = features.with_vwap_signal(features.vwap_block(bars(spark, d)))
+    df = df.withColumn("price_rel_vwap", F.when(F.round("vwap_dist", 9) != 0, F.col("price_rel_vwap")))
     df = df.withColumn("vwap_dist_pct", F.round("vwap_dist_pct", 4) + F.lit(0.0))
-    return rounded(df, *AT, "relation", "vwap_cross_up", "vwap_cross_down", "reject_up", "reject_down", "count_above", "count_below", "streak_id", "streak_len", "vwap_slope", "vwap_dist_pct", "vwap_signal")
+    return rounded(df, *AT, "relation", "vwap_cross_up", "vwap_cross_down", "reject_up", "reject_down", "count_above", "count_below", "count_touch", "price_rel_vwap", "streak_id", "streak_len", "vwap_slope", "vwap_dist_pct", "vwap_signal")
 
 
-@query(None)
+@query(f"""{SQL_MACD}, rd as (select *, row_number() over w as rrn, close - lag(close) over w as dl from bars {W}),
+re as (select symbol, rrn, greatest(dl, 0) as gg, greatest(-dl, 0) as ll from rd where rrn = 2 union all select rd.symbol, rd.rrn, re.gg + 1.0 / 14 * (greatest(rd.dl, 0) - re.gg), re.ll + 1.0 / 14 * (greatest(-rd.dl, 0) - re.ll) from re join rd on rd.symbol = re.symbol and rd.rrn = re.rrn + 1),
+rs as (select rd.symbol, rd.tz_start, case when rd.rrn >= 15 and ll <> 0 then 100 - 100 / (1 + gg / ll) end as rsi from rd left join re using (symbol, rrn)), {SQL_VWAP}, q as (select *, lag(relation) over w as was from r {W}),
+z as (select symbol, tz_start, coalesce(low <= vw and relation = 'above' and was = 'above', false) as ru, coalesce(high >= vw and relation = 'below' and was = 'below', false) as rdn from q)
+select symbol, tz_start, case when rdn and not coalesce(rsi >= 70, false) and macd_hist < 0 then -1 when ru and not coalesce(rsi <= 30, false) and macd_hist > 0 then 1 else 0 end as combo_signal from z join rs using (symbol, tz_start) join macd using (symbol, tz_start)""", True)
 def combo_signals(spark, d):
     df = features.with_combo_signal(features.rsi_block(features.macd_block(features.vwap_block(bars(spark, d)))))
     return df.select(*AT, "combo_signal")
@@ -328,9 +333,9 @@ def excursions(spark, d):
     return rounded(legs.excursion(_legs(spark, d), LEG, True, True, "mfe"), *AT, LEG, "mfe_idx", "mfe_n_bars", "mfe_bps", "mfe_is_max", "mfe_from_end", "mfe_pct_of_leg")
 
 
-@query(f"""{SQL_EXC}, x as (select idx, n_bars from e where k = 1) select cast(t as int) as t, count(n_bars) as survivors, round(sum((idx <= t)::int) / nullif(count(n_bars), 0), 6) as rate from range(1, 31) r(t) left join x on n_bars >= t group by 1""")
+@query(f"""{SQL_EXC}, x as (select idx, n_bars from e where k = 1) select cast(t as int) as t, count(n_bars) as survivors, round(sum((idx <= t)::int) / nullif(count(n_bars), 0), 6) as rate from (select unnest(range(1, max(n_bars) + 1)) as t from x) left join x on n_bars >= t group by 1""")
 def mfe_survival_curve(spark, d):
-    return rounded(legs.mfe_survival(legs.mfe_rows(_legs(spark, d), LEG), "mfe_n_bars", "mfe_idx", 30), "t", "survivors", "rate")
+    return rounded(legs.mfe_survival(legs.mfe_rows(_legs(spark, d), LEG), "mfe_n_bars", "mfe_idx"), "t", "survivors", "rate")
 
 
 @query(f"""{SQL_LEGS}, x as (select *, (close - sma) / nullif(sma, 0) * 10000 as b from l where leg is not null) select symbol, tz_start, round(b, 6) as dist_bps, row_number() over (partition by symbol, leg order by abs(b) desc nulls last, tz_start) = 1 as is_max_stretch,
@@ -339,9 +344,72 @@ def line_distances(spark, d):
     return rounded(legs.line_distance(_legs(spark, d), "open_sma_14", LEG), *AT, "dist_bps", "is_max_stretch", "stretch_pct")
 
 
-@query(f"""{SQL_LEGS} select symbol, tz_start, up and run = 21 as up_21_survive, up and run = 1 as up_leg_start from l""")
+SQL_BOTH = f"""m as (select *, case when count(open) over r >= 14 then round_even(avg(open) over r, 6) end as sma from bars window r as (partition by symbol order by tz_start rows 13 preceding)),
+u as (select *, coalesce(sma > lag(sma) over w, false) as up, coalesce(sma < lag(sma) over w, false) as down from m {W}), s as (select *, sum((not up)::int) over w as iu, sum((not down)::int) over w as idn from u {W}),
+l as (select *, sum(up::int) over (partition by symbol, iu order by tz_start) as up_run, sum(down::int) over (partition by symbol, idn order by tz_start) as down_run from s)"""
+_FLAGS = [f"{side}_{m}_survive" for side, marks in (("up", legs.UP_MARKS), ("down", legs.DOWN_MARKS)) for m in marks] + ["up_leg_start", "down_leg_start"]
+
+
+@query(f"""{SQL_BOTH} select symbol, tz_start, {", ".join(f"{n.split('_')[0]} and {n.split('_')[0]}_run = {n.split('_')[1] if n.endswith('survive') else 1} as {n}" for n in _FLAGS)} from l""")
 def survival_flags(spark, d):
-    return legs.sma_survival(bars(spark, d), 14).select(*AT, "up_21_survive", "up_leg_start")
+    return legs.sma_survival(bars(spark, d), 14).select(*AT, *_FLAGS)
+
+
+SQL_DOWN, DOWN_LEG = SQL_LEGS.replace("sma > lag(sma)", "sma < lag(sma)"), "open_sma_14_down_leg_id"
+
+
+@query(f"""{SQL_DOWN} select symbol, tz_start, up as open_sma_14_down_on, leg as {DOWN_LEG}, run as open_sma_14_down_leg_run, case when up then max(run) over (partition by symbol, leg) end as open_sma_14_down_leg_run_len from l""")
+def falling_leg_persistence(spark, d):
+    return _legs(spark, d).select(*AT, "open_sma_14_down_on", DOWN_LEG, "open_sma_14_down_leg_run", "open_sma_14_down_leg_run_len")
+
+
+@query(f"""{SQL_DOWN}, k as (select symbol, leg, max(run) as n from l where leg is not null group by 1, 2), c as (select n, count(*) as "count" from k group by 1)
+select n, "count", round("count" / sum("count") over (), 6) as pct, round(sum("count") over (order by n desc) / sum("count") over (), 6) as survival from c""")
+def falling_leg_run_lengths(spark, d):
+    runs = reduce.condition_persistence(_legs(spark, d), DOWN_LEG, "open_sma_14_down_leg_run")
+    return rounded(reduce.run_lengths(runs, "run_len"), "n", "count", "pct", "survival")
+
+
+def _excursion_query(up: bool, favourable: bool):
+    price, order = "high" if up == favourable else "low", "desc" if favourable else "asc"
+    move = f"({price} - o)" if up else f"(o - {price})"
+    sql = f"""{SQL_LEGS if up else SQL_DOWN}, e0 as (select *, row_number() over g - 1 as idx, count(*) over (partition by symbol, leg) as n_bars, first_value(open) over g as o from l where leg is not null window g as (partition by symbol, leg order by tz_start)),
+    e as (select *, {move} as val, {move} / nullif(o, 0) * 10000 as bps from e0)
+    select symbol, tz_start, leg, idx as exc_idx, n_bars as exc_n_bars, round(val, 6) as exc_val, round(bps, 6) as exc_bps, row_number() over (partition by symbol, leg order by bps {order} nulls last, tz_start) = 1 as exc_is_max, idx as exc_from_start, n_bars - 1 - idx as exc_from_end,
+    round(case when n_bars > 1 then idx / (n_bars - 1) else 1 end, 6) as exc_pct_of_leg from e"""
+
+    def run(spark, d):
+        df = legs.excursion(_legs(spark, d), LEG if up else DOWN_LEG, up, favourable).withColumnRenamed(LEG if up else DOWN_LEG, "leg")
+        return rounded(df, *AT, "leg", "exc_idx", "exc_n_bars", "exc_val", "exc_bps", "exc_is_max", "exc_from_start", "exc_from_end", "exc_pct_of_leg")
+
+    run.__name__ = f"excursions_{'up' if up else 'down'}_{'favourable' if favourable else 'adverse'}"
+    return query(sql)(run)
+
+
+for _up, _favourable in ((True, False), (False, True), (False, False)):
+    _excursion_query(_up, _favourable)
+
+
+@query(f"""{SQL_EXC}, x as (select idx, n_bars from e where k = 1 and n_bars >= 6) select count(*) as survivors, round(avg((idx <= 5)::int), 6) as rate from x""")
+def mfe_already_at_five(spark, d):
+    return rounded(legs.mfe_already_at(legs.mfe_rows(_legs(spark, d), LEG), "mfe_n_bars", "mfe_idx", 5), "survivors", "rate")
+
+
+@query(f"""{SQL_EXC}, x as (select n_bars as n, count(*) as "count" from e where k = 1 group by 1) select n, "count", round("count" / sum("count") over (), 6) as pct, round(sum("count") over (order by n) / sum("count") over (), 6) as cum_pct from x""")
+def mfe_leg_lengths(spark, d):
+    return rounded(legs.mfe_distribution(legs.mfe_rows(_legs(spark, d), LEG), "mfe_pct_of_leg", "mfe_n_bars")[1], "n", "count", "pct", "cum_pct")
+
+
+@query(f"""{SQL_EXC}, v as (select case when n_bars > 1 then idx / (n_bars - 1) else 1 end as v from e where k = 1), span as (select min(v) as lo, max(v) as hi from v), c as (select cast(least(19, floor((v - lo) / ((hi - lo) / 20))) as int) as bucket, count(*) as k from v, span group by 1)
+select cast(b as int) as bucket, coalesce(k, 0) as "count", round(coalesce(k, 0) / sum(k) over (), 6) as pct from range(20) r(b) left join c on bucket = b""")
+def mfe_positions(spark, d):
+    return rounded(legs.mfe_distribution(legs.mfe_rows(_legs(spark, d), LEG), "mfe_pct_of_leg", "mfe_n_bars", threshold=2.0)[0][0], "bucket", "count", "pct")
+
+
+@query(f"""{SQL_LEGS}, o as (select *, first_value(open) over (partition by symbol, leg order by tz_start) as o from l where leg is not null) select symbol, tz_start, round((close - open) / nullif(o, 0) * 10000, 6) as move_bps from o""")
+def moves_against_leg_start(spark, d):
+    df = _legs(spark, d).where(F.col(LEG).isNotNull()).withColumn("move", F.col("close") - F.col("open"))
+    return rounded(pointwise.abs_to_unit(df, "move", "open", "bps", "move_bps", group=LEG), *AT, "move_bps")
 
 
 _AGG = "count(*) as src_row_count, max(high) as high_max, min(low) as low_min, arg_min(open, tz_start) as open_first, arg_max(close, tz_start) as close_last, round(sum(volume), 6) as volume_sum, round(median(close), 6) as close_median"
@@ -387,6 +455,13 @@ def execution_models(spark, d):
     return out
 
 
+@query(f"""{SQL_PATHS}, x as (select bars, last_close - (first_high + first_low) / 2 as pnl, max_high - (first_high + first_low) / 2 as mfe, min_low - (first_high + first_low) / 2 as mae from p)
+select bars, count(*) as n, round(median(pnl), 6) + 0.0 as median_pnl, round(quantile_cont(mfe, 0.9), 6) + 0.0 as p90_mfe, round(quantile_cont(mae, 0.9), 6) + 0.0 as p90_mae, round(min(pnl), 6) + 0.0 as min_pnl, round(max(pnl), 6) + 0.0 as max_pnl from x group by 1""")
+def execution_by_length(spark, d):
+    paths = reduce.condition_paths(_legs(spark, d), LEG)
+    return rounded(legs.execution_by_length(execution.summary(paths, "mid")), "bars", "n", "median_pnl", "p90_mfe", "p90_mae", "min_pnl", "max_pnl")
+
+
 @query("""s as (select min(close) as lo, max(close) as hi from bars), c as (select cast(least(19, floor((close - lo) / ((hi - lo) / 20))) as int) as bucket, count(*) as k from bars, s group by 1)
 select cast(b as int) as bucket, round(lo + b * ((hi - lo) / 20), 6) as lower, round(lo + (b + 1) * ((hi - lo) / 20), 6) as upper, coalesce(k, 0) as "count", round(coalesce(k, 0) / sum(k) over (), 6) as pct, round(coalesce(sum(k) over (order by b), 0) / sum(k) over (), 6) as cum_pct from s, range(20) r(b) left join c on bucket = b""")
 def histogram(spark, d):
@@ -443,23 +518,137 @@ def filled_linear(spark, d):
 
 
 @query(f"""{SQL_SPINE}, dd as (select symbol, date_trunc('day', tz_start) as t, arg_min(open, tz_start) as o, max(high) as h, min(low) as l, arg_max(close, tz_start) as c from bars group by 1, 2)
-select m.symbol, tz_start, case when mat and o is not null then o else open end as open, mat and o is not null as is_synthetic from m left join dd on m.symbol = dd.symbol and m.tz_start = dd.t""")
+select m.symbol, tz_start, {", ".join(f"case when mat and o is not null then {c[0]} else {c} end as {c}" for c in ("open", "high", "low", "close"))}, mat and o is not null as is_synthetic, case when mat and o is not null then 'daily' end as fill_policy from m left join dd on m.symbol = dd.symbol and m.tz_start = dd.t""")
 def filled_from_sources(spark, d):
     df = gaps.materialize(bars(spark, d), 3600)
     daily = bars(spark, d, "day")
-    return gaps.fill_from_sources(df, {"daily": daily}).select(*AT, "open", "is_synthetic")
+    return gaps.fill_from_sources(df, {"daily": daily}).select(*AT, "open", "high", "low", "close", "is_synthetic", "fill_policy")
 
 
-@query("""u as (select symbol, tz_start, open, high, low, close, volume from bars union all select symbol, tz_start, open, high, low, close, volume from bars where num_trades > 3 union all select symbol, tz_start, open + 1, high, low, close, volume from bars where num_trades > 5),
-c as (select *, count(*) over k as n, count(distinct (open, high, low, close, volume)) over k as kinds from u window k as (partition by symbol, tz_start))
-select symbol, cast(count(*) filter (kinds > 1) + count(distinct (tz_start)) filter (kinds = 1) as bigint) as rows_kept, count(*) filter (kinds > 1) as conflict_rows from c group by 1""")
-def deduplicated(spark, d):
-    b = bars(spark, d)
+_TWICE = """u0 as (select symbol, tz_start, open, high, low, close, round(volume, 6) as volume, num_trades from bars), u as (select * exclude (num_trades) from u0 union all select * exclude (num_trades) from u0 where num_trades > 3 union all select symbol, tz_start, open + 1, high, low, close, volume from u0 where num_trades > 5),
+c as (select *, count(*) over k as n, count(distinct (open, high, low, close, volume)) over k as kinds from u window k as (partition by symbol, tz_start))"""
+
+
+def _twice(spark, d):
+    b = bars(spark, d).withColumn("volume", F.round("volume", 6))
     prices = [*AT, "open", "high", "low", "close", "volume"]
-    u = b.select(*prices).unionByName(b.where("num_trades > 3").select(*prices)).unionByName(b.where("num_trades > 5").withColumn("open", F.col("open") + 1).select(*prices))
-    rows, conflicts = gaps.dedupe(u)
-    kept = rows.groupBy("symbol").agg(F.count("*").alias("rows_kept"))
-    return kept.join(conflicts.groupBy("symbol").agg(F.count("*").alias("conflict_rows")), "symbol", "left").fillna(0, ["conflict_rows"])
+    return b.select(*prices).unionByName(b.where("num_trades > 3").select(*prices)).unionByName(b.where("num_trades > 5").withColumn("open", F.col("open") + 1).select(*prices))
+
+
+@query(f"""{_TWICE} select 'kept' as part, * exclude (n, kinds) from (select distinct * from c where kinds = 1) union all select 'kept', * exclude (n, kinds) from c where kinds > 1 union all select 'conflict', * exclude (n, kinds) from c where kinds > 1""")
+def deduplicated(spark, d):
+    rows, conflicts = gaps.dedupe(_twice(spark, d))
+    return rows.withColumn("part", F.lit("kept")).unionByName(conflicts.withColumn("part", F.lit("conflict")))
+
+
+@query(f"""{_TWICE}, g as (select *, epoch(tz_start) - epoch(lag(tz_start) over w) as dt from c {W}), i as (
+select symbol, tz_start, unnest(list_filter([case when n > 1 then 'duplicate' end, case when kinds > 1 then 'conflict' end, case when open = 0 or high = 0 or low = 0 or close = 0 then 'zero' end,
+  case when not (low <= open and low <= close and open <= high and close <= high) then 'inconsistent' end, case when dt > 3600 then 'gap_before' end], lambda x: x is not null)) as issue from g)
+select symbol, issue, count(*) as n, count(distinct tz_start) as times from i group by 1, 2""")
+def quality_issues(spark, d):
+    """Of rows of one time any may be the first after a gap, so that rows are counted."""
+    found = gaps.quality(_twice(spark, d), 3600)[2]
+    return found.groupBy("symbol", "issue").agg(F.count("*").alias("n"), F.countDistinct("tz_start").alias("times"))
+
+
+@query(f"""{_TWICE} select distinct symbol, tz_start, open, high, low, close, volume from c where kinds = 1 and low <= open and low <= close and open <= high and close <= high and open <> 0 and high <> 0 and low <> 0 and close <> 0""")
+def quality_clean(spark, d):
+    return gaps.quality(_twice(spark, d), 3600)[0].select(*AT, "open", "high", "low", "close", "volume")
+
+
+@query("""s as (select distinct symbol, tz_start from bars), r as (select *, row_number() over w as rn, epoch(tz_start) - epoch(lag(tz_start) over w) as seconds from s window w as (partition by symbol order by tz_start)) select symbol, cast(seconds as double) as seconds from r where rn = 2""")
+def first_steps(spark, d):
+    return gaps.infer_seconds(bars(spark, d))
+
+
+SQL_GAPS = f"""gp as (select *, epoch(tz_start) - epoch(lag(tz_start) over w) as dt, lag(tz_start) over w as before from bars {W}), gl as (select symbol, before + interval '1 hour' as gap_start, tz_start - interval '1 hour' as gap_end, cast(floor(dt / 3600) - 1 as bigint) as missing from gp where dt > 3600)"""
+
+
+@query(f"{SQL_GAPS} select missing, count(*) as gaps from gl group by 1")
+def gap_size_counts(spark, d):
+    return gaps.gap_sizes(gaps.gaps(bars(spark, d), 3600))
+
+
+@query(f"{SQL_GAPS} select symbol, unnest(generate_series(gap_start, gap_end, interval '1 hour')) as tz_start from gl")
+def missing_hours(spark, d):
+    return rounded(gaps.missing_times(bars(spark, d), 3600), *AT)
+
+
+@query(f"{SQL_GAPS} select symbol, gap_start as from_ts, gap_end as to_ts from gl")
+def fetch_plan(spark, d):
+    return rounded(gaps.fetch_windows(gaps.missing_times(bars(spark, d), 3600), 3600), "symbol", "from_ts", "to_ts")
+
+
+@query(f"select symbol, tz_start, coalesce(epoch(tz_start) - epoch(lag(tz_start) over w) <> 3600, true) as unexpected_interval from bars {W}")
+def unexpected_intervals(spark, d):
+    return gaps.unexpected_interval(bars(spark, d), 3600).select(*AT, "unexpected_interval")
+
+
+@query("select symbol, cast(epoch(timestamp '2030-01-01') - epoch(max(tz_start)) as bigint) as seconds_stale from bars group by 1")
+def stale_series(spark, d):
+    return gaps.staleness(bars(spark, d), F.lit("2030-01-01").cast("timestamp_ntz"))
+
+
+_ODD = "o as (select symbol, tz_start, case when num_trades % 5 = 0 then 0 else open end as open, case when num_trades % 3 = 0 then high - 30 else high end as high, low, case when num_trades % 7 = 0 then null else close end as close from bars)"
+
+
+def _odd(spark, d):
+    when = lambda n, x, c: F.when(F.col("num_trades") % n == 0, x).otherwise(F.col(c))
+    return bars(spark, d).withColumns({"open": when(5, F.lit(0.0), "open"), "high": when(3, F.col("high") - 30, "high"), "close": when(7, F.lit(None), "close")}).select(*AT, "open", "high", "low", "close")
+
+
+@query(f"{_ODD} select symbol, tz_start, open, high, low, close from o where open = 0 or high = 0 or low = 0 or close = 0")
+def zero_bars(spark, d):
+    return gaps.zeros(_odd(spark, d))
+
+
+@query(f"{_ODD} select symbol, tz_start, open, high, low, close from o where high - low > 90 or (high - low) / nullif((high + low) / 2, 0) > 1.5")
+def unrealistic_bars(spark, d):
+    return gaps.unrealistic(_odd(spark, d), 90, 1.5)
+
+
+@query(f"""{_ODD}, f as (select symbol, tz_start, not coalesce(low <= open, false) as open_below_low, not coalesce(low <= close, false) as close_below_low, not coalesce(open <= high, false) as open_above_high, not coalesce(close <= high, false) as close_above_high, not coalesce(high >= low, false) as high_below_low from o)
+select * from f where open_below_low or close_below_low or open_above_high or close_above_high or high_below_low""")
+def inconsistent_bars(spark, d):
+    return gaps.inconsistent(_odd(spark, d)).drop("open", "high", "low", "close")
+
+
+@query("""select symbol, tz_start, year(tz_start) = 2024 as in_2024, year(tz_start) = 2024 and quarter(tz_start) = 1 as in_q1, year(tz_start) = 2024 and month(tz_start) = 2 as in_february, month(tz_start) in (1, 12) as in_winter, hour(tz_start) in (0, 13) as at_hours, minute(tz_start) in (0, 30) as at_minutes,
+ tz_start >= timestamp '2024-01-20' - interval '3 days' and tz_start <= timestamp '2024-01-20' as last_days, tz_start >= timestamp '2024-01-01' and tz_start <= timestamp '2024-01-20' as month_to_date, tz_start >= timestamp '2024-01-01' and tz_start <= timestamp '2024-01-20' as year_to_date from bars""")
+def calendar_parts(spark, d):
+    ts, now = F.col("tz_start"), F.lit("2024-01-20").cast("timestamp_ntz")
+    parts = {
+        "in_2024": calendar.in_year(ts, 2024), "in_q1": calendar.in_quarter(ts, 2024, 1), "in_february": calendar.in_month(ts, 2024, 2), "in_winter": calendar.in_month_of_year(ts, (1, 12)), "at_hours": calendar.in_hour_of_day(ts, (0, 13)),
+        "at_minutes": calendar.in_minute_of_hour(ts, (0, 30)), "last_days": calendar.last_n_days(ts, 3, now), "month_to_date": calendar.to_date_of(ts, "month", now), "year_to_date": calendar.to_date_of(ts, "year", now),
+    }
+    return bars(spark, d).withColumns(parts).select(*AT, *parts)
+
+
+_EVENT = "select event_id, event_type, ts, value from events"
+
+
+@query(f"""a as ({_EVENT} where value > 50 and event_type = 'error'), b as ({_EVENT} where value > 95 or event_type = 'error'), u as (select *, 0 as k from a union all select *, 1 from b)
+select * exclude (k, nth) from (select *, row_number() over (partition by ts order by k, event_id) as nth from u) where nth = 1""")
+def combined_events(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "ts", "value")
+    error = F.col("event_type") == "error"
+    found = calendar.combine_events(calendar.where_all(events, [F.col("value") > 50, error]), calendar.where_any(events, [F.col("value") > 95, error]))
+    return rounded(found, "event_id", "event_type", "ts", "value", n=9)
+
+
+@query("""a as (select event_id, ts from events where event_type = 'error'), b as (select 'before' as side, symbol, tz_start, min(event_id) as event_id from bars join a on tz_start between ts - interval '1 hour' and ts group by 2, 3),
+c as (select 'after' as side, symbol, tz_start, min(event_id) as event_id from bars join a on tz_start between ts and ts + interval '1 hour' group by 2, 3) select * from b union all select * from c""")
+def one_sided_events(spark, d):
+    events, own = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'error'"), bars(spark, d)
+    before = calendar.before_anchors(own, "tz_start", events, 3600, AT).withColumn("side", F.lit("before"))
+    after = calendar.after_anchors(own, "tz_start", events, 3600, AT).withColumn("side", F.lit("after"))
+    return before.unionByName(after).select("side", *AT, "event_id")
+
+
+@query(f"""{" union all ".join(f"select symbol, {h * 3600} as candle_seconds, time_bucket(interval '{h} hours', tz_start, (select min(date_trunc('day', tz_start)) from bars b where b.symbol = bars.symbol)) as tz_start, arg_min(open, tz_start) as open, max(high) as high, min(low) as low, arg_max(close, tz_start) as close from bars group by 1, 2, 3".replace("select symbol", "select bars.symbol", 1) for h in (2, 5))}""")
+def resampled_sizes(spark, d):
+    made = resample.resample_all(bars(spark, d), (7200, 18000))
+    return rounded(made[7200].unionByName(made[18000]), "symbol", "candle_seconds", "tz_start", "open", "high", "low", "close", n=9)
 
 
 @query("""select symbol, tz_start, year(tz_start) as year, quarter(tz_start) as quarter, month(tz_start) as month, isodow(tz_start) - 1 as dow, hour(tz_start) as hour from bars
@@ -486,9 +675,9 @@ def session_marks(spark, d):
     return calendar.with_session_marks(bars(spark, d), "tz_start").select(*AT, *[f"in_{n}" for n in (*calendar.SESSIONS, "ny_extended", "london_ny_overlap")])
 
 
-@query("""a as (select event_id, ts from events where event_type = 'error' and event_id % 97 = 0) select symbol, tz_start, min(event_id) as event_id from bars join a on tz_start between ts - interval '2 hours' and ts + interval '1 hour' group by 1, 2""")
+@query("""a as (select event_id, ts from events where event_type = 'error') select symbol, tz_start, min(event_id) as event_id from bars join a on tz_start between ts - interval '2 hours' and ts + interval '1 hour' group by 1, 2""")
 def around_events(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'error' and event_id % 97 = 0")
+    events = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'error'")
     return calendar.around(bars(spark, d), "tz_start", calendar.windows_around(events, "ts", 7200, 3600), AT).select(*AT, "event_id")
 
 
@@ -509,12 +698,14 @@ def slice_integrity(spark, d):
     return ledger.integrity(_slices(spark, d), _STEP, 24, 1_800_000_000_000).select("slice_key", "n", "first", "last", "n_gaps", "status")
 
 
-@query(f"""{SQL_SLICES}, led as (select slice_key, case when count(*) = 24 then 'complete' else 'partial' end as status from sl group by 1), ex as (select symbol || ':1h:' || cast(s as varchar) || ':24' as slice_key from (select distinct symbol from bars), range(1704067200000, 1706745600000, {24 * _STEP}) r(s))
+@query(f"""{SQL_SLICES}, led as (select slice_key, case when count(*) = 24 then 'complete' else 'partial' end as status from sl group by 1), sp as (select min(epoch_ms(tz_start)) // {24 * _STEP} * {24 * _STEP} as a, max(epoch_ms(tz_start)) as b from bars), ex as (select symbol || ':1h:' || cast(s as varchar) || ':24' as slice_key from (select distinct symbol from bars), (select unnest(range(a, b + {3 * 24 * _STEP}, {24 * _STEP})) as s from sp))
 select coalesce(status, 'missing') as status, count(*) as slices from ex left join led using (slice_key) group by 1""")
 def slice_summary(spark, d):
-    have = ledger.integrity(_slices(spark, d), _STEP, 24, 1_800_000_000_000).select("slice_key", "status")
+    slices, span = _slices(spark, d), 24 * _STEP
+    have = ledger.integrity(slices, _STEP, 24, 1_800_000_000_000).select("slice_key", "status")
     symbols = bars(spark, d).select("symbol").distinct()
-    starts = raw_bars.slice_plan(spark, "x", "1h", 1704067200000, 1706745600000, _STEP, 24).select("start_ms")
+    first, last = slices.agg(F.min("open_time"), F.max("open_time")).first()
+    starts = raw_bars.slice_plan(spark, "x", "1h", first // span * span, last + 3 * span, _STEP, 24).select("start_ms")  # and two more, that are missing
     expected = symbols.join(F.broadcast(starts)).select(F.concat_ws(":", "symbol", F.lit("1h"), "start_ms", F.lit(24)).alias("slice_key"))
     return ledger.summary(ledger.classify(expected, have))
 

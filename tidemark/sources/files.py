@@ -52,13 +52,51 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def _aside(spark: SparkSession, to: str):
+    head, _, name = to.rstrip("/").rpartition("/")
+    return _fs(spark, f"{head}/.{name}.old" if head else f".{name}.old")[0]
+
+
+def recover(spark: SparkSession, to: str) -> bool:
+    """Puts back what a broken rename has set aside; True if there was something to put back."""
+    q, fs = _fs(spark, to)
+    old = _aside(spark, to)
+    if not fs.exists(old):
+        return False
+    if fs.exists(q):
+        fs.delete(old, True)
+        return False
+    return fs.rename(old, q)
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
-    """Puts a finished file or folder in place of another."""
+    """Puts a finished file or folder in place of another, which is set aside under a hidden name until the new one is there.
+
+    Whenever it breaks off, one of both is whole under its own or the hidden name; recover puts it back.
+    """
     p, fs = _fs(spark, path)
     q, _ = _fs(spark, to)
-    fs.delete(q, True)
+    recover(spark, to)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    old = _aside(spark, to)
+    if fs.exists(q) and not fs.rename(q, old):
+        raise OSError(f"cannot set {to} aside")
     if not fs.rename(p, q):
+        recover(spark, to)
         raise OSError(f"cannot rename {path}")
+    fs.delete(old, True)
+
+
+def fingerprint(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """(files, latest time of change in ms) of a folder: equal means that nothing new has come."""
+    p, fs = _fs(spark, folder)
+    found = [s for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))] if fs.exists(p) else []
+    return len(found), max((s.getModificationTime() for s in found), default=0)
+
+
+def has_files(spark: SparkSession, folder: str) -> bool:
+    return fingerprint(spark, folder)[0] > 0
 
 
 def homogeneous_kind(spark: SparkSession, folder: str) -> str | None:
@@ -134,3 +172,11 @@ def from_records(spark: SparkSession, records, columns, order=None) -> DataFrame
     rows = [tuple(r.get(c) if isinstance(r, dict) else getattr(r, c, None) for c in columns) for r in records]
     df = spark.createDataFrame(rows, list(columns))
     return df.orderBy(*order) if order else df
+
+
+def load_bars(spark: SparkSession, path: str, seconds: int, series=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, report, issues) of the bars of a file or folder."""
+    from ..operators.gaps import quality
+    from ..operators.series import BARS
+
+    return quality(read(spark, path), seconds, series or BARS)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from . import files
 
 STATUSES = ("missing", "partial", "needs_refresh", "complete", "failed")
 
@@ -79,3 +81,21 @@ def files_against_ledger(ledger: DataFrame, files: DataFrame) -> DataFrame:
 
 def backoff(previous: float, first: float = 30, most: float = 900, factor: float = 2) -> float:
     return first if previous <= 0 else min(most, previous * factor)
+
+
+# When a ledger's deltas are folded into a new snapshot.
+EVENTS, SECONDS, BYTES = 5, 120, 100 * 1024 * 1024
+
+
+def due(events: int, seconds: float, size: int) -> bool:
+    """Whether deltas are enough, old enough or large enough for a new snapshot; never without any."""
+    return events > 0 and (events >= EVENTS or seconds >= SECONDS or size >= BYTES)
+
+
+def compact(spark: SparkSession, snapshot: str, deltas: DataFrame, key: str = "slice_key", seq: str = "seq") -> DataFrame:
+    """A new snapshot with the last word of the deltas, put in place of the old one; the ledger as it then is."""
+    files.recover(spark, snapshot)
+    old = spark.read.parquet(snapshot)
+    files.write(apply_deltas(old, deltas, key, seq), f"{snapshot}.new.parquet")
+    files.rename(spark, f"{snapshot}.new.parquet", snapshot)
+    return spark.read.parquet(snapshot)

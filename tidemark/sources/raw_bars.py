@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Positional fields.
@@ -54,3 +56,30 @@ def slice_plan(spark: SparkSession, symbol: str, interval: str, start: int, end:
 def diff_symbols(ours: DataFrame, venue: DataFrame, key: str = "venue_id") -> tuple[DataFrame, DataFrame]:
     """(supported, unsupported) venue ids."""
     return venue.join(ours, key, "left_semi"), venue.join(ours, key, "left_anti")
+
+
+@dataclass(frozen=True)
+class SymbolMap:
+    """Our names of instruments and those of a venue, each way; neither side may repeat."""
+
+    pairs: tuple[tuple[str, str], ...]
+
+    def __post_init__(self):
+        if len({a for a, _ in self.pairs}) < len(self.pairs) or len({b for _, b in self.pairs}) < len(self.pairs):
+            raise ValueError("a symbol is mapped twice")
+
+    def to_venue(self, name: str) -> str:
+        return dict(self.pairs)[name]
+
+    def to_ours(self, name: str) -> str:
+        return {b: a for a, b in self.pairs}[name]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.pairs), "symbol string, venue_id string")
+
+    def rename(self, df: DataFrame, column: str = "symbol", back: bool = False) -> DataFrame:
+        """df with the other side's names; null where there is none."""
+        pairs = [(b, a) if back else (a, b) for a, b in self.pairs]
+        if not pairs:
+            return df.withColumn(column, F.lit(None).cast("string"))
+        return df.withColumn(column, F.coalesce(*[F.when(F.col(column) == a, b) for a, b in pairs]))

@@ -119,5 +119,39 @@ def load_state(spark: SparkSession, path: str) -> dict:
 
 def run_frames(batch: DataFrame, builders: dict, triggers: dict, outbox: str) -> None:
     """The body of foreachBatch: builds the frames that active triggers need, once each, and emits their rows."""
+    made = {frame: builders[frame](batch) for frame in {t["frame"] for t in triggers.values()}}
     for name, trigger in triggers.items():
-        emit(builders[trigger["frame"]](batch).where(trigger["column"]).withColumn("trigger", F.lit(name)), outbox)
+        emit(made[trigger["frame"]].where(trigger["column"]).withColumn("trigger", F.lit(name)), outbox)
+
+
+class CleanProvider:
+    """Rows of a pipeline over the bars of a folder: all of them each time, or the rows after the last time anew and the sealed ones from a table.
+
+    Nothing is computed while the folder's fingerprint stays the same.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, sealed: str, pipeline: Pipeline, incremental: bool = True, series: Series = BARS):
+        self.spark, self.folder, self.sealed_path, self.pipeline, self.incremental, self.series = spark, folder, sealed, pipeline, incremental, series
+        self.seen = self.last = None
+
+    def changed(self) -> bool:
+        from ..sources.files import fingerprint
+
+        return fingerprint(self.spark, self.folder) != self.seen
+
+    def frame(self) -> DataFrame:
+        """The pipeline's rows for all bars that there are now."""
+        from ..sources.files import fingerprint, recover, rename, union_folder, write
+
+        now = fingerprint(self.spark, self.folder)
+        if now != self.seen:
+            bars = union_folder(self.spark, self.folder)
+            if self.incremental and self.last is not None:
+                out = splice(self.spark.read.parquet(self.sealed_path), recompute(self.pipeline, bars, self.last, self.series), self.last, self.series)
+            else:
+                out = self.pipeline.run(bars)
+            write(out, f"{self.sealed_path}.new.parquet")
+            recover(self.spark, self.sealed_path)
+            rename(self.spark, f"{self.sealed_path}.new.parquet", self.sealed_path)
+            self.seen, self.last = now, self.spark.read.parquet(self.sealed_path).agg(F.max(self.series.ts)).first()[0]
+        return self.spark.read.parquet(self.sealed_path)
