@@ -12,11 +12,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-sentencepiece = pytest.importorskip("sentencepiece")
+import sentencepiece
 
-import corpus_pipeline  # noqa: E402
-from tidemark.llm import attention_lm, common, components, decontaminate, jaccard_join, license_scan, piece_bpe, pii, quality_rules, sharding, textscan, url_filter, warc  # noqa: E402
-from tidemark.llm.queries import QUERIES  # noqa: E402
+import corpus_pipeline
+from tidemark.llm import attention_lm, common, components, decontaminate, jaccard_join, license_scan, piece_bpe, pii, quality_rules, sharding, textscan, url_filter, warc
+from tidemark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -352,6 +352,8 @@ def test_piece_bpe(docs):
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = collections.Counter((i, len(ids := library.encode(t or "")), digest(",".join(map(str, ids))), digest(library.decode(ids) if ids else "")) for i, t, _ in ROWS)
     assert collections.Counter(tuple(r) for r in piece_bpe.encode_digests(docs).collect()) == want
+    out = piece_bpe.encode_column(docs.withColumn("ids", F.lit(1)), decoded="again").collect()
+    assert collections.Counter((r.doc_id, tuple(r.ids), r.again) for r in out) == collections.Counter((i, tuple(ids := library.encode(t or "")), library.decode(ids) if ids else "") for i, t, _ in ROWS)
     assert piece_bpe.encode_column(docs).columns == [*docs.columns, "ids"] and piece_bpe.encode_digests(empty(docs)).count() == 0
 
 
@@ -443,7 +445,7 @@ def test_warc(spark, tmp_path):
     assert warc.dechunked(warc.chunked(long.encode())) == long.encode()
 
 
-def plain_components(rows):
+def plain_components(rows, by_row=False):
     sets = [(lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())(words((t or "").translate(LOWER))) for _, t, _ in rows]
     group = list(range(len(rows)))
     for a in range(len(rows)):
@@ -452,6 +454,8 @@ def plain_components(rows):
                 old, new = group[a], group[b]
                 group = [new if g == old else g for g in group]
     least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in group}
+    if by_row:
+        return [least[g] if s else None for s, g in zip(sets, group, strict=True)]
     return collections.Counter((r[0], len(s), r[0] if not s else least[g]) for r, s, g in zip(rows, sets, group, strict=True))
 
 
@@ -500,8 +504,51 @@ def test_divide_skip_finds_what_all_pairs_find():
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and out.columns == ["doc_id", "lang", "source", "ids"]
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and out.columns == ["doc_id", "lang", "source", "ids", "decoded_sha256"]
     assert 0 < len(rows) < spark.read.parquet(f"{SF}/documents.parquet").count() and len({r.doc_id for r in rows}) == len(rows)
+    # Each stage against plain Python over all documents.
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_bpe.default_path())
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    good = {r.doc_id for r in QUERIES["op5_risk_controlled_quality"][0](spark, SF).where("kept").collect()}
+    left = [(i, docs[i].text, docs[i].lang) for i in sorted(good)]
+    named = plain_components(left, by_row=True)
+    left = [r for r, component in zip(left, named, strict=True) if component is None or component == r[0]]
+    items = [WORD.findall((r.text or "").translate(LOWER)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    code = {}
+    number = lambda ws: np.array([code.setdefault(w, len(code) + 1) for w in ws], dtype=np.uint64)
+    items = [number(w) for w in items if len(w) >= 5]
+    seeds = [{tuple(x[k : k + 5].tolist()) for k in range(len(x) - 4)} for x in items]
+    clean = []
+    for r in left:
+        text = number(WORD.findall((r[1] or "").translate(LOWER)))
+        own = {tuple(text[k : k + 5].tolist()) for k in range(len(text) - 4)}
+        if not any(own & s and decontaminate.tile(x, text)[1] >= 0.5 * len(x) for x, s in zip(items, seeds, strict=True)):
+            clean.append(r)
+    found = {i: pii.find(t or "") for i, t, _ in clean}
+    seen = collections.Counter(k * 4 * 3**pii.LABELERS + v for _, _, every in found.values() for k, v in every)
+    yes = pii.accepted(pii.model(list(seen.items())), list(seen))
+    want = {}
+    for i, t, _ in clean:
+        parts, at = [], 0
+        for s, k, e in sorted(found[i][0] + [(s, k, e) for s, k, e, v in found[i][1] if k * 4 * 3**pii.LABELERS + v in yes]):
+            if s >= at:
+                parts += [t[at:s], f"[{pii.KINDS[k].upper()}]"]
+            at = max(at, e)
+        ids = library.encode("".join([*parts, (t or "")[at:]]))
+        want[i] = (ids, hashlib.sha256((library.decode(ids) if ids else "").encode()).hexdigest())
+    assert {r.doc_id: (list(r.ids), r.decoded_sha256) for r in rows} == want
+
+
+def test_pipeline_stages_take_odd_rows(docs, spark):
+    wide = docs.withColumn("ids", F.lit("clash"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty(wide), SF).count() == 0
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns and 0 < out.count() <= wide.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() == wide.count()
+    # Each decision takes effect: the short texts go, one of two near copies stays, personal data is masked.
+    texts = lambda k: [r.text for r in corpus_pipeline.STAGES[k][1](spark, docs, SF).collect()]
+    assert "one two" not in texts(0) and sum(BASE in (t or "") for t in texts(1)) == 1 and any("[EMAIL]" in (t or "") for t in texts(3))
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
@@ -519,7 +566,7 @@ def test_sql(spark, name):
 def test_scorer_reads_the_same_ids_as_the_plain_encoder():
     texts = ["", None, "a", " ", "  a  b\n\n c\n", "▁x ▁ y▁▁", "\n", " \n ", "é▁▂ ▁", "日本語 テキスト\n終", "a" * 5000 + " b ", "x\ty\rz", None, "end end"]
     plain = piece_bpe.load(piece_bpe.default_path())
-    encoder = attention_lm.Encoder(piece_bpe.default_path())
+    encoder = piece_bpe.Encoder(piece_bpe.default_path())
     for _ in range(2):  # unknown words first, then remembered ones
         flat, many = encoder.ids(pa.array(texts, pa.string()))
         got = [x.tolist() for x in np.split(flat, np.cumsum(many)[:-1])]

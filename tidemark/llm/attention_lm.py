@@ -40,8 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, table
-from .piece_bpe import SPACE, default_path, load
-from .textscan import Index, Store, U64, flat, hashes, mix, pieces, scan
+from .piece_bpe import SLICE, SPACE, default_path, encoder_of, load
+from .textscan import Index, U64, mix, pieces, scan
 
 HALF, WIDTH, CLASSES = 16, 16, 32
 OWN, SHARED = 1536, 512
@@ -57,11 +57,7 @@ SMOOTH = 10.0
 #: Words in the table that is sent to all tasks, at most; bytes of text for each hash range of words.
 HEAD, RANGE_BYTES = 1 << 18, 32 << 20
 RANGES = 256
-#: Bytes of text read at a time, so that the arrays stay in the processor's cache.
-SLICE = 1 << 19
 F32 = np.float32
-#: A number for each byte value, for hashes, and the bytes of the mark that stands for a space.
-PLAIN, MARK = mix(np.arange(256, dtype=U64), 11), SPACE.encode()
 ONES, ONES_C = np.ones((SEEN, 1), F32), np.ones((CLASSES, 1), F32)
 #: Scale of the queries, keys and values.
 ROOTS = np.repeat([1 / math.sqrt(WIDTH), 1, 1], WIDTH).astype(F32)
@@ -278,91 +274,6 @@ class Model:
 # ---- reading texts
 
 
-def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of piece_bpe.split for all texts at once: (bytes, start and end of each word, its hash, words of each text)."""
-    spaced, offsets = flat(texts)
-    n = len(offsets) - 1
-    data = np.concatenate([[np.uint8(32)], spaced[:-1]]) if n else spaced  # the space goes in front of each text
-    gap = data == 32
-    mark = np.flatnonzero(data == MARK[0])
-    mark = mark[mark + 2 < len(data)]
-    mark = mark[(data[mark + 1] == MARK[1]) & (data[mark + 2] == MARK[2])]
-    for k in range(3):
-        gap[mark + k] = True
-    line = data == 10
-    opens = line.copy()
-    opens[1:] |= line[:-1] | (gap[1:] & ~gap[:-1])
-    opens[offsets[:-1]] = True
-    start = np.flatnonzero(opens)
-    end = np.append(start[1:], len(data))[: len(start)]
-    first = np.searchsorted(start, offsets)
-    many, empty = np.diff(first), np.diff(offsets) == 1
-    if empty.any():
-        keep = np.ones(len(start), dtype=bool)
-        keep[first[:-1][empty]] = False
-        many, start, end = np.where(empty, 0, many), start[keep], end[keep]
-    return data, start, end, hashes(data, start, end, PLAIN), many
-
-
-class Encoder:
-    """Subword ids of words, remembered by 64-bit hashes of the words; the texts become one flat array of ids.
-
-    A worker process keeps its encoder from task to task.
-    """
-
-    MOST = 1 << 21
-
-    def __init__(self, path: str):
-        self.vocabulary = load(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.flat, self.start, self.length = Index(), Store(np.int32), Store(np.int64), Store(np.int32)
-
-    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(the number of each word of all texts, words of each text)."""
-        data, start, end, h, many = _cut(texts)
-        out = self.index.get(h)
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            distinct, first = np.unique(h[new], return_index=True)
-            if self.index.size + len(distinct) > self.MOST:
-                self.clear()
-                distinct, first, new = *np.unique(h, return_index=True), np.arange(len(h))
-            self._learn(data, start[new[first]], end[new[first]], distinct)
-            out[new] = self.index.get(h[new])
-        return out.astype(np.int64), many
-
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
-        sizes = end - start
-        own = data[np.arange(sizes.sum()) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)]
-        points = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), dtype="<u4")
-        ids, n = self.vocabulary.merge_points(np.where(points == 32, ord(SPACE), points), np.add.reduceat((own & 0xC0) != 0x80, np.cumsum(sizes) - sizes, dtype=np.int64))
-        self.index.add(h, np.arange(len(h)) + self.start.used)
-        self.start.extend(self.flat.used + np.cumsum(n) - n)
-        self.length.extend(n)
-        self.flat.extend(ids)
-
-    def _flat(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return self.flat.flat[np.repeat(self.start.flat[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each text has)."""
-        at, many = self.words(texts)
-        n = self.length.flat[at].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return self._flat(at, n), np.diff(ends[np.concatenate([[0], np.cumsum(many)])])
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _windows(ids: np.ndarray, many: np.ndarray, end: int) -> np.ndarray:
     """All ids of all texts, and the end of each text, in consecutive windows that start with what comes before (the end where a text starts)."""
     rows = -(-(many + 1) // SEEN)

@@ -11,7 +11,8 @@ merged one, and a word in which that happens is encoded again pair by pair.
 
 Defined cases: a null text is empty; an empty text has no ids; characters outside the
 vocabulary become byte pieces; decoding gives U+FFFD for byte pieces that are not UTF-8;
-rows that repeat are each encoded; other columns are kept by the operator.
+rows that repeat are each encoded; other columns are kept by the operator, but for those of the names that it gives.
+Words are remembered by 64-bit hashes: two words of one hash would share their ids.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import table
-from .textscan import pieces
+from .textscan import Index, Store, U64, flat, hashes, mix, pieces
 
 SPACE = "▁"
 WORD = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
 NONE = np.iinfo(np.int64).max
-#: Words that a worker remembers.
-CACHE = 400_000
+#: A number for each byte value, for hashes, and the bytes of the mark that stands for a space.
+PLAIN, MARK = mix(np.arange(256, dtype=U64), 11), SPACE.encode()
+#: Bytes of text read at a time, so that the arrays stay in the processor's cache.
+SLICE = 1 << 19
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -301,25 +304,105 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of piece_bpe.split for all texts at once: (bytes, start and end of each word, its hash, words of each text)."""
+    spaced, offsets = flat(texts)
+    n = len(offsets) - 1
+    data = np.concatenate([[np.uint8(32)], spaced[:-1]]) if n else spaced  # the space goes in front of each text
+    gap = data == 32
+    mark = np.flatnonzero(data == MARK[0])
+    mark = mark[mark + 2 < len(data)]
+    mark = mark[(data[mark + 1] == MARK[1]) & (data[mark + 2] == MARK[2])]
+    for k in range(3):
+        gap[mark + k] = True
+    line = data == 10
+    opens = line.copy()
+    opens[1:] |= line[:-1] | (gap[1:] & ~gap[:-1])
+    opens[offsets[:-1]] = True
+    start = np.flatnonzero(opens)
+    end = np.append(start[1:], len(data))[: len(start)]
+    first = np.searchsorted(start, offsets)
+    many, empty = np.diff(first), np.diff(offsets) == 1
+    if empty.any():
+        keep = np.ones(len(start), dtype=bool)
+        keep[first[:-1][empty]] = False
+        many, start, end = np.where(empty, 0, many), start[keep], end[keep]
+    return data, start, end, hashes(data, start, end, PLAIN), many
+
+
+class Encoder:
+    """Subword ids of words, remembered by 64-bit hashes of the words; the texts become one flat array of ids.
+
+    A worker process keeps its encoder from task to task.
+    """
+
+    MOST = 1 << 21
+
+    def __init__(self, path: str):
+        self.vocabulary = load(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.flat, self.start, self.length = Index(), Store(np.int32), Store(np.int64), Store(np.int32)
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each word of all texts, words of each text)."""
+        data, start, end, h, many = _cut(texts)
+        out = self.index.get(h)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            distinct, first = np.unique(h[new], return_index=True)
+            if self.index.size + len(distinct) > self.MOST:
+                self.clear()
+                distinct, first, new = *np.unique(h, return_index=True), np.arange(len(h))
+            self._learn(data, start[new[first]], end[new[first]], distinct)
+            out[new] = self.index.get(h[new])
+        return out.astype(np.int64), many
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        sizes = end - start
+        own = data[np.arange(sizes.sum()) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)]
+        points = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        ids, n = self.vocabulary.merge_points(np.where(points == 32, ord(SPACE), points), np.add.reduceat((own & 0xC0) != 0x80, np.cumsum(sizes) - sizes, dtype=np.int64))
+        self.index.add(h, np.arange(len(h)) + self.start.used)
+        self.start.extend(self.flat.used + np.cumsum(n) - n)
+        self.length.extend(n)
+        self.flat.extend(ids)
+
+    def _flat(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.flat.flat[np.repeat(self.start.flat[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each text has)."""
+        at, many = self.words(texts)
+        n = self.length.flat[at].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self._flat(at, n), np.diff(ends[np.concatenate([[0], np.cumsum(many)])])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _digests(path: str):
     def run(batches):
-        vocabulary, cache = load(path), {}
+        encoder = encoder_of(path)
+        name = [str(i) for i in range(len(encoder.vocabulary.pieces))]
         for batch in batches:
-            for piece in pieces(batch):
-                cut = [split(t.as_py() or "") for t in piece.column("text")]
-                fresh = list({w for c in cut for w in c if w not in cache})
-                if len(cache) + len(fresh) > CACHE:
-                    cache.clear()
-                    fresh = list({w for c in cut for w in c})
-                for w, ids in zip(fresh, vocabulary.merge([w.replace(" ", SPACE) for w in fresh]), strict=True):
-                    cache[w] = (",".join(map(str, ids)), b"".join(vocabulary.bytes[i] for i in ids), len(ids))
-                n, ids_sha, text_sha = [], [], []
-                for c in cut:
-                    own = [cache[w] for w in c]
-                    n.append(sum(x[2] for x in own))
-                    ids_sha.append(hashlib.sha256(",".join([x[0] for x in own]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join([x[1] for x in own])[1:].decode("utf-8", errors="replace").encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for piece in pieces(batch, most=SLICE):
+                ids, many = encoder.ids(piece.column("text"))
+                every, ids_sha, text_sha, at = ids.tolist(), [], [], 0
+                for n in many.tolist():
+                    own = every[at : at + n]
+                    at += n
+                    ids_sha.append(hashlib.sha256(",".join([name[i] for i in own]).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(encoder.vocabulary.decode(own).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(many, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -328,24 +411,26 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests(path or default_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_column(docs: DataFrame, column: str = "ids", path: str | None = None) -> DataFrame:
-    """docs with an array of the ids of each text."""
+def encode_column(docs: DataFrame, column: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """docs with an array of the ids of each text, and, where decoded names a column, the text that they decode to; columns of these names are replaced."""
     where = path or default_path()
+    docs = docs.drop(*[c for c in (column, decoded) if c and c != "text"])
+    extra = [StructField(column, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
+    rest = [f.name for f in docs.schema]
 
     def run(batches):
-        vocabulary, cache = load(where), {}
+        encoder = encoder_of(where)
         for batch in batches:
-            for piece in pieces(batch):
-                cut = [split(t.as_py() or "") for t in piece.column("text")]
-                fresh = list({w for c in cut for w in c if w not in cache})
-                if len(cache) + len(fresh) > CACHE:
-                    cache.clear()
-                    fresh = list({w for c in cut for w in c})
-                cache.update(zip(fresh, vocabulary.merge([w.replace(" ", SPACE) for w in fresh]), strict=True))
-                ids = [[i for w in c for i in cache[w]] for c in cut]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(ids, pa.list_(pa.int32()))], [*piece.schema.names, column])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, ArrayType(IntegerType()))]))
+            for piece in pieces(batch, most=SLICE):
+                ids, many = encoder.ids(piece.column("text"))
+                ends = np.concatenate([[0], np.cumsum(many)])
+                columns = [*(piece.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    every = ids.tolist()
+                    columns.append(pa.array([encoder.vocabulary.decode(every[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*rest, *(f.name for f in extra)])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *extra]))
 
 
 def op7(spark, sf_dir):
