@@ -439,12 +439,54 @@ def test_warc(spark, tmp_path):
     row = lambda i, h, kind, to: (i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), kind, to, True)
     want = [row(i, h, "revisit" if i in (2, None) else "response", {2: 1, None: 5}.get(i)) for i, _, h in rows]
     assert got == collections.Counter(want)
-    own = warc.records(1, 1, "u", long.encode(), hashlib.sha256(long.encode()).hexdigest(), None, False)
+    own = warc.records(1, 1, "u", long.encode(), hashlib.sha256(long.encode()).hexdigest(), None, None, False)
     parsed = [warc._row(warc._parse(r.removeprefix(warc.MARK).encode() + b"\r\n\r\n")) for r in own]
     assert len(own) > 2 and [p[1] for p in parsed] == list(range(1, len(own) + 1))
     assert warc.dechunked(warc.chunked(long.encode())) == long.encode()
 
 
+def test_warc_without_pages_and_with_other_columns(spark, tmp_path):
+    common.ship(spark)
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 200, "r", 3, False), (2, "http://a/", "x" * 200, "r", 3, False)], "page_id long, url string, html string, record_type string, refers_to int, complete boolean")
+    warc.write(pages, f"{tmp_path}/w", common.Scratch(spark))
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.complete) for r in warc.read(spark, f"{tmp_path}/w").collect()) == [(1, "response", None, True), (2, "revisit", 1, True)]
+    warc.write(pages.where("1 = 0"), f"{tmp_path}/none", common.Scratch(spark))
+    assert warc.read(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_warc_tells_broken_segments(spark, tmp_path):
+    import gzip
+
+    common.ship(spark)
+    payload = b"caf\xe9 \xff\x00" * 6000  # no UTF-8
+    digest = hashlib.sha256(payload).hexdigest()
+    block = warc.HTTP + b"".join(b"%x\r\n%b\r\n" % (len(payload[a : a + 999]), payload[a : a + 999]) for a in range(0, len(payload), 999)) + b"0\r\n\r\n"
+    cuts = [block[a : a + 10_000] for a in range(0, len(block), 10_000)]
+
+    def record(fields, body):
+        return warc.MARK.encode() + "".join(f"{k}: {v}\r\n" for k, v in [*fields.items(), ("Content-Length", len(body))]).encode() + b"\r\n" + body + b"\r\n\r\n"
+
+    def segments(page, total=len(block), sha=digest):
+        own = [record({"WARC-Type": "response", "WARC-Record-ID": f"<{page}>", "WARC-Payload-Digest": f"sha256:{sha}", "X-Page-Id": page, "WARC-Segment-Number": 1}, cuts[0])]
+        for k, body in enumerate(cuts[1:], 2):
+            last = {"WARC-Segment-Total-Length": total} if k == len(cuts) else {}
+            own.append(record({"WARC-Type": "continuation", "WARC-Record-ID": f"<{page}:{k}>", "WARC-Segment-Origin-ID": f"<{page}>", "WARC-Segment-Number": k} | last, body))
+        return own
+
+    def revisit(page, to, n=len(payload), sha=digest):
+        return [record({"WARC-Type": "revisit", "WARC-Record-ID": f"<{page}>", "WARC-Payload-Digest": f"sha256:{sha}", "X-Page-Id": page, "X-Refers-To-Page": to, "X-Payload-Length": n}, b"")]
+
+    whole = segments(1)
+    missing, twice = segments(2), segments(3)
+    every = [*whole[::-1], *missing[:1], *missing[2:], *twice, twice[1], *segments(4)[:-1], *segments(5, total=7), *segments(6, sha="0" * 64), *segments(7)[1:], *revisit(8, 1), *revisit(9, 2), *revisit(10, 1, 5), *revisit(11, 1, sha="1" * 64)]
+    (tmp_path / "w").mkdir()
+    with gzip.open(tmp_path / "w/a.warc.gz", "wb") as f:
+        f.write(b"".join(every))
+    got = {r.page_id: r for r in warc.read(spark, f"{tmp_path}/w").collect()}
+    assert {k for k, r in got.items() if r.complete} == {1, 8} and set(got) == {*range(1, 7), None, *range(8, 12)}
+    assert (got[1].payload_bytes, got[1].payload_digest) == (len(payload), digest)
+
+
 def plain_components(rows, by_row=False):
     sets = [(lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())(words((t or "").translate(LOWER))) for _, t, _ in rows]
     group = list(range(len(rows)))

@@ -9,12 +9,13 @@ text writer, gzip-compressed, and so by its commit protocol: a lost executor lea
 Reading: records are cut by their Content-Length, whatever the payload contains.
 Continuation records are grouped by origin identifier, ordered by segment number,
 checked against the total length, and the chunked framing is decoded.  Only
-segmented records carry payload through the shuffle.
+segmented records carry payload through the shuffle.  A revisit is complete if the response that it names
+is there, is complete and has its digest and size.  Archives are read as bytes, whatever their encoding.
 
 Defined cases: a null html is an empty payload; payloads under SMALLEST bytes are all
 responses; rows that repeat the smallest page_id and payload are each a response;
 a null page_id comes after all others and is read back as null; missing or superfluous segments, a wrong
-total length or a wrong digest give complete = false; no pages give no rows.
+total length or a wrong digest give complete = false; other columns of the pages are ignored; no pages give no rows.
 """
 
 from __future__ import annotations
@@ -75,11 +76,11 @@ def _id(uid: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{uid}')}>"
 
 
-def records(page_id, uid: int, url, payload: bytes, digest: str, first_page, revisit: bool) -> list[str]:
-    """The WARC records of one page; uid tells it from all others, first_page is what it revisits."""
+def records(page_id, uid: int, url, payload: bytes, digest: str, first_page, first_url, revisit: bool) -> list[str]:
+    """The WARC records of one page; uid tells it from all others, first_page and first_url are what it revisits."""
     common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", _uri(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-Id", page_id)]
     if revisit:
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", _id(uid)), *common, ("X-Refers-To-Page", first_page), ("X-Payload-Length", len(payload)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], b"")]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", _id(uid)), *common, ("WARC-Refers-To-Target-URI", _uri(first_url)), ("WARC-Refers-To-Date", "2024-01-01T00:00:00Z"), ("X-Refers-To-Page", first_page), ("X-Payload-Length", len(payload)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], b"")]
     block, parts, at = HTTP + chunked(payload), [], 0
     while at < len(block):
         to = _cut(block, at + SEGMENT)
@@ -97,16 +98,16 @@ def write(pages: DataFrame, path: str, scratch: Scratch) -> None:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("payload"), F.sha2(html, 256).alias("digest"))
     large = rows.where(F.octet_length("payload") >= SMALLEST)
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
     first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1")
-    first = scratch.save(first.select(F.col("digest").alias("of"), F.col("first.page_id").alias("first_page")))
+    first = scratch.save(first.select(F.col("digest").alias("of"), F.col("first.page_id").alias("first_page"), F.col("first.url").alias("first_url")))
     revisit = F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
-    named = rows.join(first, F.col("digest") == F.col("of"), "left").select("page_id", "url", "payload", "digest", "first_page", revisit.alias("revisit"))
+    named = rows.join(first, F.col("digest") == F.col("of"), "left").select("page_id", "url", "payload", "digest", "first_page", "first_url", revisit.alias("revisit"))
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            cols = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "first_page", "revisit")]
+            cols = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "first_page", "first_url", "revisit")]
             out, size = [], 0
             for row in zip(*cols, strict=True):
                 page, *rest = (x.as_py() for x in row)
@@ -128,7 +129,7 @@ RECORD = "origin string, segment int, total long, type string, page_id long, dig
 
 def _parse(raw: bytes) -> dict:
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n") if ": " in line)
+    fields = dict(line.split(": ", 1) for line in head.decode(errors="replace").split("\r\n") if ": " in line)
     return fields | {"block": rest[: int(fields["Content-Length"])], "short": len(rest) < int(fields["Content-Length"])}
 
 
@@ -167,7 +168,7 @@ def _records(batches):
         nonlocal held, at
         for batch in batches:
             for value, name in zip(batch.column("value"), batch.column("file"), strict=True):
-                text, file = value.as_py().encode(), name.as_py()
+                text, file = value.as_py(), name.as_py()
                 if file != at:
                     if held:
                         yield _row(_parse(held))
@@ -218,20 +219,26 @@ def _join(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
 
-def read(spark, path: str) -> DataFrame:
+def read(spark, path: str, scratch: Scratch | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, complete) of all pages in the archives of a folder."""
-    text = spark.read.option("lineSep", MARK).text(path).select("value", F.input_file_name().alias("file"))
+    scratch = scratch or Scratch(spark)
+    text = spark.read.option("lineSep", MARK).text(path).select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file"))
     parts = text.mapInArrow(_records, RECORD)
     head = F.first(F.when(F.col("type") != "continuation", F.struct("type", "page_id", "digest", "refers_to", "payload_bytes")), ignorenulls=True)
     grouped = parts.groupBy("origin").agg(head.alias("head"), F.array_sort(F.collect_list(F.struct("segment", "total", "block"))).alias("segments"))
-    return grouped.select("head", "segments").mapInArrow(_join, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, complete boolean")
+    pages = scratch.save(grouped.select("head", "segments").mapInArrow(_join, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, complete boolean"))
+    # What is known of pages is small; revisits find their response by digest.
+    named = pages.where("record_type = 'response' and complete").select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p"), F.col("payload_bytes").alias("n")).distinct()
+    revisits = pages.where("record_type = 'revisit'")
+    found = revisits.join(named, (F.col("payload_digest") == F.col("d")) & F.col("refers_to").eqNullSafe(F.col("p")) & (F.col("payload_bytes") == F.col("n")), "left")
+    return pages.where("record_type is null or record_type <> 'revisit'").unionByName(found.withColumn("complete", F.col("complete") & F.col("d").isNotNull()).drop("d", "p", "n"))
 
 
 def op9(spark, sf_dir):
     scratch = Scratch(spark)
     where = scratch.path()
     write(table(spark, sf_dir, "pages"), where, scratch)
-    return read(spark, where)
+    return read(spark, where, scratch)
 
 
 ORACLE = f"""
