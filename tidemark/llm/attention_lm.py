@@ -51,7 +51,7 @@ PAD = (1 << 16) - 1
 SEEN = 2 * HALF
 WINDOW = np.dtype([("hash", "<u8"), ("n", "<i8"), ("ids", "<u2", (SEEN + 1,))])
 #: Rounds of training with their rates, and the bytes of text whose windows a group of all rounds holds.
-RATES, GROUP_BYTES, BATCH = (0.015, 0.006), 8 << 20, 128
+RATES, GROUP_BYTES, BATCH = (0.015, 0.006), 8 << 20, 192
 #: Weight of the share of all beside the counts after an id.
 SMOOTH = 10.0
 #: Words in the table that is sent to all tasks, at most; bytes of text for each hash range of words.
@@ -136,8 +136,8 @@ class Model:
         every = np.arange(len(self.slot))
         return ((z - np.log(np.exp(z).sum())) / math.log(10))[self.cls] + self.within(np.full(len(every), self.slot[ids[-1]]), every)
 
-    def loss(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-        """Mean loss in nats of windows x (slots) with classes y to come, weighted by weight, and gradients (that of e by its rows)."""
+    def loss(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, asked: bool = True) -> tuple[float, dict]:
+        """Mean loss in nats (if asked for) of windows x (slots) with classes y to come, weighted by weight, and gradients (that of e by its rows)."""
         p, (b, n) = self.params, x.shape
         flat_x, m = x.ravel(), x.size
         e, w = p["e"][flat_x], p["w"] * ROOTS
@@ -155,9 +155,9 @@ class Model:
         z = h @ p["o"]
         z += self.prior[flat_x]
         np.exp(np.minimum(z, F32(60), out=z), out=z)
-        at, scale = (np.arange(m), y.ravel()), (weight / weight.sum()).astype(F32).ravel()
+        at, scale = (np.arange(m), y.ravel()), (weight / weight.sum(dtype=float)).astype(F32).ravel()
         every = (z @ ONES_C).ravel()
-        loss = float(-np.log(z[at] / every + 1e-20) @ scale)
+        loss = float(-np.log(z[at] / every + 1e-20) @ scale) if asked else 0.0
         z *= (scale / every)[:, None]
         z[at] -= scale
         dh = z @ p["o"].T
@@ -186,12 +186,12 @@ class Model:
         step = 0
         for first in range(0, len(windows), 32 * BATCH):
             w = windows[first : first + 32 * BATCH].astype(np.int64)
-            weight = (w[:, 1:] != PAD) * weights[first : first + 32 * BATCH, None].astype(float)
+            weight = (w[:, 1:] != PAD) * weights[first : first + 32 * BATCH, None].astype(F32)
             w[w == PAD] = 0
             x, y = self.slot[w[:, :-1]], self.cls[w[:, 1:]]
             for at in range(0, len(w), BATCH):
                 step += 1
-                _, g = self.loss(x[at : at + BATCH], y[at : at + BATCH], weight[at : at + BATCH])
+                _, g = self.loss(x[at : at + BATCH], y[at : at + BATCH], weight[at : at + BATCH], False)
                 now = rate * min(1.0, 2 * (1 - (first + at) / len(windows)))
                 a, b = F32(now / (1 - 0.9**step)), F32(1 / (1 - 0.99**step))
                 for k, own in g.items():
@@ -211,7 +211,7 @@ class Model:
         self.near = np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9)).astype(F32)
         self.far = p["d"][HALF + gap].astype(F32)
 
-    def score(self, flat: np.ndarray, lengths: np.ndarray, block: int = 128, most: int = 1 << 16) -> np.ndarray:
+    def score(self, flat: np.ndarray, lengths: np.ndarray, block: int = 192, most: int = 1 << 16) -> np.ndarray:
         """log10 probability of each text, the end token included; flat: the ids of all texts, lengths: how many each has.
 
         Texts lie in whole blocks of HALF places: start, ids, filled up with the end.  A block
