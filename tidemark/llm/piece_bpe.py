@@ -336,7 +336,7 @@ class Encoder:
     A worker process keeps its encoder from task to task.
     """
 
-    MOST = 1 << 21
+    MOST = 1 << 20
 
     def __init__(self, path: str):
         self.vocabulary = load(path)
