@@ -235,3 +235,82 @@ def test_columns_and_paths(spark):
     assert files.from_records(spark, [{"a": 1}, {"a": None, "b": 2}], ["a", "b"]).count() == 2
     paths = legs.mfe_survival(spark.createDataFrame([(3, 1), (1, 0)], "len int, idx int"), "len", "idx")
     assert [(r.t, r.survivors) for r in paths.orderBy("t").collect()] == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_states_and_facts_of_slices(spark):
+    assert ledger.status_of("historical_sparsity") == "complete" and ledger.status_of("http_error", False) == "failed"
+    for reason, ok in (("http_error", True), ("none", False), ("odd", True)):
+        with pytest.raises(ValueError):
+            ledger.status_of(reason, ok)
+    expected = spark.createDataFrame([("a", 0, 120), ("b", 180, 300), ("c", 360, 480)], "slice_key string, start_ms long, last_ms long")
+    bars = spark.createDataFrame([("a", 0), ("a", 60), ("a", 60), ("c", 360)], "slice_key string, open_time long")
+    got = {r.slice_key: (r.n, r.status, r.reason) for r in ledger.by_elapsed_time(expected, bars, 60, 400).collect()}
+    assert got == {"a": (2, "complete", "none"), "b": (0, "complete", "historical_sparsity"), "c": (1, "partial", "still_forming")}
+    rows = [("s:1m:60:3", "?symbol=s&interval=1m&limit=3&startTime=60", 60), ("s:1m:60:3", "?symbol=s&interval=1m&limit=3&startTime=0", 60), ("s:1m:60:3", "?symbol=s&interval=1m&limit=3&startTime=60", 61), ("junk", "", 0)]
+    found = ledger.facts(spark.createDataFrame(rows, "slice_key string, query string, start_ms long"))
+    assert [r.agree for r in found.collect()] == [True, False, False, False]
+
+
+def test_probes_and_coercion(spark):
+    asked = []
+    assert raw_bars.first_with_data(lambda t: asked.append(t) or t >= 700, 0, 1000, 100) == 700 and len(asked) <= 5
+    assert raw_bars.first_with_data(lambda t: False, 0, 1000, 100) is None and raw_bars.first_with_data(lambda t: True, 5, 0, 1) is None
+    df = spark.createDataFrame([("1", "2", "3", "4", "5"), ("x", "2", "3", "4", "5")], "open string, high string, low string, close string, volume string")
+    assert [r.open for r in raw_bars.coerce(df).collect()] == [1.0]
+    with pytest.raises(ValueError):
+        raw_bars.coerce(df.drop("low"))
+
+
+def test_time_texts():
+    t = times.parse_iso("2024-01-02T03:04:05Z")
+    assert times.iso(t) == "2024-01-02T03:04:05Z" == times.iso(t.replace(tzinfo=None)) and times.parse_iso("2024-01-02T04:04:05+01:00") == t
+    assert times.now_utc().tzinfo and [times.span_text(x) for x in (0, 59, -3661, 90061)] == ["0s", "59s", "-1h 1m 1s", "1d 1h 1m 1s"]
+
+
+def test_columns_are_declared_and_guarded(spark):
+    from tidemark.functions.registry import LINEAGE, new_columns, rows_text
+
+    df = spark.createDataFrame([(1, 2.0, None), (2, 3.5, "x" * 50)], "a int, b double, c string")
+
+    @new_columns("d")
+    def twice(x, n=2):
+        return x.withColumn("d", F.col("b") * n)
+
+    assert twice(df, n=3).first().d == 6.0 and twice.columns == ("d",) and any(k.endswith("twice") for k in LINEAGE)
+    for bad in (lambda x: x.drop("a").withColumn("d", F.lit(1)), lambda x: x):
+        with pytest.raises(ValueError):
+            new_columns("d")(bad)(df)
+    assert rows_text(df, 1, ("a", "b")) == "a  b\n1  2" and len(rows_text(df, 5).split("\n")) == 3
+    assert dict(pointwise.as_int8(df, ["a"]).dtypes)["a"] == "tinyint" and pointwise.rename_by_index(df, {1: "z"}).columns == ["a", "z", "c"]
+    assert pointwise.guarded(df, lambda x: x.withColumn("e", F.lit(1)), ["b", "c"], ["a"]).count() == 2
+    for wrong in (lambda x: x.withColumn("b", F.col("b") + 1), lambda x: x.where("a = 1"), lambda x: x.unionByName(x.withColumn("a", F.lit(9)))):
+        with pytest.raises(Exception, match="changed"):
+            pointwise.guarded(df, wrong, ["b"], ["a"]).collect()
+    assert pointwise.keep_policy(df, "a", ["b"]).columns == ["a", "c"] and pointwise.drop_columns(df, ["c"]).columns == ["a", "b"]
+    assert [r.b for r in pointwise.null_if(df, F.col("a") == 1, ["b"]).collect()] == [None, 3.5]
+
+
+def test_parts_hold_whole_slices(spark, tmp_path):
+    folder = f"{tmp_path}/agg"
+    rows = lambda a, b: spark.createDataFrame([(f"s{k}", 10 * k + i) for k in range(a, b) for i in range(3)], "slice_key string, open_time long")
+    first = incremental.append_slices(spark, folder, rows(0, 5), per_part=2)
+    assert [(p["first"], p["last"]) for p in first["parts"]] == [("s0", "s1"), ("s2", "s3")] and first["head_slices"] == 1
+    second = incremental.append_slices(spark, folder, rows(5, 8), per_part=2)
+    assert [p["name"] for p in second["parts"]] == [f"part-00000{k}.parquet" for k in range(4)] and second["head_slices"] == 0
+    assert sorted(r.open_time for r in files.union_folder(spark, folder).collect()) == sorted(10 * k + i for k in range(8) for i in range(3))
+    assert incremental.refresh_head(spark, folder, rows(8, 9)) == 3 and incremental.refresh_head(spark, folder, rows(8, 10)) == 6
+    with pytest.raises(ValueError):
+        incremental.refresh_head(spark, folder, rows(8, 9))
+    assert files.latest(spark, folder, 2).count() == 12
+    state = incremental.set_state(incremental.set_state({}, "a.b", 1), "a.c.d", 2)
+    assert state == {"a": {"b": 1, "c": {"d": 2}}}
+    incremental.save_state(spark, f"{tmp_path}/state", state)
+    assert incremental.load_state(spark, f"{tmp_path}/state") == state and incremental.load_state(spark, f"{tmp_path}/nowhere") == {}
+
+
+def test_load_clean_waits_for_files(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        incremental.load_clean(spark, f"{tmp_path}/none", 60)
+    df = spark.createDataFrame([("s", 0), ("s", 60)], "symbol string, t int").select("symbol", F.timestamp_seconds("t").alias("tz_start"), *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close")])
+    files.write(df, f"{tmp_path}/in/1.parquet")
+    assert [incremental.load_clean(spark, f"{tmp_path}/in", 60, last=n)[0].count() for n in (0, 2)] == [2, 2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import DataFrame
 
@@ -35,3 +36,37 @@ class Registry:
 
 
 PIPELINES, FRAMES, VIEWS = Registry("pipeline"), Registry("frame"), Registry("view")
+
+
+#: New columns by the function that made them.
+LINEAGE: dict[str, tuple[str, ...]] = {}
+
+
+def new_columns(*names: str):
+    """For a function of a frame that adds these columns and keeps all others as they are."""
+
+    def mark(f):
+        LINEAGE[f.__qualname__] = names
+
+        @wraps(f)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            out = f(df, *args, **options)
+            if lost := [c for c in df.columns if c not in out.columns]:
+                raise ValueError(f"{f.__name__} loses {lost}")
+            if missing := [c for c in names if c not in out.columns]:
+                raise ValueError(f"{f.__name__} does not make {missing}")
+            return out
+
+        run.columns = names
+        return run
+
+    return mark
+
+
+def rows_text(df: DataFrame, n: int = 20, columns=None, width: int = 20) -> str:
+    """The first n rows as a table of text, values cut at width; no more rows come to the driver."""
+    own = [c for c in df.columns if columns is None or c in columns]
+    one = lambda v: ("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v))[:width]
+    rows = [[one(v) for v in r] for r in df.select(*own).limit(n).collect()]
+    wide = [max(len(x) for x in column) for column in zip(own, *rows, strict=True)]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, wide, strict=True)).rstrip() for r in [own, *rows])

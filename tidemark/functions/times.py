@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -69,3 +70,28 @@ def whole_intervals(start: Column, end: Column, step: int) -> Column:
 
 def exact_intervals(start: Column, end: Column, step: int) -> Column:
     return (end - start) / step
+
+
+def now_utc() -> datetime:
+    return datetime.now(timezone.utc)
+
+
+def iso(t: datetime) -> str:
+    """Seconds and a Z; a time without zone is taken as UTC."""
+    t = t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc)
+    return t.strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def parse_iso(text: str) -> datetime:
+    t = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    return t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc)
+
+
+def span_text(seconds: float) -> str:
+    """1d 2h 3m 4s, without leading zeros."""
+    left, out = int(abs(seconds)), []
+    for unit, size in (("d", 86400), ("h", 3600), ("m", 60), ("s", 1)):
+        n, left = divmod(left, size)
+        if n or out or unit == "s":
+            out.append(f"{n}{unit}")
+    return "-" * (seconds < 0) + " ".join(out)

@@ -93,3 +93,25 @@ def one(names):
     if len(names) != 1:
         raise ValueError(f"exactly one name expected, not {len(names)}")
     return names[0]
+
+
+def as_int8(df: DataFrame, columns) -> DataFrame:
+    require(df, *columns)
+    return df.withColumns({c: F.col(c).cast("tinyint") for c in columns})
+
+
+def rename_by_index(df: DataFrame, names: dict[int, str]) -> DataFrame:
+    return df.toDF(*[names.get(i, c) for i, c in enumerate(df.columns)])
+
+
+def guarded(df: DataFrame, run, frozen, key) -> DataFrame:
+    """run(df), where the frozen columns of each row (told apart by key) are still what they were and no row is gone or new; raises where it is read otherwise."""
+    require(df, *frozen, *key)
+    was = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.struct(*frozen).alias("_was"))
+    out = run(df)
+    names = out.columns
+    same = F.struct(*[F.col(c) for c in frozen]).eqNullSafe(F.col("_was")) & F.col("_there").isNotNull()
+    rule = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
+    both_ = out.withColumn("_there", F.lit(True)).join(was, rule, "full")
+    checked = F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("a frozen column or the rows have changed")).cast("boolean"))
+    return both_.where(checked).select(*names)

@@ -19,6 +19,7 @@ SQL_BARS = """bars as (
   select event_type as symbol, date_trunc('hour', ts) as tz_start, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low,
          arg_max(value, (ts, event_id)) as close, sum(value) as volume, count(*) as num_trades
   from events group by 1, 2)"""
+SQL_SLICES = f"""sl as (select symbol || ':1h:' || cast(epoch_ms(tz_start) // {24 * 3_600_000} * {24 * 3_600_000} as varchar) || ':24' as slice_key, epoch_ms(tz_start) as open_time from bars)"""
 ALL: dict[str, tuple] = {}
 
 
@@ -430,6 +431,22 @@ def rows_per_time_chunk(spark, d):
     return rounded(reduce.per_time_chunk(bars(spark, d), 3 * 3600, _METRICS, with_empty=True), "symbol", "chunk", *_NAMES)
 
 
+@query("""d as (select symbol, date_trunc('day', tz_start) as chunk, sum(high - low) as path, count(*) as n from bars group by 1, 2) select symbol, chunk, n as src_row_count, round(path, 6) as path_len_sum from d""")
+def daily_path_lengths(spark, d):
+    df = pointwise.with_path_length(bars(spark, d))
+    return rounded(reduce.per_time_chunk(df, 86400, [reduce.Metric("path_len", "sum")]), "symbol", "chunk", "src_row_count", "path_len_sum")
+
+
+@query(f"""{SQL_SLICES}, n as (select slice_key, count(*) as n, min(open_time) as first, max(open_time) as last from sl group by 1), x as (select *, cast(split_part(slice_key, ':', 3) as bigint) as start_ms from n), now as (select max(start_ms) + {12 * 3_600_000} as now from x)
+select slice_key, n, first, last, case when start_ms + {24 * 3_600_000} <= now then 'complete' else 'partial' end as status, case when start_ms + {24 * 3_600_000} <= now then 'none' else 'still_forming' end as reason from x, now""")
+def slices_by_elapsed_time(spark, d):
+    slices, step = _slices(spark, d), 3_600_000
+    expected = slices.select("slice_key").distinct().withColumn("start_ms", ledger.split_key()["start_ms"])
+    expected = expected.withColumn("last_ms", F.col("start_ms") + 23 * step)
+    now = expected.agg(F.max("start_ms")).first()[0] + 12 * step
+    return ledger.by_elapsed_time(expected, slices, step, now).select("slice_key", "n", "first", "last", "status", "reason")
+
+
 SQL_PATHS = SQL_LEGS + """, p as (select symbol, leg, min(tz_start) as start_ts, max(tz_start) as end_ts, count(*) as bars, arg_min(open, tz_start) as first_open, arg_max(close, tz_start) as last_close, arg_min(high, tz_start) as first_high, arg_min(low, tz_start) as first_low, max(high) as max_high, min(low) as min_low from l where leg is not null group by 1, 2)"""
 
 
@@ -689,7 +706,6 @@ def _slices(spark, d):
     return bars(spark, d).select(F.concat_ws(":", "symbol", F.lit("1h"), F.floor(t / (24 * _STEP)) * 24 * _STEP, F.lit(24)).alias("slice_key"), t.alias("open_time"))
 
 
-SQL_SLICES = f"""sl as (select symbol || ':1h:' || cast(epoch_ms(tz_start) // {24 * _STEP} * {24 * _STEP} as varchar) || ':24' as slice_key, epoch_ms(tz_start) as open_time from bars)"""
 
 
 @query(f"""{SQL_SLICES}, dl as (select *, open_time - lag(open_time) over (partition by slice_key order by open_time) as dt from sl)

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import files
 
-STATUSES = ("missing", "partial", "needs_refresh", "complete", "failed")
+# States of a slice, and the state that a reason stands for where the fetch succeeded or failed.
+STATUSES = ("missing", "complete", "partial", "empty", "needs_refresh", "failed", "in_progress")
+AFTER_SUCCESS = {"none": "complete", "historical_sparsity": "complete", "still_forming": "partial", "awaiting_upstream": "partial"}
+AFTER_FAILURE = {"http_error": "failed", "exception": "failed", "network_unavailable": "failed"}
 
 
 def split_key(c: str | Column = "slice_key") -> dict[str, Column]:
@@ -99,3 +102,34 @@ def compact(spark: SparkSession, snapshot: str, deltas: DataFrame, key: str = "s
     files.write(apply_deltas(old, deltas, key, seq), f"{snapshot}.new.parquet")
     files.rename(spark, f"{snapshot}.new.parquet", snapshot)
     return spark.read.parquet(snapshot)
+
+
+def status_of(reason: str, succeeded: bool = True) -> str:
+    """The state that a reason stands for; raises on one that cannot be."""
+    known = AFTER_SUCCESS if succeeded else AFTER_FAILURE
+    if reason not in known:
+        raise ValueError(f"{reason} is no reason of a fetch that {'succeeded' if succeeded else 'failed'}")
+    return known[reason]
+
+
+def by_elapsed_time(expected: DataFrame, bars: DataFrame, step: int, now: int, t: str = "open_time") -> DataFrame:
+    """For markets that close: expected slices (slice_key, start_ms, last_ms) with n, first, last, status and reason; one is complete once its last bar's time is over, however few bars it has."""
+    own = bars.groupBy("slice_key").agg(F.countDistinct(t).alias("n"), F.min(t).alias("first"), F.max(t).alias("last"))
+    out = expected.join(own, "slice_key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    over = F.col("last_ms") + step <= now
+    reason = F.when(~over, "still_forming").when(F.col("n") == 0, "historical_sparsity").otherwise("none")
+    return out.withColumns({"status": F.when(over, "complete").otherwise("partial"), "reason": reason})
+
+
+def facts(ledger: DataFrame) -> DataFrame:
+    """What key, entry and request say of each slice (symbol, interval, start, limit), and whether all agree; entry columns and query may be missing."""
+    own = split_key()
+    asked = {"symbol": r"[?&]symbol=([^&]*)", "interval": r"[?&]interval=([^&]*)", "start_ms": r"[?&]startTime=([0-9]+)", "limit": r"[?&]limit=([0-9]+)"}
+    out, agree = ledger, F.lit(True)
+    for name, c in own.items():
+        out = out.withColumn(f"key_{name}", c)
+        for side, other in (("entry", F.col(name).cast("string") if name in ledger.columns else None), ("query", F.nullif(F.regexp_extract("query", asked[name], 1), F.lit("")) if "query" in ledger.columns else None)):
+            if other is not None:
+                out = out.withColumn(f"{side}_{name}", other)
+                agree = agree & F.coalesce(F.col(f"{side}_{name}") == F.col(f"key_{name}").cast("string"), F.lit(False))
+    return out.withColumn("agree", agree & F.coalesce(F.col("key_start_ms").isNotNull(), F.lit(False)))

@@ -83,3 +83,22 @@ class SymbolMap:
         if not pairs:
             return df.withColumn(column, F.lit(None).cast("string"))
         return df.withColumn(column, F.coalesce(*[F.when(F.col(column) == a, b) for a, b in pairs]))
+
+
+def first_with_data(has_data, start: int, end: int, step: int) -> int | None:
+    """The first of start, start + step, ... up to end for which has_data holds, where it holds for all later ones; asks a logarithm of times."""
+    low, high = 0, (end - start) // step
+    if high < 0 or not has_data(start + high * step):
+        return None
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if has_data(start + mid * step) else (mid + 1, high)
+    return start + low * step
+
+
+def coerce(df: DataFrame, required=("open", "high", "low", "close", "volume")) -> DataFrame:
+    """Prices as doubles; raises on missing columns and leaves out rows that lack a value."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not found: {missing}")
+    return df.withColumns({c: F.col(c).try_cast("double") for c in required}).dropna(subset=list(required))

@@ -155,3 +155,64 @@ class CleanProvider:
             rename(self.spark, f"{self.sealed_path}.new.parquet", self.sealed_path)
             self.seen, self.last = now, self.spark.read.parquet(self.sealed_path).agg(F.max(self.series.ts)).first()[0]
         return self.spark.read.parquet(self.sealed_path)
+
+
+def set_state(state: dict, path: str, value) -> dict:
+    """state with a value at a dotted path."""
+    head, _, rest = path.partition(".")
+    return state | {head: set_state(state.get(head, {}), rest, value) if rest else value}
+
+
+def refresh_head(spark: SparkSession, folder: str, rows: DataFrame, head: str = "head.parquet") -> int:
+    """Rebuilds the head from its raw rows; it may only grow. Returns how many rows it has."""
+    from ..sources.files import names, recover, rename, write
+
+    path = f"{folder}/{head}"
+    recover(spark, path)
+    had = spark.read.parquet(path).count() if head in names(spark, folder) else 0
+    write(rows, f"{folder}/.{head}.new.parquet")
+    now = spark.read.parquet(f"{folder}/.{head}.new.parquet").count()
+    if now < had:
+        raise ValueError(f"the head would shrink from {had} to {now} rows")
+    rename(spark, f"{folder}/.{head}.new.parquet", path)
+    return now
+
+
+def append_slices(spark: SparkSession, folder: str, new: DataFrame, per_part: int = 100, key: str = "slice_key", order: str = "open_time", head: str = "head.parquet") -> dict:
+    """Adds whole slices to the head, and seals every per_part slices, in the order of their first bars, as a part of their own; returns the manifest.
+
+    Parts are written before the head and the manifest, so that a break leaves parts that no manifest names.
+    """
+    from ..sources.files import names, recover, rename, write
+
+    recover(spark, f"{folder}/{head}")
+    state = load_state(spark, f"{folder}/.manifest") or {"parts": [], "head_slices": 0}
+    if head in names(spark, folder):
+        new = spark.read.parquet(f"{folder}/{head}").unionByName(new)
+    starts = [(r[key], r["first"]) for r in new.groupBy(key).agg(F.min(order).alias("first")).collect()]  # a row for each slice of the head and one batch
+    keys = [k for k, _ in sorted(starts, key=lambda x: (x[1], x[0]))]
+    sealed = len(keys) // per_part * per_part
+    for at in range(0, sealed, per_part):
+        own, name = keys[at : at + per_part], f"part-{len(state['parts']):06d}.parquet"
+        write(new.where(F.col(key).isin(own)).orderBy(order), f"{folder}/{name}")
+        state["parts"].append({"name": name, "first": own[0], "last": own[-1], "slices": len(own)})
+    write(new.where(F.col(key).isin(keys[sealed:])).orderBy(order), f"{folder}/.{head}.new.parquet")
+    rename(spark, f"{folder}/.{head}.new.parquet", f"{folder}/{head}")
+    state["head_slices"] = len(keys) - sealed
+    save_state(spark, f"{folder}/.manifest", state)
+    return state
+
+
+def load_clean(spark: SparkSession, folder: str, seconds: int, last: int = 0, wait: float = 0, every: float = 1.0, series: Series = BARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, report, issues) of a folder's bars, or of its newest files; waits for the first file."""
+    import time
+
+    from ..operators.gaps import quality
+    from ..sources.files import has_files, latest, union_folder
+
+    until = time.monotonic() + wait
+    while not has_files(spark, folder):
+        if time.monotonic() >= until:
+            raise FileNotFoundError(folder)
+        time.sleep(every)
+    return quality(latest(spark, folder, last) if last else union_folder(spark, folder), seconds, series)
