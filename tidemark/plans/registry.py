@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import times
-from ..operators import calendar, conditions, execution, features, gaps, indicators, legs, pointwise, reduce, relations, resample
-from ..operators.series import BARS
+from ..operators import blocks, calendar, conditions, execution, features, gaps, indicators, legs, pointwise, reduce, relations, resample
+from ..operators.series import BARS, flag
 from ..sources import ledger, raw_bars
 
 AT = ["symbol", "tz_start"]
@@ -738,6 +738,46 @@ def distinct_per_day(spark, d):
     return rounded(reduce.distinct_per_period(bars(spark, d), "num_trades", 1), "period", "symbol", "n_distinct")
 
 
+def same_rows_as(name: str):
+    def keep(f):
+        ALL[f.__name__] = (f, ALL[name][1])
+        return f
+
+    return keep
+
+
+@same_rows_as("bollinger")
+def bollinger_in_blocks(spark, d):
+    df = blocks.in_blocks(bars(spark, d), lambda df, series: indicators.with_bollinger(df, series=series), 19, rows=64)
+    return rounded(df, *AT, "boll_mid", "boll_upper", "boll_lower", "boll_valid")
+
+
+@same_rows_as("macd")
+def macd_in_blocks(spark, d):
+    """500 rows before weigh less than 1e-16 in the slowest of the averages."""
+    df = blocks.in_blocks(bars(spark, d), lambda df, series: indicators.with_macd(df, series=series), 500, rows=512)
+    return rounded(df, *AT, "ema_fast", "ema_slow", "macd", "macd_signal", "macd_hist", "macd_ready", "macd_signal_ready")
+
+
+@same_rows_as("counters")
+def counters_in_blocks(spark, d):
+    df = _abc(spark, d).withColumns({"ab": F.col("a") & F.col("b"), "two": flag(F.col("a")) + flag(F.col("b")) + flag(F.col("c")) >= 2, "bc": F.col("b") | F.col("c")})
+    streaks = {"a__run_true": "a", "ab_run": "ab", "two_run": "two"}
+    since = {"b__bars_since_true": "b", "bc_since": "bc"}
+    df = blocks.with_running(df, {n: blocks.running_true(c) for n, c in streaks.items()} | {n: blocks.bars_since(c) for n, c in since.items()}, rows=64)
+    return df.select(*AT, "a__run_true", "ab_run", "two_run", "b__bars_since_true", "bc_since")
+
+
+@same_rows_as("condition_group_ids")
+def group_ids_in_blocks(spark, d):
+    return blocks.with_group_id(_abc(spark, d), "a", "leg_id", rows=64).select(*AT, "leg_id")
+
+
+@same_rows_as("vwaps")
+def vwaps_in_blocks(spark, d):
+    return rounded(indicators.with_session_vwap(blocks.with_running(bars(spark, d), {"vwap": blocks.vwap()}, rows=64)), *AT, "vwap", "vwap_session")
+
+
 def queries() -> dict:
     return {n: f for n, (f, _) in ALL.items()}
 
