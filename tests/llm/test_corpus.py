@@ -415,6 +415,17 @@ def test_blocks_score_like_one_token_at_a_time():
         assert score == pytest.approx(want, rel=1e-5)
 
 
+def test_a_score_does_not_depend_on_the_texts_beside_it():
+    rng = np.random.default_rng(1)
+    model = attention_lm.Model(rng.integers(1, 1000, 301).astype(float))
+    model.tables()
+    texts = [rng.integers(0, 300, n) for n in rng.integers(0, 400, 300)]
+    score = lambda some: model.score(np.concatenate(some), np.array([len(t) for t in some])).tolist()
+    whole = score(texts)
+    for cut in (1, 7, 100, 233):
+        assert score(texts[:cut]) + score(texts[cut:]) == whole
+
+
 def test_scores_follow_from_the_documents_alone(spark):
     docs = common.table(spark, SF, "documents")
     one, many = (sorted(map(tuple, attention_lm.scores(docs.repartition(n)).collect())) for n in (1, 7))

@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import as_strided
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -168,7 +169,8 @@ class Model:
         da *= a
         g["d"] = np.bincount(gap[low], weights=da.sum(axis=0)[low], minlength=SEEN).astype(F32)
         dt = np.empty_like(t)
-        dt[:, :, :WIDTH], dt[:, :, WIDTH : 2 * WIDTH], dt[:, :, 2 * WIDTH :] = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ own
+        for i, (left, right) in enumerate(((da, k), (da.transpose(0, 2, 1), q), (a.transpose(0, 2, 1), own))):
+            np.matmul(left, right, out=dt[:, :, i * WIDTH : (i + 1) * WIDTH])
         dt = dt.reshape(m, 3 * WIDTH)
         g["w"] = e.T @ dt * ROOTS
         dh += dt @ w.T
@@ -208,8 +210,8 @@ class Model:
         # Whether all scores are so small that exp of none overflows.
         self.calm = q * k + np.abs(p["d"]).max() < 80 and (e + v) * np.sqrt((p["o"] ** 2).sum(axis=0)).max() < 80
         gap = np.arange(HALF)[:, None] - np.arange(HALF)[None, :]
-        self.near = np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9)).astype(F32)
-        self.far = p["d"][HALF + gap].astype(F32)
+        #: What distance adds, for the block before and the own block.
+        self.bias = np.concatenate([p["d"][HALF + gap], np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9))], axis=1).astype(F32)
 
     def score(self, flat: np.ndarray, lengths: np.ndarray, block: int = 192, most: int = 1 << 16) -> np.ndarray:
         """log10 probability of each text, the end token included; flat: the ids of all texts, lengths: how many each has.
@@ -239,35 +241,35 @@ class Model:
         real = (np.arange(lead[-1]) - np.repeat(lead[:-1], blocks * HALF)) < np.repeat(sizes, blocks * HALF)
         opens = np.zeros(lead[-1] // HALF, dtype=bool)
         opens[lead[:-1] // HALF] = True
-        slots, p, score = self.slot[seen].reshape(-1, HALF), self.params, np.empty(lead[-1])
+        slots, p, score = self.slot[seen], self.params, np.empty(lead[-1])
         targets = self.cls[want]
-        k0 = v0 = np.zeros((1, HALF, WIDTH), F32)
-        for a in range(0, len(slots), block):
-            own = slots[a : a + block]
-            q, k, v, e = np.split(self.seen[own], 4, axis=2)
-            kb, vb = np.concatenate([k0, k[:-1]]), np.concatenate([v0, v[:-1]])
-            k0, v0 = k[-1:], v[-1:]
-            near, far = q @ k.transpose(0, 2, 1), q @ kb.transpose(0, 2, 1)
-            near += self.near
-            far += self.far
-            far[opens[a : a + block]] = F32(-1e9)
+        # A block before the first, which no block attends to.
+        led = np.concatenate([np.zeros(HALF, dtype=np.int64), slots])
+        for a in range(0, len(opens), block):
+            own = led[a * HALF : (a + block + 1) * HALF]
+            rows = self.seen[own]
+            q, e = rows[HALF:, :WIDTH].reshape(-1, HALF, WIDTH), rows[HALF:, 3 * WIDTH :]
+            # Keys and values of each block and the one before, as overlapping views.
+            k, v = (as_strided(rows[:, i * WIDTH :], (len(q), SEEN, WIDTH), (HALF * rows.strides[0], *rows.strides), writeable=False) for i in (1, 2))
+            weight = q @ k.transpose(0, 2, 1)
+            weight += self.bias
+            weight[opens[a : a + block], :, :HALF] = F32(-1e9)
             if not self.calm:
-                near, far = np.minimum(near, F32(60)), np.minimum(far, F32(60))
-            np.exp(near, out=near)
-            np.exp(far, out=far)
-            mixed = near @ v
-            mixed += far @ vb
-            mixed /= near @ ONES[:HALF] + far @ ONES[:HALF]
-            mixed += e
-            z = mixed.reshape(-1, WIDTH) @ p["o"]
-            z += self.prior[own.ravel()]
+                np.minimum(weight, F32(60), out=weight)
+            np.exp(weight, out=weight)
+            mixed = weight @ v
+            mixed /= weight @ ONES
+            mixed += e.reshape(mixed.shape)
+            # All products are of a block's shape, so that a score does not depend on the texts beside it.
+            z = mixed @ p["o"]
+            z += self.prior[own[HALF:].reshape(-1, HALF)]
             if not self.calm:
                 np.minimum(z, F32(60), out=z)
             target = targets[a * HALF : (a + block) * HALF]
-            got = z[np.arange(len(z)), target]
+            got = z.reshape(-1, CLASSES)[np.arange(len(target)), target]
             np.exp(z, out=z)
             score[a * HALF : (a + block) * HALF] = got - np.log(z @ ONES_C).ravel()
-        score = score / math.log(10) + self.within(slots.ravel(), want)
+        score = score / math.log(10) + self.within(slots, want)
         return np.add.reduceat(np.where(real, score, 0.0), lead[:-1])
 
 
@@ -443,13 +445,14 @@ def _pairs(windows: DataFrame, counts: np.ndarray, opens: np.ndarray) -> np.ndar
 
     def count(batches):
         model, seen = Model(*sent.value), np.zeros(SLOTS * wide, dtype=np.int64)
+        row, column = model.slot * wide, model.column(np.arange(len(model.slot)))
         for batch in batches:
             for b, v in zip(batch.column("blob"), batch.column("v"), strict=True):
                 ids, n = _group(b.as_py(), v.as_py())
                 for at in range(0, len(ids), 1 << 14):
-                    w = ids[at : at + (1 << 14)].astype(np.int64)
+                    w = ids[at : at + (1 << 14)]
                     ok = w[:, 1:] != PAD
-                    cell = model.slot[w[:, :-1][ok]] * wide + model.column(w[:, 1:][ok])
+                    cell = row[w[:, :-1][ok]] + column[w[:, 1:][ok]]
                     np.add.at(seen, cell, np.repeat(n[at : at + (1 << 14)], SEEN)[ok.ravel()])
         keys, blobs = [], []
         for k in range(SLOTS // block):
