@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -541,6 +542,45 @@ def test_jaccard_keeps_one_row_of_each_component(docs, spark):
     assert jaccard_join.keep_one(empty(docs)).count() == 0 and jaccard_join.jaccard_components(empty(docs)).count() == 0
 
 
+def _near_group(n: int, most: int) -> list[np.ndarray]:
+    """Shared shingles of near copies of a text of 150 words, each with up to ``most`` words changed, which takes five shingles each."""
+    r, base = np.random.default_rng(3), np.arange(1, 147, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    gone = [{int(k) for w in r.integers(0, 142, r.integers(1, most + 1)) for k in range(w, w + 5)} for _ in range(n)]
+    return [np.sort(base[[k for k in range(146) if k not in g]]) for g in gone]
+
+
+def _rows(sets: list[np.ndarray], first: int, role: int) -> pd.DataFrame:
+    return pd.DataFrame({"cid": range(first, first + len(sets)), "n": 146, "shared": [x.tobytes() for x in sets], "label": range(first, first + len(sets)), "role": role})
+
+
+@pytest.mark.parametrize("asked", [False, True])
+def test_near_copies_that_cannot_link_cost_no_merge(monkeypatch, asked):
+    sets, asked_sets = _near_group(150, 6), _near_group(230, 6)[150:] if asked else []
+    search, calls = jaccard_join.divide_skip, []
+    monkeypatch.setattr(jaccard_join, "divide_skip", lambda *a: calls.append(len(found := search(*a))) or found)
+    rows = pd.concat([_rows(sets, 0, 0), *([_rows(asked_sets, 1000, 1)] if asked else [])], ignore_index=True)
+    got = jaccard_join._search((0,), rows)
+    links = {(a, b) for a, b in zip(got["a"], got["b"], strict=True)}
+    every = dict(enumerate(sets)) | {1000 + i: x for i, x in enumerate(asked_sets)}
+
+    def linked(a, b):
+        both = len(np.intersect1d(every[a], every[b]))
+        return 100 * both >= 80 * (292 - both)
+
+    def classes(pairs):
+        at = {i: i for i in every}
+        for a, b in pairs:
+            old, now = at[a], at[b]
+            at = {i: now if c == old else c for i, c in at.items()}
+        return {frozenset(i for i in every if at[i] == c) for c in set(at.values())}
+
+    asking = range(1000, 1000 + len(asked_sets)) if asked else range(len(sets))
+    assert all(linked(a, b) for a, b in links)
+    assert classes(links) == classes((a, b) for a in asking for b in range(len(sets)) if a != b and linked(a, b))
+    # Two sets of 146 link from 130 common shingles on.
+    assert len(calls) <= sum(len(every[i]) >= 130 for i in asking) < len(asking)
+
+
 def test_divide_skip_finds_what_all_pairs_find():
     rng = np.random.default_rng(10)
     for _ in range(60):
