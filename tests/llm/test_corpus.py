@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,14 @@ def test_components(spark):
     assert components.connected_components(edges.where("a > 99"), common.Scratch(spark)).count() == 0
 
 
+def test_written_tables_have_small_row_groups(spark):
+    wide = F.concat(*[F.sha2(F.concat_ws(" ", F.col("id"), F.lit(k)), 256) for k in range(16)])
+    saved = common.Scratch(spark).save(spark.range(0, 40000, 1, 1).select("id", wide.alias("text")))
+    sizes = [(g.total_byte_size, g.num_rows) for f in saved.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(n for _, n in sizes) == saved.count() == 40000 and len(sizes) > 1
+    assert max(size for size, _ in sizes) < 3 * common.ROW_GROUP
+
+
 def test_url_filter(spark):
     common.ship(spark)
     link = "<html><link rel='canonical' href='{}'></html>"
