@@ -53,6 +53,8 @@ SEEN = 2 * HALF
 WINDOW = np.dtype([("hash", "<u8"), ("n", "<i8"), ("ids", "<u2", (SEEN + 1,))])
 #: Rounds of training with their rates, and the bytes of text whose windows a group of all rounds holds.
 RATES, GROUP_BYTES, BATCH = (0.015, 0.006), 8 << 20, 192
+#: Windows whose gradients are taken at a time.
+PART = 32
 #: Weight of the share of all beside the counts after an id.
 SMOOTH = 10.0
 #: Words in the table that is sent to all tasks, at most; bytes of text for each hash range of words.
@@ -60,6 +62,8 @@ HEAD, RANGE_BYTES = 1 << 18, 32 << 20
 RANGES = 256
 F32 = np.float32
 ONES, ONES_C = np.ones((SEEN, 1), F32), np.ones((CLASSES, 1), F32)
+#: Where the embedding of each slot stands.
+CELLS = np.arange(SLOTS * WIDTH).reshape(SLOTS, WIDTH)
 #: Scale of the queries, keys and values.
 ROOTS = np.repeat([1 / math.sqrt(WIDTH), 1, 1], WIDTH).astype(F32)
 #: Rows of parameters that the driver adds up, at most.
@@ -140,46 +144,71 @@ class Model:
     def loss(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, asked: bool = True) -> tuple[float, dict]:
         """Mean loss in nats (if asked for) of windows x (slots) with classes y to come, weighted by weight, and gradients (that of e by its rows)."""
         p, (b, n) = self.params, x.shape
-        flat_x, m = x.ravel(), x.size
-        e, w = p["e"][flat_x], p["w"] * ROOTS
-        t = (e @ w).reshape(b, n, 3 * WIDTH)
-        q, k, v = (t[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-        gap = np.arange(n)[:, None] - np.arange(n)[None, :]
+        w, gap = p["w"] * ROOTS, np.arange(n)[:, None] - np.arange(n)[None, :]
         low, gap = gap >= 0, np.abs(gap)
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(low, p["d"][gap], F32(-1e9))
-        # Scores are bounded, so that no maximum needs to be taken off.
-        np.exp(np.minimum(a, F32(60), out=a), out=a)
-        a /= a @ ONES[:n]
-        h = (a @ v).reshape(m, WIDTH)
-        h += e
-        z = h @ p["o"]
-        z += self.prior[flat_x]
-        np.exp(np.minimum(z, F32(60), out=z), out=z)
-        at, scale = (np.arange(m), y.ravel()), (weight / weight.sum(dtype=float)).astype(F32).ravel()
-        every = (z @ ONES_C).ravel()
-        loss = float(-np.log(z[at] / every + 1e-20) @ scale) if asked else 0.0
-        z *= (scale / every)[:, None]
-        z[at] -= scale
-        dh = z @ p["o"].T
-        g = {"o": h.T @ z}
-        own = dh.reshape(b, n, WIDTH)
-        da = own @ v.transpose(0, 2, 1)
-        da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
-        da *= a
-        g["d"] = np.bincount(gap[low], weights=da.sum(axis=0)[low], minlength=SEEN).astype(F32)
-        dt = np.empty_like(t)
-        for i, (left, right) in enumerate(((da, k), (da.transpose(0, 2, 1), q), (a.transpose(0, 2, 1), own))):
-            np.matmul(left, right, out=dt[:, :, i * WIDTH : (i + 1) * WIDTH])
-        dt = dt.reshape(m, 3 * WIDTH)
-        g["w"] = e.T @ dt * ROOTS
-        dh += dt @ w.T
-        order = np.argsort(flat_x.astype(np.uint16), kind="stable")
-        rows = flat_x[order]
-        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        g["e"] = (rows[starts], np.add.reduceat(dh[order], starts, axis=0))
+        bias, back, out = np.where(low, p["d"][gap], F32(-1e9)), np.ascontiguousarray(w.T), np.ascontiguousarray(p["o"].T)
+        scale, calm, loss = (weight / weight.sum(dtype=float)).astype(F32), self._bounded(w), 0.0
+        g, by_gap, de = {"o": np.zeros_like(p["o"]), "w": np.zeros_like(w)}, np.zeros((n, n), F32), np.empty((b, n, WIDTH), F32)
+        # A few windows at a time, so that the arrays stay in the processor's cache.
+        for first in range(0, b, PART):
+            own_x, own_scale = x[first : first + PART].ravel(), scale[first : first + PART].ravel()
+            m = len(own_x)
+            e = p["e"].take(own_x, axis=0)
+            t = (e @ w).reshape(-1, n, 3 * WIDTH)
+            q, k, v = (t[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+            # Keys and values with the features first: products with them are faster than with transposed views.
+            turned = np.ones((len(t), 2 * WIDTH + 1, n), F32)
+            turned[:, : 2 * WIDTH] = t[:, :, WIDTH:].transpose(0, 2, 1)
+            a = q @ turned[:, :WIDTH]
+            a += bias
+            if not calm:
+                a -= a.max(axis=2, keepdims=True)
+            np.exp(a, out=a)
+            # Weights are left as they are; what is made of them is divided by their sum.
+            part = 1 / (a @ ONES[:n])
+            mixed = a @ v
+            mixed *= part
+            h = mixed.reshape(m, WIDTH) + e
+            z = h @ p["o"]
+            z += self.prior.take(own_x, axis=0)
+            if not calm:
+                z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            every, right = (z @ ONES_C).ravel(), np.arange(0, m * CLASSES, CLASSES) + y[first : first + PART].ravel()
+            flat_z = z.reshape(-1)
+            if asked:
+                loss -= float(np.log(flat_z[right] / every + 1e-20) @ own_scale)
+            z *= (own_scale / every)[:, None]
+            flat_z[right] -= own_scale
+            dh = z @ out
+            g["o"] += h.T @ z
+            # What the weights' sum takes off stands after the features, against the ones.
+            own = np.empty((len(t), n, WIDTH + 1), F32)
+            np.multiply(dh.reshape(-1, n, WIDTH), part, out=own[:, :, :WIDTH])
+            np.negative(np.einsum("bij,bij->bi", own[:, :, :WIDTH], mixed), out=own[:, :, WIDTH])
+            da = own @ turned[:, WIDTH:]
+            da *= a
+            by_gap += da.sum(axis=0)
+            dt = np.empty_like(t)
+            for i, (left, by) in enumerate(((da, k), (da.transpose(0, 2, 1), q), (a.transpose(0, 2, 1), own[:, :, :WIDTH]))):
+                np.matmul(left, by, out=dt[:, :, i * WIDTH : (i + 1) * WIDTH])
+            dt = dt.reshape(m, 3 * WIDTH)
+            g["w"] += e.T @ dt
+            dh += dt @ back
+            de[first : first + PART] = dh.reshape(-1, n, WIDTH)
+        g["w"] *= ROOTS
+        g["d"] = np.bincount(gap[low], weights=by_gap[low], minlength=SEEN).astype(F32)
+        g["e"] = np.zeros_like(p["e"])
+        np.add.at(g["e"].reshape(-1), CELLS.take(x.ravel(), axis=0).ravel(), de.ravel())
         return loss, g
 
+    def _bounded(self, w: np.ndarray) -> bool:
+        """Whether all scores are so small that no maximum needs to be taken off; w: the scaled w of the parameters."""
+        p, norm = self.params, lambda part: math.sqrt((part * part).sum(dtype=float))
+        e = math.sqrt(np.einsum("ij,ij->i", p["e"], p["e"]).max())
+        q, k, v = (e * norm(w[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
+        return q * k + float(np.abs(p["d"]).max()) < 59 and (e + v) * norm(p["o"]) < 59
+
     def train(self, windows: np.ndarray, weights: np.ndarray, rate: float) -> None:
         """One pass over windows (ids, one more than is seen, filled up with PAD) with Adam, the rate falling over its second half."""
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
@@ -196,11 +225,15 @@ class Model:
                 _, g = self.loss(x[at : at + BATCH], y[at : at + BATCH], weight[at : at + BATCH], False)
                 now = rate * min(1.0, 2 * (1 - (first + at) / len(windows)))
                 a, b = F32(now / (1 - 0.9**step)), F32(1 / (1 - 0.99**step))
+                # Of embeddings only those that are seen change.
+                seen = np.zeros((SLOTS, 1), F32)
+                seen[x[at : at + BATCH].ravel()] = 1
+                kept = {"e": (1 - F32(0.1) * seen, 1 - F32(0.01) * seen, a * seen)}
                 for k, own in g.items():
-                    rows, own = own if k == "e" else (slice(None), own)  # of embeddings only those that are seen
-                    m[k][rows] = mean = F32(0.9) * m[k][rows] + F32(0.1) * own
-                    s[k][rows] = square = F32(0.99) * s[k][rows] + F32(0.01) * own * own
-                    self.params[k][rows] -= a * mean / (np.sqrt(square * b) + F32(1e-6))
+                    first_, second, pace = kept.get(k, (F32(0.9), F32(0.99), a))
+                    m[k] = mean = first_ * m[k] + F32(0.1) * own
+                    s[k] = square = second * s[k] + F32(0.01) * own * own
+                    self.params[k] -= pace * mean / (np.sqrt(square * b) + F32(1e-6))
 
     def tables(self) -> None:
         p = self.params
@@ -213,7 +246,7 @@ class Model:
         #: What distance adds, for the block before and the own block.
         self.bias = np.concatenate([p["d"][HALF + gap], np.where(gap >= 0, p["d"][np.abs(gap)], F32(-1e9))], axis=1).astype(F32)
 
-    def score(self, flat: np.ndarray, lengths: np.ndarray, block: int = 192, most: int = 1 << 16) -> np.ndarray:
+    def score(self, flat: np.ndarray, lengths: np.ndarray, block: int = 64, most: int = 1 << 16) -> np.ndarray:
         """log10 probability of each text, the end token included; flat: the ids of all texts, lengths: how many each has.
 
         Texts lie in whole blocks of HALF places: start, ids, filled up with the end.  A block
@@ -247,24 +280,26 @@ class Model:
         led = np.concatenate([np.zeros(HALF, dtype=np.int64), slots])
         for a in range(0, len(opens), block):
             own = led[a * HALF : (a + block + 1) * HALF]
-            rows = self.seen[own]
+            rows = self.seen.take(own, axis=0)
             q, e = rows[HALF:, :WIDTH].reshape(-1, HALF, WIDTH), rows[HALF:, 3 * WIDTH :]
-            # Keys and values of each block and the one before, as overlapping views.
-            k, v = (as_strided(rows[:, i * WIDTH :], (len(q), SEEN, WIDTH), (HALF * rows.strides[0], *rows.strides), writeable=False) for i in (1, 2))
-            weight = q @ k.transpose(0, 2, 1)
+            # Keys of each block and the one before, with the features first; values as overlapping views.
+            k, turned = np.empty((len(q), WIDTH, SEEN), F32), rows[:, WIDTH : 2 * WIDTH].reshape(-1, HALF, WIDTH).transpose(0, 2, 1)
+            k[:, :, :HALF], k[:, :, HALF:] = turned[:-1], turned[1:]
+            v = as_strided(rows[:, 2 * WIDTH :], (len(q), SEEN, WIDTH), (HALF * rows.strides[0], *rows.strides), writeable=False)
+            weight = q @ k
             weight += self.bias
             weight[opens[a : a + block], :, :HALF] = F32(-1e9)
             if not self.calm:
-                np.minimum(weight, F32(60), out=weight)
+                weight -= weight.max(axis=2, keepdims=True)
             np.exp(weight, out=weight)
             mixed = weight @ v
             mixed /= weight @ ONES
             mixed += e.reshape(mixed.shape)
             # All products are of a block's shape, so that a score does not depend on the texts beside it.
             z = mixed @ p["o"]
-            z += self.prior[own[HALF:].reshape(-1, HALF)]
+            z += self.prior.take(own[HALF:], axis=0).reshape(z.shape)
             if not self.calm:
-                np.minimum(z, F32(60), out=z)
+                z -= z.max(axis=2, keepdims=True)
             target = targets[a * HALF : (a + block) * HALF]
             got = z.reshape(-1, CLASSES)[np.arange(len(target)), target]
             np.exp(z, out=z)
