@@ -422,8 +422,7 @@ def test_gradients_are_taken_of_a_few_windows_at_a_time(monkeypatch):
     # The arrays fit a processor's second cache (of 2 MB or so); those of all windows at once do not.
     assert peak < 3 << 20
     # Neither the number of windows at a time has a say, nor that scores are known to be small.
-    assert model._bounded(model.params["w"] * attention_lm.ROOTS)
-    monkeypatch.setattr(attention_lm.Model, "_bounded", lambda self, w: False)
+    monkeypatch.setattr(attention_lm, "_small", lambda scores, some: False)
     held = model.loss(x, y, weight)
     assert held[0] == pytest.approx(loss, rel=1e-6) and all(np.abs(held[1][k] - g[k]).max() < 1e-5 * np.abs(g[k]).max() for k in g)
     monkeypatch.setattr(attention_lm, "PART", 50)
@@ -450,7 +449,6 @@ def test_gradients_are_taken_of_a_few_windows_at_a_time(monkeypatch):
 def test_large_scores_keep_their_shares():
     model, rows = subword_model()
     model.params = {k: v * np.float32(1 if k == "d" else 12) for k, v in model.params.items()}
-    assert not model._bounded(model.params["w"] * attention_lm.ROOTS)
     loss, g = model.loss(model.slot[rows[:40, :-1]], model.cls[rows[:40, 1:]], np.ones((40, 32)))
     assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
     model.tables()

@@ -75,6 +75,11 @@ WINDOWS = -1000
 # ---- the model
 
 
+def _small(scores: np.ndarray, some: np.ndarray) -> bool:
+    """Whether exp neither overflows nor vanishes in a whole row, so that no maximum needs to be taken off; some: a score of each row."""
+    return scores.max() < 59 and some.min() > -59
+
+
 class Model:
     """Tables of the counts, and parameters; ids of the vocabulary, then its size as the end and start token.
 
@@ -147,7 +152,7 @@ class Model:
         w, gap = p["w"] * ROOTS, np.arange(n)[:, None] - np.arange(n)[None, :]
         low, gap = gap >= 0, np.abs(gap)
         bias, back, out = np.where(low, p["d"][gap], F32(-1e9)), np.ascontiguousarray(w.T), np.ascontiguousarray(p["o"].T)
-        scale, calm, loss = (weight / weight.sum(dtype=float)).astype(F32), self._bounded(w), 0.0
+        scale, loss = (weight / weight.sum(dtype=float)).astype(F32), 0.0
         g, by_gap, de = {"o": np.zeros_like(p["o"]), "w": np.zeros_like(w)}, np.zeros((n, n), F32), np.empty((b, n, WIDTH), F32)
         # A few windows at a time, so that the arrays stay in the processor's cache.
         for first in range(0, b, PART):
@@ -161,7 +166,7 @@ class Model:
             turned[:, : 2 * WIDTH] = t[:, :, WIDTH:].transpose(0, 2, 1)
             a = q @ turned[:, :WIDTH]
             a += bias
-            if not calm:
+            if not _small(a, a.diagonal(axis1=1, axis2=2)):
                 a -= a.max(axis=2, keepdims=True)
             np.exp(a, out=a)
             # Weights are left as they are; what is made of them is divided by their sum.
@@ -171,7 +176,7 @@ class Model:
             h = mixed.reshape(m, WIDTH) + e
             z = h @ p["o"]
             z += self.prior.take(own_x, axis=0)
-            if not calm:
+            if not _small(z, z[:, 0]):
                 z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
             every, right = (z @ ONES_C).ravel(), np.arange(0, m * CLASSES, CLASSES) + y[first : first + PART].ravel()
@@ -202,13 +207,6 @@ class Model:
         np.add.at(g["e"].reshape(-1), CELLS.take(x.ravel(), axis=0).ravel(), de.ravel())
         return loss, g
 
-    def _bounded(self, w: np.ndarray) -> bool:
-        """Whether all scores are so small that no maximum needs to be taken off; w: the scaled w of the parameters."""
-        p, norm = self.params, lambda part: math.sqrt((part * part).sum(dtype=float))
-        e = math.sqrt(np.einsum("ij,ij->i", p["e"], p["e"]).max())
-        q, k, v = (e * norm(w[:, i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
-        return q * k + float(np.abs(p["d"]).max()) < 59 and (e + v) * norm(p["o"]) < 59
-
     def train(self, windows: np.ndarray, weights: np.ndarray, rate: float) -> None:
         """One pass over windows (ids, one more than is seen, filled up with PAD) with Adam, the rate falling over its second half."""
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
